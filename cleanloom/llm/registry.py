@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from cleanloom.llm import simhash
+from cleanloom.llm import langid, simhash, topk, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
+    "op2_warc_archive": warc.query,
+    "op3_language_id": langid.query,
+    "op9_exact_top_k": topk.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_archive": warc.ORACLE,
+    "op9_exact_top_k": topk.ORACLE,
+}
