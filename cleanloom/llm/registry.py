@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cleanloom.llm import editprint, html, langid, simhash, topk, warc
+from cleanloom.llm import editprint, html, langid, pfp, simhash, topk, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_warc_archive": warc.query,
     "op3_language_id": langid.query,
+    "op4_repeated_strings": pfp.query,
     "op8_edit_fingerprints": editprint.query,
     "op9_exact_top_k": topk.query,
     "op10_html_main_text": html.query,
