@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cleanloom.llm import editprint, html, langid, lines, pfp, simhash, topk, warc
+from cleanloom.llm import editprint, html, langid, lines, pfp, sentencepieces, simhash, topk, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_warc_archive": warc.query,
     "op3_language_id": langid.query,
     "op4_repeated_strings": pfp.query,
+    "op5_sentencepiece": sentencepieces.query,
     "op6_line_dedup": lines.query,
     "op8_edit_fingerprints": editprint.query,
     "op9_exact_top_k": topk.query,
