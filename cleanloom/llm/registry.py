@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cleanloom.llm import editprint, html, langid, lines, pfp, sentencepieces, simhash, topk, warc
+from cleanloom.llm import editprint, html, langid, lines, mixing, pfp, sentencepieces, simhash, topk, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_repeated_strings": pfp.query,
     "op5_sentencepiece": sentencepieces.query,
     "op6_line_dedup": lines.query,
+    "op7_source_mixing": mixing.query,
     "op8_edit_fingerprints": editprint.query,
     "op9_exact_top_k": topk.query,
     "op10_html_main_text": html.query,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": warc.ORACLE,
+    "op7_source_mixing": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
 }
