@@ -42,6 +42,7 @@ class Scratch:
         schema = frame.schema
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        self.free()
         return out
 
     def drop(self, *frames: DataFrame) -> None:

@@ -12,9 +12,9 @@ parsing does it:
 * Starts that share their next trigger form a run. The suffix of the parse from the run on
   gives the class of the run as a whole: where it repeats, every start of the run does.
 * The few runs that differ somewhere are ordered by the suffix of the dictionary phrase
-  before the trigger, start by start, against one member of each class of runs that goes
-  on with the same phrase. Starts are first ruled out by what all starts of a block of
-  STEP share.
+  before the trigger, against one member of each class of runs that goes on with the
+  same phrase: first in blocks of STEP starts, by what all of them share and what they
+  cover together, then start by start.
 * Starts with no whole phrase in their string are compared one by one.
 
 Classes are found by grouping on 128-bit hashes rather than by one sorted suffix array:
@@ -145,11 +145,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, RUNS)
 
 
-BLOCKS = "tid long, p int, d int, c1 long, c2 long, keys array<long>"
+BLOCKS = "tid long, p int, d int, c1 long, c2 long, b1 long, b2 long, open int, keys array<long>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of starts by their distance d from the next trigger: what they share, and a key for each.
+    """Blocks of starts by their distance d from the next trigger: what all their strings share (c), all that
+    they cover (b), and a key for each.
 
     Within a block key i belongs to start p + i, at distance d - i.
     """
@@ -159,14 +160,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column("tid").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True
         ):
             tr, view = triggers(text), memoryview(text)
-            for a, b in sorted({(r["a"], r["b"]) for r in runs}):
+            for a, b, open_ in sorted({(r["a"], r["b"], r["open"]) for r in runs}):
                 t = int(tr[np.searchsorted(tr, a)])
                 while a < b:
                     low = (t - a) // STEP * STEP  # distances low to low + STEP - 1
                     end = min(b, t - low + 1)
                     core = _hash(view[t - low : t - low - STEP + 1 + LENGTH])
                     keys = [xxhash.xxh3_64_intdigest(view[p : p + LENGTH]) - (1 << 63) for p in range(a, end)]
-                    out.append((tid, a, t - a, *core, keys))
+                    out.append((tid, a, t - a, *core, *_hash(view[a : end - 1 + LENGTH]), open_, keys))
                     a = end
         yield _batch(out, BLOCKS)
 
@@ -220,7 +221,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, whole: bool = True) ->
         keyed.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("tid", F.monotonically_increasing_id()),
         "texts",
     )
-    scratch.free()
     long_ = texts.where(F.octet_length("text") >= LENGTH)  # shorter ones have no string of LENGTH
     parse = scratch.cut(long_.select("tid", "copies", "text").mapInArrow(_parse, PARSE), "parse")
 
@@ -231,38 +231,45 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, whole: bool = True) ->
     )
     loose = scratch.cut(_repeated_loose(parse), "loose")
     scratch.drop(parse)
-    scratch.free()
 
     runs = scratch.cut(long_.select("tid", "copies", "text").join(marks, "tid").mapInArrow(_runs, RUNS), "runs")
     scratch.drop(marks)
-    scratch.free()
     classes = scratch.cut(
         runs.groupBy("o1", "o2").agg(F.sum("copies").alias("n"), F.min(F.struct("tid", "a", "b", "follows")).alias("r")), "classes"
     )
     one, many = classes.where("n = 1").select("r.*"), classes.where("n > 1").select("r.*")
     against = many.join(one.select("follows").distinct(), "follows", "left_semi")
-    chosen = one.unionByName(against).groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    both = one.withColumn("open", F.lit(1)).unionByName(against.withColumn("open", F.lit(0)))
+    chosen = both.groupBy("tid").agg(F.collect_list(F.struct("a", "b", "open")).alias("runs"))
     blocks = scratch.cut(long_.select("tid", "text").join(chosen, "tid").mapInArrow(_blocks, BLOCKS), "blocks")
-    scratch.free()
-    shared = blocks.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
-    starts = blocks.join(shared, ["c1", "c2"]).select("tid", "p", "d", "c1", "c2", F.posexplode("keys").alias("i", "k")).select(
-        "tid", (F.col("p") + F.col("i")).alias("p"), (F.col("d") - F.col("i")).alias("d"), "c1", "c2", "k"
+    # blocks that cover the same are one; what is left is compared start by start where cores are shared
+    same_block = ["c1", "c2", "b1", "b2"]
+    kinds = scratch.cut(
+        blocks.groupBy(*same_block).agg(F.count("*").alias("n"), F.max("open").alias("open"), F.first(F.struct("tid", "p", "d", "keys")).alias("r")), "kinds"
+    )
+    twice = kinds.where("n > 1 AND open = 1").select(*same_block)
+    full = blocks.where("open = 1").join(twice, same_block).select(
+        "tid", F.col("p").alias("begin"), (F.col("p") + F.size("keys") - 1 + LENGTH).alias("end")
+    )
+    undecided = F.max(F.when(F.col("n") == 1, F.col("open")).otherwise(0))
+    shared = kinds.groupBy("c1", "c2").agg(F.count("*").alias("m"), undecided.alias("todo")).where("m > 1 AND todo = 1").select("c1", "c2")
+    alone = ((F.col("n") == 1) & (F.col("open") == 1)).cast("int")
+    starts = kinds.join(shared, ["c1", "c2"]).select("r.*", "c1", "c2", alone.alias("open"), F.posexplode("r.keys").alias("i", "k")).select(
+        "tid", "open", (F.col("p") + F.col("i")).alias("p"), (F.col("d") - F.col("i")).alias("d"), "c1", "c2", "k"
     )
     same = ["c1", "c2", "d", "k"]
-    met = starts.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    single = starts.join(met, same).select("tid", F.col("p").alias("begin"), (F.col("p") + LENGTH).alias("end"))
+    met = starts.groupBy(*same).agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 AND any = 1").drop("n", "any")
+    single = starts.where("open = 1").join(met, same).select("tid", F.col("p").alias("begin"), (F.col("p") + LENGTH).alias("end"))
     whole_runs = runs.join(classes.where("n > 1").select("o1", "o2"), ["o1", "o2"]).select(
         "tid", F.col("a").alias("begin"), (F.col("b") - 1 + LENGTH).alias("end")
     )
-    spans = scratch.cut(whole_runs.union(single).union(loose).groupBy("tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
-    scratch.drop(runs, classes, blocks, loose)
-    scratch.free()
+    spans = scratch.cut(whole_runs.union(full).union(single).union(loose).groupBy("tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    scratch.drop(runs, classes, blocks, kinds, loose)
 
     done = scratch.cut(
         texts.join(spans, "tid", "left").select("digest", "copies", "text", "spans").mapInArrow(lambda it: _remove(it, whole), KEPT), "done"
     )
     scratch.drop(texts, spans)
-    scratch.free()
     return keyed.select("doc_id", "digest").join(done, "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
