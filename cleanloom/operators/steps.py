@@ -20,6 +20,7 @@ from cleanloom.functions import inference as I
 from cleanloom.functions.inference import ROW_ID, ref, user_columns
 
 REGISTRY: dict[str, type[Step]] = {}
+FEW_PARTITIONS = 1000
 
 
 class Step:
@@ -427,25 +428,33 @@ class Audit(Step):
     def __call__(self, df: DataFrame) -> DataFrame:
         now = F.localtimestamp() if self.now is None else self.now
         if "_original_index" not in df.columns:
-            df = df.withColumn("_original_index", F.col(ROW_ID) if ROW_ID in df.columns else row_places(df))
+            df = df.withColumn("_original_index", F.col(ROW_ID)) if ROW_ID in df.columns else with_places(df, "_original_index")
         return df.withColumn("_cleaned_at", now)
 
 
-def row_places(df: DataFrame) -> Column:
-    """A row's place among all rows, without a sort: rows of the partitions before, and its own place there."""
-    sizes = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().withColumnRenamed("count", "n").collect()}
+def with_places(df: DataFrame, name: str) -> DataFrame:
+    """A row's place among all rows, without a sort: rows of the partitions before, and its own place there.
+
+    The starts of the partitions, a number each, are a literal while they are few and a
+    broadcast table beyond that.
+    """
+    sizes = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):  # a number for each partition
+    for p in range(max(sizes, default=0) + 1):
         before.append(total)
         total += sizes.get(p, 0)
     own = F.monotonically_increasing_id()
-    start = F.array(*(F.lit(b).cast("long") for b in before or [0]))
-    return start[F.shiftright(own, 33).cast("int")] + own.bitwiseAND((1 << 33) - 1)
+    if len(before) <= FEW_PARTITIONS:
+        start = F.array(*(F.lit(b).cast("long") for b in before))
+        return df.withColumn(name, start[F.shiftright(own, 33).cast("int")] + own.bitwiseAND((1 << 33) - 1))
+    starts = df.sparkSession.createDataFrame(list(enumerate(before)), "_part int, _start long")
+    placed = df.withColumn(name, own).withColumn("_part", F.shiftright(name, 33).cast("int")).join(F.broadcast(starts), "_part")
+    return placed.withColumn(name, F.col("_start") + F.col(name).bitwiseAND((1 << 33) - 1)).select(*df.columns, name)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
     """``df`` with the internal row id, unless it has one."""
-    return df if ROW_ID in df.columns else df.withColumn(ROW_ID, row_places(df))
+    return df if ROW_ID in df.columns else with_places(df, ROW_ID)
 
 
 def nan_as_null(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ The tables have no nulls, so queries put dirt into them first, by the same rule
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from cleanloom.functions import inference as I
 from cleanloom.operators import analyzers, regression
 from cleanloom.operators import steps as S
 from cleanloom.plans import pipeline, report
+from cleanloom.sources import readers
+from cleanloom.streaming import clean
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -453,6 +456,65 @@ def _(spark, d):
 
 @_query("source_parquet", "SELECT r_regionkey, r_name FROM region")
 def _(spark, d):
-    from cleanloom.sources import readers
-
     return readers.read(spark, f"{d}/region.parquet")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that a query writes and reads back."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = "file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+_NATION = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
+
+
+@_query("source_csv", _NATION)
+def _(spark, d):
+    readers.write_csv(_table(spark, d, "nation"), path := _folder(spark, "nation.csv"))
+    return readers.read(spark, path)
+
+
+@_query("source_csv_spaced", "SELECT CAST(c_custkey AS BIGINT) AS \"Cust Key\", '$' || CAST(c_custkey % 9 + 1 AS VARCHAR) || ',200.50' AS \"Spend\", CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS \"Segment\" FROM customer")
+def _(spark, d):
+    cells = "concat(c_custkey, ' , $', c_custkey % 9 + 1, ',200.50 , ', CASE WHEN c_custkey % 4 = 0 THEN 'NA' ELSE c_mktsegment END) AS value"
+    header = spark.range(1).selectExpr("'Cust Key , Spend , Segment' AS value")
+    header.union(_table(spark, d, "customer", cells)).coalesce(1).write.text(path := _folder(spark, "customer.csv"))
+    return readers.read(spark, path)
+
+
+@_query("source_json", _NATION)
+def _(spark, d):
+    rows = _table(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value"))
+    rows.coalesce(1).write.text(path := _folder(spark, "nation.json"))
+    return readers.read(spark, path)
+
+
+@_query("source_html", _NATION)
+def _(spark, d):
+    cells = "concat('<tr><td>', n_nationkey, '<td>', n_name, '<td>', n_regionkey, '</tr>') AS value"
+    head = spark.range(1).selectExpr("'<table><tr><th>n_nationkey<th>n_name<th>n_regionkey</tr>' AS value")
+    head.union(_table(spark, d, "nation", cells)).coalesce(1).write.text(path := _folder(spark, "nation.html"))
+    return readers.read(spark, path)
+
+
+@_query("sink_csv", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus")
+def _(spark, d):
+    counts = _table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    readers.write_csv(counts, path := _folder(spark, "counts.csv"), single=True)
+    return readers.read(spark, path)
+
+
+@_query("clean_stream", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS event_type, CASE WHEN value < 10 OR value > 60 THEN NULL ELSE value END AS value FROM events")
+def _(spark, d):
+    """A stream of the events table through expression-only rules, into Parquet."""
+    source = _table(spark, d, "events", "event_id", "CASE WHEN event_id % 5 = 0 THEN ' n/a ' ELSE event_type END AS event_type", "value")
+    source.write.parquet(inbox := _folder(spark, "inbox"))
+    stream = spark.readStream.schema(source.schema).parquet(inbox)
+    rules = [{"handle_sentinel_values": None}, {"validate_domain_rules": {"rules": {"value": [10, 60]}}}]
+    out = _folder(spark, "out")
+    query = clean.clean_stream(stream, rules).writeStream.format("parquet").option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.schema(source.schema).parquet(out)

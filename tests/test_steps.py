@@ -169,6 +169,12 @@ def test_audit_places_are_contiguous(spark):
     assert sorted(values(out, "_original_index")) == list(range(100))
 
 
+def test_places_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW_PARTITIONS", 3)
+    df = spark.range(100).repartition(7)
+    assert sorted(values(S.with_places(df, "at"), "at")) == list(range(100))
+
+
 def test_date_columns_look_at_the_first_ten(spark, table):
     rows = [("2024-01-01",)] * 5 + [("x",)] * 5 + [("y",)] * 20
     assert I.date_columns(table(rows, "c string").coalesce(1), now()) == ["c"]
