@@ -193,16 +193,17 @@ def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _remove(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for digest, copies, text, spans in zip(
+        for digest, copies, text, spans, starts in zip(
             batch.column("digest").to_pylist(), batch.column("copies").to_pylist(),
-            batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans"), strict=True,
+            batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans"), batch.column("starts"), strict=True,
         ):
             kept, removed, n_spans = text, 0, 0
             if copies > 1 and len(text) >= LENGTH:
                 kept, removed, n_spans = b"", len(text), 1
-            elif spans.is_valid:
-                both = np.asarray(spans.values.field(0)), np.asarray(spans.values.field(1))
-                gone = covered(len(text), *both)
+            elif spans.is_valid or starts.is_valid:
+                begin, end = (np.asarray(spans.values.field(k)) if spans.is_valid else np.empty(0, np.int64) for k in (0, 1))
+                alone = np.asarray(starts.values) if starts.is_valid else np.empty(0, np.int64)
+                gone = covered(len(text), np.concatenate([begin, alone]).astype(np.int64), np.concatenate([end, alone + LENGTH]).astype(np.int64))
                 removed = int(gone.sum())
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -248,9 +249,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, whole: bool = True) ->
         blocks.groupBy(*same_block).agg(F.count("*").alias("n"), F.max("open").alias("open"), F.first(F.struct("tid", "p", "d", "keys")).alias("r")), "kinds"
     )
     twice = kinds.where("n > 1 AND open = 1").select(*same_block)
-    full = blocks.where("open = 1").join(twice, same_block).select(
-        "tid", F.col("p").alias("begin"), (F.col("p") + F.size("keys") - 1 + LENGTH).alias("end")
+    full = scratch.cut(
+        blocks.where("open = 1").select("tid", "p", F.size("keys").alias("m"), *same_block).join(twice, same_block).select(
+            "tid", F.col("p").alias("begin"), (F.col("p") + F.col("m") - 1 + LENGTH).alias("end")
+        ),
+        "full",
     )
+    scratch.drop(blocks)
     undecided = F.max(F.when(F.col("n") == 1, F.col("open")).otherwise(0))
     shared = kinds.groupBy("c1", "c2").agg(F.count("*").alias("m"), undecided.alias("todo")).where("m > 1 AND todo = 1").select("c1", "c2")
     alone = ((F.col("n") == 1) & (F.col("open") == 1)).cast("int")
@@ -263,20 +268,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, whole: bool = True) ->
     whole_runs = runs.join(classes.where("n > 1").select("o1", "o2"), ["o1", "o2"]).select(
         "tid", F.col("a").alias("begin"), (F.col("b") - 1 + LENGTH).alias("end")
     )
-    spans = scratch.cut(whole_runs.union(full).union(single).union(loose).groupBy("tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
-    scratch.drop(runs, classes, blocks, kinds, loose)
+    spans = scratch.cut(whole_runs.union(full).union(single).groupBy("tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    scratch.drop(runs, classes, kinds, full)
 
     done = scratch.cut(
-        texts.join(spans, "tid", "left").select("digest", "copies", "text", "spans").mapInArrow(lambda it: _remove(it, whole), KEPT), "done"
+        texts.join(spans, "tid", "left").join(loose, "tid", "left").select("digest", "copies", "text", "spans", "starts").mapInArrow(lambda it: _remove(it, whole), KEPT), "done"
     )
-    scratch.drop(texts, spans)
+    scratch.drop(texts, spans, loose)
     return keyed.select("doc_id", "digest").join(done, "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def _repeated_loose(parse: DataFrame) -> DataFrame:
     rows = parse.select("tid", "copies", F.explode("loose").alias("x")).select("tid", "copies", "x.p", "x.k1", "x.k2")
     met = rows.groupBy("k1", "k2").agg(F.sum("copies").alias("n")).where("n > 1").select("k1", "k2")
-    return rows.join(met, ["k1", "k2"]).select("tid", F.col("p").alias("begin"), (F.col("p") + LENGTH).alias("end"))
+    return rows.join(met, ["k1", "k2"]).groupBy("tid").agg(F.collect_list("p").alias("starts"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
