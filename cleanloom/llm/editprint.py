@@ -203,6 +203,17 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _compare(pairs)
 
 
+def _place(key: F.Column, bounds: list[int], step: int = 64) -> F.Column:
+    """How many of the descending bounds are above the key: first by blocks of bounds, then inside one."""
+    if not bounds:
+        return F.lit(0)
+    blocks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    begun = F.size(F.filter(F.array(*(F.lit(b[0]) for b in blocks)), lambda b: b > key))
+    own = F.array(*(F.array(*(F.lit(x) for x in b)) for b in blocks))[F.greatest(begun - 1, F.lit(0))]
+    inside = F.size(F.filter(own, lambda b: b > key))
+    return F.when(begun == 0, 0).otherwise((begun - 1) * step + inside)
+
+
 def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness; see COMPARED.
 
@@ -214,8 +225,7 @@ def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     n = 4 * partitions(spark)
     cuts = docs.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * n).alias("c")).head()["c"]
-    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts or [])))) if cuts else F.array().cast("array<long>")
-    bucket = F.size(F.filter(bounds, lambda b: b > key))  # 0 has the largest keys
+    bucket = _place(key, sorted(set(cuts or []), reverse=True))  # 0 has the largest keys
     keyed = docs.select(key.alias("key"), bucket.alias("bucket"))
     firsts = sorted((r["bucket"], r["key"]) for r in keyed.groupBy("bucket").agg(F.max("key").alias("key")).collect())
     to = spark.createDataFrame(  # a row for each range
