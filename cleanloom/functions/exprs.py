@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -112,6 +112,7 @@ def date_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+@cache
 def _folds() -> tuple[str, str, list[tuple[str, str]]]:
     """Characters whose decomposition has one ASCII character, these, and a few that have more."""
     one, to, more = [], [], []

@@ -175,10 +175,16 @@ def test_places_of_many_partitions(spark, monkeypatch):
     assert sorted(values(S.with_places(df, "at"), "at")) == list(range(100))
 
 
+def rows_of_two(rows):
+    return [(r[0], "x") for r in rows]
+
+
 def test_date_columns_look_at_the_first_ten(spark, table):
     rows = [("2024-01-01",)] * 5 + [("x",)] * 5 + [("y",)] * 20
     assert I.date_columns(table(rows, "c string").coalesce(1), now()) == ["c"]
     assert I.date_columns(table(rows[1:], "c string").coalesce(1), now()) == []
+    late = [(None, "2024-01-01")] * 1200 + rows_of_two(rows)
+    assert I.date_columns(table(late, "c string, d string").coalesce(1), now()) == ["c", "d"]
 
 
 def test_unknown_step():
