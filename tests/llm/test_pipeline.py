@@ -38,3 +38,41 @@ def test_queries(spark, oracle, name):
 
 def test_names():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Every stage by its plain form: the network text by text, all pairs of lines, all pairs of fingerprints, SQL, the library."""
+    import random
+
+    import duckdb
+    import sentencepiece
+    from test_lines import cleaned
+    from test_simhash import components, slow_print
+
+    import corpus_pipeline
+    from cleanloom.llm import langid, mixing, sentencepieces
+
+    rng = random.Random(11)
+    words = {"en": "the house and with water stone bright under carry window".split(), "de": "und straße der schön nicht haus wasser stein unter fenster".split()}
+    rows = []
+    for k in range(120):
+        lang = ("en", "de")[k % 2]
+        text = "\n".join(" ".join(rng.choices(words[lang], k=rng.randint(3, 14))) for _ in range(rng.randint(1, 4)))
+        rows.append((k, text, lang, f"s{k % 3 if k % 4 else 0}", len(text)))
+    rows += [(200 + k, rows[k][1], rows[k][2], "s9", rows[k][4]) for k in range(6)] + [(300, None, "en", "s1", None), (301, "123 !!", "en", None, 6), (302, "", "de", "s2", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["text"], r["n_chars"], tuple(r["token_ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    net = langid.train(docs)
+    langs, scores = langid.classify(net, [None if r[1] is None else r[1].encode() for r in rows])
+    known = [r for r, lang, s in zip(rows, langs, scores, strict=True) if lang != "und" and s >= langid.LEAST_SCORE]
+    lines = cleaned([(r[0], r[1]) for r in known])
+    root = components([slow_print(lines[r[0]]) for r in known], [r[0] for r in known])
+    left = [(r[0], lines[r[0]], r[3]) for r in known if root[r[0]] == r[0]]
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(left, "doc_id long, text string, source string").toArrow())
+    texts = {r[0]: r[1] for r in left}
+    encode = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL).encode
+    want = sorted((i, texts[i], len(texts[i]), tuple(encode(texts[i]))) for (i,) in con.sql(f"SELECT doc_id FROM ({mixing.ORACLE})").fetchall())
+    assert got == want
