@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cleanloom.functions import inference as I
@@ -103,3 +103,79 @@ for _name, _f in {
     "sample": sample, "trend_analysis": trend, "correlation": correlation, "skewness_kurtosis": shape_of_distribution,
 }.items():
     register(_name, _f)
+
+
+def seasonality(df: DataFrame, time: str, value: str) -> DataFrame:
+    """(month, n, mean) over all years."""
+    return df.groupBy(F.month(I.ref(time)).alias("month")).agg(F.count(I.ref(value)).alias("n"), F.avg(I.ref(value)).alias("mean"))
+
+
+def _ordered(by: list[str], order: str) -> WindowSpec:
+    """Windows run inside groups, never over a whole table in one task."""
+    if not by:
+        raise ValueError("name the columns that divide the table: by=[...]")
+    return Window.partitionBy(*by).orderBy(order)
+
+
+def moving(df: DataFrame, by: list[str], order: str, value: str, rows: int = 3) -> DataFrame:
+    """moving_average and volatility (sample deviation) of the last ``rows`` values of a group."""
+    w, x = _ordered(by, order).rowsBetween(1 - rows, 0), I.ref(value)
+    return df.withColumns({"moving_average": F.avg(x).over(w), "volatility": F.stddev_samp(x).over(w)})
+
+
+def lags(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """lag, diff, growth (share of the value before) and momentum (change of diff) inside a group."""
+    w, x = _ordered(by, order), I.ref(value)
+    before, earlier = F.lag(x, 1).over(w), F.lag(x, 2).over(w)
+    return df.withColumns({"lag": before, "diff": x - before, "growth": F.try_divide(x - before, before), "momentum": x - 2 * before + earlier})
+
+
+def group_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    x = I.ref(value)
+    return df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+
+
+def anomaly_scores(df: DataFrame, value: str) -> DataFrame:
+    """z_score, by one aggregation; null where the deviation is 0."""
+    x = I.ref(value)
+    row = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).head()
+    return df.withColumn("z_score", (x - F.lit(row["m"])) / F.lit(row["s"]) if row["s"] else F.lit(None).cast("double"))
+
+
+def threshold_violations(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """(column, below, above): how many values of each column lie outside its bounds."""
+    counts = {
+        c: [F.count_if(I.ref(c) < F.lit(low)) if low is not None else F.lit(0).cast("long"), F.count_if(I.ref(c) > F.lit(high)) if high is not None else F.lit(0).cast("long")]
+        for c, (low, high) in bounds.items()
+    }
+    return _long(df, counts, ["below", "above"])
+
+
+def information_content(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, entropy in bits) of text columns, from counts by value."""
+    names = I.strings(df) if columns is None else columns
+    long = df.select(*(I.ref(c).cast("string").alias(c) for c in names)).unpivot([], names, "column", "v").where("v IS NOT NULL")
+    counts = long.groupBy("column", "v").agg(F.count("*").alias("k"))
+    total = F.sum("k")
+    return counts.groupBy("column").agg((F.log2(total.cast("double")) - F.sum(F.col("k") * F.log2(F.col("k").cast("double"))) / total).alias("entropy"))
+
+
+def variance(df: DataFrame) -> DataFrame:
+    """(column, variance) of number columns."""
+    return _long(df, {c: [F.var_samp(I.ref(c))] for c in I.numbers(df)}, ["variance"])
+
+
+def cohorts(df: DataFrame, member: str, time: str) -> DataFrame:
+    """(cohort, age, members): members by the month they first appear, and months since."""
+    month = F.date_trunc("month", I.ref(time))
+    first = df.groupBy(member).agg(F.min(month).alias("cohort"))
+    seen = df.select(member, month.alias("m")).distinct().join(first, member)
+    age = (F.year("m") - F.year("cohort")) * 12 + F.month("m") - F.month("cohort")
+    return seen.groupBy("cohort", age.alias("age")).agg(F.count("*").alias("members"))
+
+
+for _name, _f in {
+    "seasonality": seasonality, "moving_averages": moving, "lag_features": lags, "group_statistics": group_statistics, "anomaly_scores": anomaly_scores,
+    "threshold_violations": threshold_violations, "information_content": information_content, "feature_variance": variance, "cohort_analysis": cohorts,
+}.items():
+    register(_name, _f)

@@ -518,3 +518,56 @@ def _(spark, d):
     query = clean.clean_stream(stream, rules).writeStream.format("parquet").option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.schema(source.schema).parquet(out)
+
+
+@_query("analyze_seasonality", "SELECT CAST(month(o_orderdate) AS INTEGER) AS month, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+def _(spark, d):
+    return _rounded(analyzers.analyze("seasonality", _table(spark, d, "orders"), time="o_orderdate", value="o_totalprice"))
+
+
+@_query("analyze_moving_averages", "SELECT o_orderkey, round(avg(o_totalprice) OVER w, 4) AS moving_average, round(stddev_samp(o_totalprice) OVER w, 4) AS volatility FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def _(spark, d):
+    out = analyzers.analyze("moving_averages", _table(spark, d, "orders"), by=["o_custkey"], order="o_orderkey", value="o_totalprice")
+    return _rounded(out.select("o_orderkey", "moving_average", "volatility"))
+
+
+@_query("analyze_lag_features", "SELECT o_orderkey, round(lag(o_totalprice) OVER w, 4) AS lag, round(o_totalprice - lag(o_totalprice) OVER w, 4) AS diff, round((o_totalprice - lag(o_totalprice) OVER w) / lag(o_totalprice) OVER w, 6) AS growth, round(o_totalprice - 2 * lag(o_totalprice) OVER w + lag(o_totalprice, 2) OVER w, 4) AS momentum FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def _(spark, d):
+    out = analyzers.analyze("lag_features", _table(spark, d, "orders"), by=["o_custkey"], order="o_orderkey", value="o_totalprice")
+    return _rounded(out.select("o_orderkey", "lag", "diff", F.round("growth", 6).alias("growth"), "momentum"), 6).withColumns({c: F.round(c, 4) for c in ("lag", "diff", "momentum")})
+
+
+@_query("analyze_group_statistics", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY l_returnflag")
+def _(spark, d):
+    return _rounded(analyzers.analyze("group_statistics", _table(spark, d, "lineitem"), by=["l_returnflag"], value="l_quantity"))
+
+
+@_query("analyze_anomaly_scores", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS z_score FROM customer")
+def _(spark, d):
+    return _rounded(analyzers.analyze("anomaly_scores", _table(spark, d, "customer", "c_custkey", "c_acctbal"), value="c_acctbal").select("c_custkey", "z_score"), 6)
+
+
+@_query("analyze_threshold_violations", """SELECT 'l_quantity' AS "column", CAST(count(*) FILTER (WHERE l_quantity < 5) AS BIGINT) AS below, CAST(count(*) FILTER (WHERE l_quantity > 45) AS BIGINT) AS above FROM lineitem UNION ALL SELECT 'l_tax', 0, count(*) FILTER (WHERE l_tax > 0.05) FROM lineitem""")
+def _(spark, d):
+    return analyzers.analyze("threshold_violations", _table(spark, d, "lineitem"), bounds={"l_quantity": (5, 45), "l_tax": (None, 0.05)})
+
+
+@_query("analyze_information_content", """WITH k AS (SELECT o_orderstatus AS v, count(*) AS k FROM orders GROUP BY 1) SELECT 'o_orderstatus' AS "column", round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) AS entropy FROM k""")
+def _(spark, d):
+    return _rounded(analyzers.analyze("information_content", _table(spark, d, "orders", "o_orderstatus")), 6)
+
+
+@_query("analyze_feature_variance", """SELECT 'l_quantity' AS "column", round(var_samp(l_quantity), 4) AS variance FROM lineitem UNION ALL SELECT 'l_discount', round(var_samp(l_discount), 4) FROM lineitem""")
+def _(spark, d):
+    return _rounded(analyzers.analyze("feature_variance", _table(spark, d, "lineitem", "l_quantity", "l_discount")))
+
+
+@_query("analyze_cohorts", "WITH m AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate) AS m FROM orders), f AS (SELECT o_custkey, min(m) AS c FROM m GROUP BY 1) SELECT strftime(c, '%Y-%m') AS cohort, CAST((year(m) - year(c)) * 12 + month(m) - month(c) AS INTEGER) AS age, CAST(count(*) AS BIGINT) AS members FROM m JOIN f USING (o_custkey) GROUP BY 1, 2")
+def _(spark, d):
+    out = analyzers.analyze("cohort_analysis", _table(spark, d, "orders"), member="o_custkey", time="o_orderdate")
+    return out.select(F.date_format("cohort", "yyyy-MM").alias("cohort"), "age", "members")
+
+
+@_query("analyze_skewness_kurtosis", """WITH m AS (SELECT avg(l_extendedprice) AS a FROM lineitem), s AS (SELECT avg(pow(l_extendedprice - a, 2)) AS m2, avg(pow(l_extendedprice - a, 3)) AS m3, avg(pow(l_extendedprice - a, 4)) AS m4 FROM lineitem, m) SELECT 'l_extendedprice' AS "column", round(m3 / pow(m2, 1.5), 6) AS skewness, round(m4 / (m2 * m2) - 3, 6) AS kurtosis FROM s""")
+def _(spark, d):
+    return _rounded(analyzers.analyze("skewness_kurtosis", _table(spark, d, "lineitem", "l_extendedprice")), 6)
