@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cleanloom.llm._common import slices
+
 WINDOW = 256
 WIDTHS = (3, 4, 5)
 FILTERS = 16
@@ -214,7 +216,7 @@ def train(docs: DataFrame, most: int = FIT_DOCS) -> Network | None:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], net: Network | None, at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(at).cast(pa.large_binary()).to_pylist()
         langs, scores = classify(net, texts)
         names = [*batch.schema.names, "_lang_pred", "_lang_score"]

@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cleanloom.llm._common import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: Parts and pairs that a worker keeps; the tables are emptied when they are full.
-MOST_PARTS, MOST_PAIRS = 1_000_000, 100_000
+MOST_PARTS, MOST_PAIRS = 900_000, 100_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INFINITE = float("inf")
@@ -93,7 +95,7 @@ class Transducer:
             raise ValueError("only unigram and BPE models are supported")
         self.longest = max(map(len, self.id), default=1)
         self.parts = re.compile(self._cuts())
-        self.known: dict[str, bytes] = _Parts(self)
+        self.known = _Parts(self)
         self.pairs: dict[tuple[str, str], bool] = {}
         if self.kind == BPE:  # pieces that merging never makes are on no path
             self.halves = {p: self._halves(p) for p in self.id}
@@ -254,6 +256,8 @@ class Transducer:
 
 
 class _Parts(dict):
+    """Encodings of parts, found when they are first asked for."""
+
     def __init__(self, owner: Transducer):
         super().__init__()
         self.owner = owner
@@ -280,7 +284,7 @@ CHECKED = [
 
 def _encode(batches: Iterator[pa.RecordBatch], model, at: int, check: bool) -> Iterator[pa.RecordBatch]:
     own = compiled(model.value)
-    for batch in batches:
+    for batch in slices(batches):
         ids, decoded, same = [], [], []
         for text in batch.column(at).to_pylist():
             found = None if text is None else own.encode(text)
