@@ -17,7 +17,9 @@ def connected_components(
     matter, and edges with a null end are no edges. Returns (node, root); an empty edge
     table gives an empty result. Each round is two aggregations with map-side combine and
     two equi-joins; no node's neighbours are gathered in one place. Rounds are
-    logarithmic in the longest chain, and each ends in a table in the shared folder.
+    logarithmic in the longest chain, and each ends in a table in the shared folder. The
+    least of each node is such a table too: adaptive execution splits a skewed join only
+    if nothing stands between it and the shuffle.
     """
     e = (
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -30,7 +32,7 @@ def connected_components(
     while state[0]:
         # large-star: of all neighbours of u, those above u are hung under the least
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        least = scratch.cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
         large = (
             both.where("v > u")
             .join(least, "u")
@@ -40,7 +42,7 @@ def connected_components(
         )
         # small-star: of the neighbours below u, all and u itself are hung under the least
         large = scratch.cut(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
@@ -49,7 +51,7 @@ def connected_components(
             .distinct()
         )
         new = scratch.cut(small, "edges")
-        scratch.drop(e, large)
+        scratch.drop(e, least, large, low)
         e, before, state = new, state, _state(new)
         if state == before:
             break

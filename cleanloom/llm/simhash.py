@@ -88,8 +88,11 @@ def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, seed: int = S
     )
 
 
-def linked_fingerprints(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints within distance 2."""
+def linked_fingerprints(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct fingerprints within distance 2.
+
+    Counts are tables of their own before they are joined, so that skewed joins are split.
+    """
     tables = masks(RADIUS)
     keyed = prints.select(
         "fp",
@@ -97,7 +100,7 @@ def linked_fingerprints(prints: DataFrame) -> DataFrame:
             F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(tables)))
         ).alias("x"),
     ).select("fp", "x.t", "x.key")
-    full = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
+    full = scratch.cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key"), "full")
     near = keyed.join(full, ["t", "key"])
     # flips of the bits that the table ignores; 0 is the fingerprint itself
     flips = F.array(
@@ -106,7 +109,7 @@ def linked_fingerprints(prints: DataFrame) -> DataFrame:
     middle = near.select(
         "fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip")
     ).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    met = middle.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("mid", "b")
+    met = scratch.cut(middle.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("mid", "b"), "met")
     return middle.join(met, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
@@ -119,14 +122,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     prints = scratch.cut(fingerprint_documents(docs, shingle, seed), "prints")
     groups = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     roots = scratch.cut(
-        connected_components(spark, linked_fingerprints(groups.select("fp")), scratch), "roots"
+        connected_components(spark, linked_fingerprints(groups.select("fp"), scratch), scratch), "roots"
     )
     scratch.free()
     of = groups.join(roots, groups.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(ids, "root").select("fp", "component_id")
+    ids = scratch.cut(of.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = scratch.cut(of.join(ids, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -5,6 +5,7 @@ import re
 import xxhash
 
 from cleanloom.llm import simhash as S
+from cleanloom.llm._common import Scratch
 
 
 def slow_print(text):
@@ -48,7 +49,7 @@ def test_links_are_exact(spark):
     base = [rng.getrandbits(64) for _ in range(6)]
     prints = {b ^ sum(1 << rng.randrange(64) for _ in range(k)) & (1 << 64) - 1 for b in base for k in range(5) for _ in range(12)}
     signed = [S._signed(p) for p in prints]
-    found = S.linked_fingerprints(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    found = S.linked_fingerprints(spark.createDataFrame([(p,) for p in signed], "fp long"), Scratch(spark, "t")).collect()
     scratch_root = {p: p for p in signed}
 
     def find(p):
