@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.llm._common import Scratch
+from cleanloom.llm._common import Scratch, slices
 
 LENGTH = 400
 W = 16
@@ -98,7 +98,7 @@ LOOSE = pa.list_(pa.struct([("p", pa.int32()), ("k1", pa.int64()), ("k2", pa.int
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases of each text, and the starts whose string has no whole phrase."""
-    for batch in batches:
+    for batch in slices(batches):
         phrases, loose = [], []
         for text in batch.column("text").cast(pa.large_binary()).to_pylist():
             tr = triggers(text)
@@ -121,7 +121,7 @@ RUNS = "tid long, copies long, a int, b int, o1 long, o2 long, follows long"
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of starts whose whole phrases all repeat, with the hash of all they cover and the phrase that follows."""
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for tid, copies, text, marks in zip(
             batch.column("tid").to_pylist(), batch.column("copies").to_pylist(),
@@ -154,7 +154,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Within a block key i belongs to start p + i, at distance d - i.
     """
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for tid, text, runs in zip(
             batch.column("tid").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True
@@ -191,7 +191,7 @@ def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _remove(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for digest, copies, text, spans, starts in zip(
             batch.column("digest").to_pylist(), batch.column("copies").to_pylist(),
@@ -227,10 +227,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, whole: bool = True) ->
 
     # phrases that stand in the parse more than once
     dictionary = parse.select("copies", F.explode("phrases").alias("h")).groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h")
+    dictionary = scratch.cut(dictionary, "dictionary")
     marks = scratch.cut(
         parse.select("tid", F.posexplode("phrases").alias("i", "h")).join(dictionary, "h").groupBy("tid").agg(F.collect_list("i").alias("marks")), "marks"
     )
-    loose = scratch.cut(_repeated_loose(parse), "loose")
+    loose = scratch.cut(_repeated_loose(parse, scratch), "loose")
     scratch.drop(parse)
 
     runs = scratch.cut(long_.select("tid", "copies", "text").join(marks, "tid").mapInArrow(_runs, RUNS), "runs")
@@ -258,6 +259,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, whole: bool = True) ->
     scratch.drop(blocks)
     undecided = F.max(F.when(F.col("n") == 1, F.col("open")).otherwise(0))
     shared = kinds.groupBy("c1", "c2").agg(F.count("*").alias("m"), undecided.alias("todo")).where("m > 1 AND todo = 1").select("c1", "c2")
+    shared = scratch.cut(shared, "shared")
     alone = ((F.col("n") == 1) & (F.col("open") == 1)).cast("int")
     starts = kinds.join(shared, ["c1", "c2"]).select("r.*", "c1", "c2", alone.alias("open"), F.posexplode("r.keys").alias("i", "k")).select(
         "tid", "open", (F.col("p") + F.col("i")).alias("p"), (F.col("d") - F.col("i")).alias("d"), "c1", "c2", "k"
@@ -278,9 +280,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, whole: bool = True) ->
     return keyed.select("doc_id", "digest").join(done, "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
-def _repeated_loose(parse: DataFrame) -> DataFrame:
+def _repeated_loose(parse: DataFrame, scratch: Scratch) -> DataFrame:
     rows = parse.select("tid", "copies", F.explode("loose").alias("x")).select("tid", "copies", "x.p", "x.k1", "x.k2")
-    met = rows.groupBy("k1", "k2").agg(F.sum("copies").alias("n")).where("n > 1").select("k1", "k2")
+    met = scratch.cut(rows.groupBy("k1", "k2").agg(F.sum("copies").alias("n")).where("n > 1").select("k1", "k2"), "met")
     return rows.join(met, ["k1", "k2"]).groupBy("tid").agg(F.collect_list("p").alias("starts"))
 
 
