@@ -108,6 +108,7 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str) -> None:
         .where("n > 1")
         .select("digest", F.col("w.rid").alias("w_rid"), F.col("w.page_id").alias("w_id"))
     )
+    first = scratch.cut(first, "first")
     other = F.col("w_rid") != F.col("rid")
     heads = packed.drop("packed").join(first, "digest", "left").select(
         "rid", "page_id", "url", "n_bytes", "sha1",
