@@ -10,9 +10,9 @@ of child sequences, and branches below LEAST are removed. Copies of a page count
 
 Semantic markup is taken as given: branches under nav, footer, form, script and the like,
 or with class, id or role words such as ad, cookie, sidebar or comments, are removed
-whatever their entropy, and where a page marks its article (or main part), that is what
-the tree's other branches are judged against: everything outside is removed and running
-text inside it is kept.
+whatever their entropy, and where a page marks articles or a main part, everything outside
+these is removed. Inside them the tree judges too: of a branch below LEAST, the texts that
+stand on more than one page of the host are removed, and a page's own text is kept.
 
 Blocks are divided at block-level tags; br is white space. References are decoded, white
 space inside a block becomes one space, and blocks are joined in page order by two
@@ -170,13 +170,13 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
-PARSED = "page_id long, url string, host string, digest binary, blocks array<struct<path:long,zone:int,text:string>>, seen array<struct<path:long,kind:int,h:long>>"
+PARSED = "page_id long, url string, host string, digest binary, blocks array<struct<path:long,zone:int,text:string,h:long>>, seen array<struct<path:long,kind:int,h:long>>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [
         pa.int64(), pa.string(), pa.string(), pa.binary(),
-        pa.list_(pa.struct([("path", pa.int64()), ("zone", pa.int32()), ("text", pa.string())])),
+        pa.list_(pa.struct([("path", pa.int64()), ("zone", pa.int32()), ("text", pa.string()), ("h", pa.int64())])),
         pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("h", pa.int64())])),
     ]
     names = ["page_id", "url", "host", "digest", "blocks", "seen"]
@@ -185,18 +185,28 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             found, children = blocks(html or "")
             top = max((z for _, z, _ in found), default=BOILER)
-            seen = {(p, 0, 0) for p, _, _ in found} | {(p, 1, xxhash.xxh64_intdigest(t) - (1 << 63)) for p, _, t in found}
+            least = MAIN if top >= MAIN else OTHER
+            found = [(p, z, t, xxhash.xxh64_intdigest(t) - (1 << 63)) for p, z, t in found]
+            seen = {(p, 0, 0) for p, *_ in found} | {(p, 1, h) for p, _, _, h in found}
             seen |= {(p, 2, _key(c)) for p, c in children.items()}
-            kept = [{"path": p, "zone": z, "text": t} for p, z, t in found if z == top and z != BOILER]
+            kept = [{"path": p, "zone": z, "text": t, "h": h} for p, z, t, h in found if z >= least]
             rows.append((page_id, url, host_of(url), xxhash.xxh3_128_digest(html or ""), kept, [{"path": p, "kind": k, "h": h} for p, k, h in sorted(seen)]))
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _counts(parsed: DataFrame) -> DataFrame:
+    """(host, path, kind, h, k): on how many distinct pages of its host each thing was seen."""
+    once = parsed.groupBy("host", "digest").agg(F.first("seen").alias("seen"))
+    return once.select("host", F.explode("seen").alias("s")).groupBy("host", "s.path", "s.kind", "s.h").agg(F.count("*").alias("k"))
+
+
 def node_importance(parsed: DataFrame) -> DataFrame:
     """(host, path, importance) of the style nodes that hold text."""
-    once = parsed.groupBy("host", "digest").agg(F.first("seen").alias("seen"))
-    count = once.select("host", F.explode("seen").alias("s")).groupBy("host", "s.path", "s.kind", "s.h").agg(F.count("*").alias("k"))
+    return _importance(_counts(parsed))
+
+
+def _importance(count: DataFrame) -> DataFrame:
     log = lambda x: F.log(x.cast("double"))
     k, kind = F.col("k"), F.col("kind")
     node = count.groupBy("host", "path").agg(
@@ -218,11 +228,17 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     parsed = scratch.cut(rows.mapInArrow(_parse, PARSED), "parsed")
-    low = scratch.cut(
-        node_importance(parsed).where(F.col("importance") < LEAST).groupBy("host").agg(F.collect_set("path").alias("low")), "low"
-    )
-    judged = parsed.drop("seen", "digest").join(low.withColumnRenamed("host", "low_host"), F.col("host").eqNullSafe(F.col("low_host")), "left")
-    keep = F.filter("blocks", lambda b: (b["zone"] != OTHER) | F.col("low").isNull() | ~F.array_contains("low", b["path"]))
+    count = scratch.cut(_counts(parsed), "count")
+    poor = scratch.cut(_importance(count).where(F.col("importance") < LEAST).select(F.col("host").alias("low_host"), F.col("path").alias("low_path")), "poor")
+    here = F.col("host").eqNullSafe(F.col("low_host")) & (F.col("path") == F.col("low_path"))
+    texts = count.where("kind = 1 AND k > 1").join(poor, here)
+    shared = texts.groupBy("low_host").agg(F.collect_set(F.struct("path", "h")).alias("shared"))
+    low = poor.groupBy("low_host").agg(F.collect_set("low_path").alias("low"))
+    low = low.withColumnRenamed("low_host", "x").join(shared, F.col("x").eqNullSafe(F.col("low_host")), "left").select(F.col("x").alias("low_host"), "low", "shared")
+    low = scratch.cut(low, "low")
+    judged = parsed.drop("seen", "digest").join(low, F.col("host").eqNullSafe(F.col("low_host")), "left")
+    own = lambda b: F.col("shared").isNull() | ~F.array_contains("shared", F.struct(b["path"].alias("path"), b["h"].alias("h")))
+    keep = F.filter("blocks", lambda b: F.col("low").isNull() | ~F.array_contains("low", b["path"]) | ((b["zone"] != OTHER) & own(b)))
     text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n\n")
     return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

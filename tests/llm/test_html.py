@@ -37,6 +37,19 @@ def test_style_tree_drops_what_every_page_shows(spark):
     assert got[100].startswith("Welcome")  # one page shows nothing about its host
 
 
+def test_marked_parts_are_judged_too(spark):
+    rows = [
+        (k, f"http://site/{k}", f"<main><p>Story {k} is new</p><div class=box>{'Own box' if k == 7 else 'Join our club'}</div><article><p>Teaser {k}</p></article></main><div>Out {k}</div>")
+        for k in range(20)
+    ]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark, pages(spark, rows)).collect()}
+    # two texts in the box's node: one on 19 of 20 pages, one on a single page
+    lone = [(k, u, h.replace("Own box", "Join our club")) for k, u, h in rows]
+    same = {r["page_id"]: r["text"] for r in H.extract(spark, pages(spark, lone)).collect()}
+    assert all(same[k] == f"Story {k} is new\n\nTeaser {k}" for k in range(20))
+    assert "Own box" in got[7] and all(got[k].startswith(f"Story {k} is new") and got[k].endswith(f"Teaser {k}") for k in range(20))
+
+
 def test_copies_of_a_page_count_once(spark):
     rows = [(k, "http://site/1", "<div>The same page</div>") for k in range(30)]
     assert {r["text"] for r in H.extract(spark, pages(spark, rows)).collect()} == {"The same page"}
