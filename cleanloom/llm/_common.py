@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Seconds between two calls of the collectors, which small tables don't wait for.
+FREE_EVERY = 4
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.freed = time.monotonic()
 
     def cut(self, frame: DataFrame, label: str = "t") -> DataFrame:
         """Write ``frame`` as Parquet and return the table that was written."""
@@ -44,7 +50,8 @@ class Scratch:
         schema = frame.schema
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
-        self.free()
+        if time.monotonic() - self.freed > FREE_EVERY:
+            self.free()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -59,6 +66,7 @@ class Scratch:
         """Let Spark's cleaner remove the shuffle files of plans that are gone."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        self.freed = time.monotonic()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -68,5 +76,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def row_of(frame: DataFrame, inside: str | None = None, new: dict[str, Column] | None = None) -> Column:
+    """All columns of ``frame`` as one struct, so that names chosen inside an operator never meet those of its user.
+
+    With ``inside``, they are taken from the struct column of that name; ``new`` replaces some.
+    """
+    of = (lambda c: F.col(inside).getField(c)) if inside else (lambda c: F.col(f"`{c.replace('`', '``')}`"))
+    return F.struct(*((new or {}).get(c, of(c)).alias(c) for c in frame.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
