@@ -3,31 +3,40 @@
 All texts walk over the same random bits: at step j the embedding shows the character
 under the pointer, which moves on if R(j, character) is 1. Texts a few edits apart fall
 into step again soon after each edit, so that edit distance becomes Hamming distance of
-the embeddings. The fingerprint samples the embedding, a bit each, at steps shared by all
-texts: every step at first, then steps that grow by GROWTH, so that texts of any length
-are sampled to their end by a number of bits that grows with the logarithm of the length.
-It reads ``<number of bits as 4 hex digits>:<bits as hex>``.
+the embeddings. The fingerprint samples the embedding, a bit each, evenly over the whole
+text, at steps shared by all texts. At level l a bit stands for a block of 2^l steps and
+shows one of them; a block of the next level has two of these and shows the step of one,
+drawn by a hash. A text has the least level at which it has at most BITS blocks, so longer
+texts have over BITS / 2 bits, and texts of different levels are compared at the higher,
+which is contained in the lower. It reads ``<level as 2 hex digits>:<number of bits as 4
+hex digits>:<bits as hex>``.
 
 R has the period PERIOD in j. The walk is a composition of maps on PERIOD states, and
 walkers from different states soon meet: blocks of texts are walked side by side, each
 from a guess gained WARM characters before its start, and blocks whose guess proves wrong
 are walked again, so the result is that of the plain walk.
 
-Null text counts as empty; its fingerprint is ``0000:`` and two empty ones are alike.
-Repeated rows and ids are rows of their own, ordered by text within an id; a null doc_id
-counts as the smallest. Other columns are ignored; an empty table gives an empty result.
+Null text counts as empty; its fingerprint is ``00:0000:`` and two empty ones are alike.
+Repeated rows and ids are rows of their own, ordered by a hash of the text within an id; a
+null doc_id counts as the smallest. Other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleanloom.llm import buckets
 from cleanloom.llm._common import Scratch, partitions
 from cleanloom.llm.components import connected_components
 
@@ -35,11 +44,14 @@ PERIOD = 32
 CLASSES = 256
 WARM = 384
 BLOCK = 2048
-GROWTH = 1.0125
+#: Most bits of a fingerprint.
+BITS = 1024
 SEED = 20
 #: Characters walked at once.
 CHUNK = 1 << 21
-BANDS, ROWS = 24, 24
+#: Bands of near_documents, and the bits of each.
+BANDS, ROWS = 48, 20
+LEAST = 0.8
 NO_ID = -(1 << 63)
 
 
@@ -58,16 +70,25 @@ STAY, BIT = _tables()
 NEXT = ((STAY + np.arange(PERIOD)) % PERIOD).astype(np.uint8).ravel()
 
 
-def sample_steps(most: int) -> np.ndarray:
-    """The sampled steps below ``most``."""
-    steps, s = [], 0
-    while s < most:
-        steps.append(s)
-        s = max(s + 1, int(s * GROWTH))
-    return np.array(steps, np.int64)
+def _drawn(blocks: np.ndarray, level: int) -> np.ndarray:
+    """Which half of each block of this level is shown: 0 or 1."""
+    x = (blocks.astype(np.uint64) + np.uint64(level << 40)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)).astype(np.int64)
 
 
-STEPS = sample_steps(1 << 40)
+@cache
+def sampled_steps(level: int) -> np.ndarray:
+    """The step shown by each of the first BITS blocks of a level, ascending."""
+    at = np.arange(BITS, dtype=np.int64)
+    for below in range(level, 0, -1):
+        at = 2 * at + _drawn(at, below)
+    return at
+
+
+def level_of(steps: int) -> int:
+    """The least level at which so many steps have at most BITS blocks."""
+    return (-(-max(1, steps) // BITS) - 1).bit_length()
 
 
 def classes(points: np.ndarray) -> np.ndarray:
@@ -118,8 +139,24 @@ def _ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def embed_bits(texts: list[str]) -> list[np.ndarray]:
-    """The sampled bits of every text."""
+class Print(NamedTuple):
+    """A fingerprint: the level of its blocks and a bit for each."""
+
+    level: int
+    bits: np.ndarray
+
+    def coarser(self) -> Print:
+        """The same text at the next level."""
+        blocks = np.arange(len(self.bits) // 2 + 1)
+        child = 2 * blocks + _drawn(blocks, self.level + 1)
+        return Print(self.level + 1, self.bits[child[child < len(self.bits)]])
+
+    def at(self, level: int) -> Print:
+        return self if level <= self.level else self.coarser().at(level)
+
+
+def embed_bits(texts: list[str]) -> list[Print]:
+    """The fingerprint of every text."""
     sizes = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     c = classes(points)
@@ -127,12 +164,15 @@ def embed_bits(texts: list[str]) -> list[np.ndarray]:
     ends = np.cumsum(stay)  # step after the last that shows the character
     text_end = np.concatenate([[0], ends])[np.cumsum(sizes)]
     begin = np.concatenate([[0], text_end[:-1]])
-    m = np.searchsorted(STEPS, text_end - begin, side="left")
-    at = np.searchsorted(ends, np.repeat(begin, m) + STEPS[_ramp(m)], side="right")
-    return np.split(BIT[c[at]], np.cumsum(m)[:-1])
+    levels = [level_of(int(n)) for n in text_end - begin]
+    shown = [sampled_steps(level) for level in levels]
+    shown = [steps[: np.searchsorted(steps, n)] + b for steps, b, n in zip(shown, begin, text_end - begin, strict=True)]
+    at = np.searchsorted(ends, np.concatenate(shown), side="right")
+    parts = np.split(BIT[c[at]], np.cumsum([len(x) for x in shown])[:-1])
+    return [Print(level, bits) for level, bits in zip(levels, parts, strict=True)]
 
 
-def fingerprints(texts: list[str]) -> list[np.ndarray]:
+def fingerprints(texts: list[str]) -> list[Print]:
     """As embed_bits, CHUNK characters at a time; a longer text is walked alone."""
     out, group, size = [], [], 0
     for text in texts:
@@ -144,21 +184,27 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     return out + (embed_bits(group) if group else [])
 
 
-def as_text(bits: np.ndarray) -> str:
-    return f"{len(bits):04x}:{np.packbits(bits).tobytes().hex()}"
+def as_text(x: Print) -> str:
+    return f"{x.level:02x}:{len(x.bits):04x}:{np.packbits(x.bits).tobytes().hex()}"
+
 
+def as_print(fingerprint: str) -> Print:
+    level, n, data = fingerprint.split(":")
+    return Print(int(level, 16), np.unpackbits(np.frombuffer(bytes.fromhex(data), np.uint8))[: int(n, 16)])
 
-def as_bits(fingerprint: str) -> np.ndarray:
-    m, _, data = fingerprint.partition(":")
-    return np.unpackbits(np.frombuffer(bytes.fromhex(data), np.uint8))[: int(m, 16)]
 
+def likeness(a: Print, b: Print) -> float:
+    """Share of sampled steps that agree, at the higher level, beyond the half that agree by chance: 0 to 1.
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of sampled steps that agree, beyond the half that agree by chance: 0 to 1."""
-    if not max(len(a), len(b)):
+    One less the distance in the plane sum of the bits as 1 and -1, 0 past the end, over
+    the longer one's size: a metric among fingerprints of one level.
+    """
+    level = max(a.level, b.level)
+    x, y = a.at(level).bits, b.at(level).bits
+    if not max(len(x), len(y)):
         return 1.0
-    n = min(len(a), len(b))
-    return float(max(0, 2 * int((a[:n] == b[:n]).sum()) - n) / max(len(a), len(b)))
+    n = min(len(x), len(y))
+    return float(max(0, 2 * int((x[:n] == y[:n]).sum()) - n) / max(len(x), len(y)))
 
 
 def _compare(pairs: list[tuple[int | None, str, str]]) -> Iterator[pa.RecordBatch]:
@@ -203,94 +249,149 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _compare(pairs)
 
 
-def _place(key: F.Column, bounds: list[int], step: int = 64) -> F.Column:
-    """How many of the descending bounds are above the key: first by blocks of bounds, then inside one."""
+def _place(key: F.Column, tie: F.Column, bounds: list[tuple[int, int]], step: int = 64) -> F.Column:
+    """How many bounds (key, tie), by descending key and ascending tie, a row has reached: first by blocks, then inside one."""
     if not bounds:
         return F.lit(0)
+    reached = lambda b: (b["k"] > key) | ((b["k"] == key) & (b["t"] <= tie))
+    of = lambda some: F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in some))
     blocks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    begun = F.size(F.filter(F.array(*(F.lit(b[0]) for b in blocks)), lambda b: b > key))
-    own = F.array(*(F.array(*(F.lit(x) for x in b)) for b in blocks))[F.greatest(begun - 1, F.lit(0))]
-    inside = F.size(F.filter(own, lambda b: b > key))
-    return F.when(begun == 0, 0).otherwise((begun - 1) * step + inside)
+    begun = F.size(F.filter(of([b[0] for b in blocks]), reached))
+    own = F.array(*(of(b) for b in blocks))[F.greatest(begun - 1, F.lit(0))]
+    return F.when(begun == 0, 0).otherwise((begun - 1) * step + F.size(F.filter(own, reached)))
+
+
+def _ranges(keyed: DataFrame, n: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Bounds that cut the rows of (key, tie) into about n ranges, and (key, tie, parts) of what no bound can cut.
+
+    An id that holds several ranges is cut by the hash of the text, and rows with one id and
+    hash that hold more than a range are dealt into parts; there are at most n of these.
+    """
+    row = keyed.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10 * n).alias("cuts"), F.count("*").alias("rows")).head()
+    share = -(-row["rows"] // n)
+    heavy = keyed.groupBy("key", "tie").agg(F.count("*").alias("n")).where(F.col("n") > 2 * share).collect()
+    low, bounds = -(1 << 63), set()
+    for k, r in Counter(row["cuts"] or []).items():
+        bounds |= {(k, low + j * (1 << 64) // r) for j in range(r)}
+    for h in heavy:
+        bounds |= {(h["key"], h["tie"])} | ({(h["key"], h["tie"] + 1)} if h["tie"] < -(low + 1) else set())
+    return sorted(bounds, key=lambda b: (-b[0], b[1])), [(h["key"], h["tie"], -(-h["n"] // share)) for h in heavy]
 
 
 def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness; see COMPARED.
 
     The last third of the edited text is the beginning of the next document by descending
-    doc_id, after the last the first. Ids are cut into ranges; the first document of a
-    range is also lent to the range before, so that texts move once and no task sees more
-    than its ranges.
+    doc_id, after the last the first. Rows are cut into ranges of their order; the first
+    document of a range is also lent to the range before, so that texts move once and no
+    task sees more than its ranges.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    n = 4 * partitions(spark)
-    cuts = docs.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * n).alias("c")).head()["c"]
-    bucket = _place(key, sorted(set(cuts or []), reverse=True))  # 0 has the largest keys
-    keyed = docs.select(key.alias("key"), bucket.alias("bucket"))
-    firsts = sorted((r["bucket"], r["key"]) for r in keyed.groupBy("bucket").agg(F.max("key").alias("key")).collect())
-    to = spark.createDataFrame(  # a row for each range
-        [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "key long, before int"
-    )
-    rows = docs.select(
-        key.alias("key"), bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    ).join(F.broadcast(to), "key", "left")
-    own = F.struct("bucket", F.lit(0).alias("lent"))
-    both = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("lent"))))
+    scratch = Scratch(spark, "editnext")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    bounds, heavy = _ranges(rows.select("key", "tie"), 4 * partitions(spark))
+    bucket = _place(F.col("key"), F.col("tie"), bounds).cast("long") * (1 << 32)
+    rows = rows.withColumn("bucket", bucket)
+    if heavy:
+        parts = spark.createDataFrame(heavy, "key long, tie long, parts long")  # at most one for each range
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
+        rows = rows.join(F.broadcast(parts), ["key", "tie"], "left").withColumn("bucket", F.col("bucket") + deal).drop("parts")
+    # the first row of each range, without its text; then those texts
+    first = F.min(F.struct((-F.col("key") - 1).alias("k"), "tie")).alias("f")  # -key - 1 has no overflow
+    firsts = scratch.cut(rows.groupBy("bucket").agg(first).select("bucket", (-F.col("f.k") - 1).alias("key"), "f.tie"), "firsts")
+    order = sorted(r["bucket"] for r in firsts.select("bucket").collect())  # a number for each range
+    if not order:
+        return spark.createDataFrame([], COMPARED)
+    before = spark.createDataFrame([(b, order[i - 1]) for i, b in enumerate(order)], "bucket long, before long")
+    found = rows.join(F.broadcast(firsts), ["bucket", "key", "tie"]).groupBy("bucket").agg(F.min(F.struct("text", "doc_id", "key", "tie")).alias("x"))
+    lent = found.join(F.broadcast(before), "bucket").select(F.col("before").alias("bucket"), F.lit(1).alias("lent"), "x.doc_id", "x.text", "x.key", "x.tie")
+    own = rows.select("bucket", F.lit(0).alias("lent"), "doc_id", "text", "key", "tie")
     return (
-        rows.withColumn("to", F.explode(both))
-        .select("to.bucket", "to.lent", "doc_id", "text", "key")
+        own.union(lent)
         .repartition(partitions(spark), "bucket")
-        .sortWithinPartitions("bucket", "lent", F.desc("key"), "text")
+        .sortWithinPartitions("bucket", "lent", F.desc("key"), "tie", "text")
+        .select("bucket", "lent", "doc_id", "text")
         .mapInArrow(_with_next, COMPARED)
     )
 
 
+@cache
+def _positions(n: int) -> np.ndarray:
+    """The bits of each band of a fingerprint of n bits: of one order of all places for each band, the first ROWS below n."""
+    order = np.argsort(np.random.default_rng(SEED + 1).random((BANDS, BITS)), axis=1)
+    return np.array([own[own < n][np.arange(ROWS) % n] for own in order])
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprint of each text, and that of the next level."""
+    for batch in batches:
+        prints = fingerprints([t or "" for t in batch.column(1).to_pylist()])
+        columns = [pa.array([as_text(x) for x in prints]), pa.array([as_text(x.coarser()) for x in prints])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "next"])
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprint and band keys; band b samples ROWS bits of the text's length level and of the next."""
-    rng = np.random.default_rng(SEED + 1)
-    draws = rng.random((BANDS, ROWS))
+    """Band keys and number of bits of each fingerprint, and shorter keys, which divide large buckets."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        keys, prints = [], fingerprints(texts)
-        for bits in prints:
-            own = []
-            for level in {len(bits) // 8, max(0, len(bits) - 4) // 8}:
-                low = max(1, level * 8)
-                padded = np.concatenate([bits, np.zeros(max(0, low - len(bits)) + 1, np.uint8)])
-                for b in range(BANDS):
-                    own.append(f"{level}.{b}.{np.packbits(padded[(draws[b] * low).astype(int)]).tobytes().hex()}")
-            keys.append(own)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([as_text(x) for x in prints]), pa.array(keys, pa.list_(pa.string()))], ["doc_id", "fp", "keys"]
-        )
-
-
-def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+        prints, keys, more = [as_print(x) for x in batch.column(1).to_pylist()], [], []
+        for x in prints:
+            own = np.packbits(x.bits[_positions(len(x.bits))], axis=1) if len(x.bits) else ()
+            keys.append([xxhash.xxh64_intdigest(row.tobytes(), b << 8 | x.level) - (1 << 63) for b, row in enumerate(own)])
+            more.append([xxhash.xxh64_intdigest(row.tobytes(), b << 8) - (1 << 63) for b, row in enumerate(own[: BANDS // 3, 1:2] if len(x.bits) else ())])
+        sizes = pa.array([max(1, len(x.bits)) for x in prints], pa.int32())
+        columns = [pa.array(x, pa.list_(pa.int64())) for x in (keys, more)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, sizes], ["lid", "keys", "more", "grams"])
+
+
+def _likened(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = [likeness(as_bits(x), as_bits(y)) >= least for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+        like = [likeness(as_print(x), as_print(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        keep = pa.array([x >= least for x in like], pa.bool_())
+        columns = [batch.column(0), batch.column(1), pa.array(like, pa.float64())]
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["a", "b", "like"])
+
+
+def compared(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose fingerprints have a likeness of at least ``least``, with it as ``like``."""
+    x, y = nodes.select(F.col("lid").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("lid").alias("b"), F.col("fp").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(lambda it: _likened(it, least), "a long, b long, like double")
 
 
-def near_documents(spark: SparkSession, docs: DataFrame, least: float = 0.8) -> DataFrame:
+def near_documents(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, fp, component_id): documents linked by bit-sampled bands and verified likeness.
 
-    Distinct fingerprints that share a band are compared with the least of the band, so the
-    work grows with the bands and not with their squares; a pair that is only like each
-    other must be least in one of the BANDS bands to be linked.
+    Every distinct fingerprint and its form at the next level are nodes, so that texts of
+    neighbouring levels meet. Nodes of one level that share a band are compared
+    by ``buckets.links``. component_id is the smallest doc_id of the component.
     """
     scratch = Scratch(spark, "editprint")
-    use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = scratch.cut(use.mapInArrow(_banded, "doc_id long, fp string, keys array<string>"), "prints")
-    groups = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "groups")
-    banded = groups.select("fp", F.explode("keys").alias("key"))
-    lowest = banded.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    star = banded.join(lowest, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    links = star.mapInArrow(lambda it: _verify(it, least), "a string, b string")
-    roots = scratch.cut(connected_components(spark, links, scratch), "roots")
-    of = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = scratch.cut(use.mapInArrow(_levels, "doc_id long, fp string, next string"), "prints")
+    texts = prints.groupBy("fp", "next").agg(F.min("doc_id").alias("least"))
+    texts = scratch.cut(texts, "texts")
+    nodes = texts.select("fp").union(texts.select(F.col("next").alias("fp"))).distinct().withColumn("lid", F.monotonically_increasing_id())
+    nodes = scratch.cut(nodes, "nodes")
+    banded = scratch.cut(nodes.select("lid", "fp").mapInArrow(_banded, "lid long, keys array<long>, more array<long>, grams int"), "banded")
+    keyed = banded.select("lid", "grams", F.explode("keys").alias("band"))
+    shared = scratch.cut(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    members = scratch.cut(keyed.join(shared, "band"), "members")
+    links = buckets.links(members, lambda pairs, floor: compared(pairs, nodes, floor), least, scratch, banded.select("lid", F.col("more").alias("keys")))
+    scratch.drop(members, banded, shared)
+    named = nodes.select("fp", "lid")
+    own = texts.join(named, "fp").select("next", F.col("lid").alias("a")).join(named.select(F.col("fp").alias("next"), F.col("lid").alias("b")), "next").select("a", "b")
+    roots = scratch.cut(connected_components(spark, links.union(own), scratch), "roots")
+    of = nodes.join(roots, F.col("lid") == F.col("node"), "left").select("fp", F.coalesce("root", "lid").alias("root"))
+    of = scratch.cut(texts.select("fp", "least").join(of, "fp"), "of")
+    ids = scratch.cut(of.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    known = scratch.cut(of.join(ids, "root").select("fp", "component_id"), "known")
+    scratch.drop(texts, nodes, links, roots, of, ids)
+    return prints.select("doc_id", "fp").join(known, "fp")
+
+
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents near each other by banding and verification of their fingerprints."""
+    return near_documents(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

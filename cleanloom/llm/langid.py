@@ -7,8 +7,8 @@ windows that overlap by the widest filter less one, so every byte of every text
 the window probabilities, weighted by the windows' bytes, are averaged.
 
 The network is fitted on labelled text of documents whose crc32(doc_id) mod 5 is not 0:
-a bounded sample of FIT_DOCS documents chosen by a hash of the id, and FIT_WINDOWS
-windows of each. Rows without a label, text or id are not learned from. If no row can be
+a bounded sample, the FIT_DOCS documents with the least hashes of the id (the same for any
+partitioning), and FIT_WINDOWS windows of each. Rows without a label, text or id are not learned from. If no row can be
 learned from, every text is `und`.
 
 Null text, empty text and text without a letter are `und` with score 0. A null doc_id
@@ -18,6 +18,7 @@ counts as held out. Repeated rows get equal results; other columns are ignored,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanloom.llm._common import slices
+from cleanloom.llm._common import row_of, slices
 
 WINDOW = 256
 WIDTHS = (3, 4, 5)
@@ -197,14 +198,17 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, most: int = FIT_DOCS) -> Network | None:
-    """Fit on at most ``most`` labelled documents, chosen by a hash of doc_id among those not held out."""
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    n = usable.select("doc_id").count()
+    """Fit on the labelled documents among the ``most`` with the least hashes of doc_id, held-out ones left out."""
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull())
+    n = labelled.select("doc_id").count()
     if not n:
         return None
-    grain = 1 << 20
-    part = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(grain)) < -(-grain * most // n)
-    rows = usable.where(part).select("lang", "text").limit(most).mapInArrow(_sampled, "lang string, w binary").toArrow()
+    place, grain = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40)), 1 << 40
+    if n > most:  # a bound that leaves some more than ``most``, and the place of the last of them
+        bound = min(grain, grain * (most + 6 * math.isqrt(most) + 10) // n)
+        places = labelled.where(place < bound).select(place.alias("p")).toArrow().column(0).to_pylist()
+        labelled = labelled.where(place <= sorted(places)[: most][-1])
+    rows = labelled.where("text IS NOT NULL AND text <> ''").select("lang", "text").mapInArrow(_sampled, "lang string, w binary").toArrow()
     labels = rows.column(0).to_pylist()
     if not labels:
         return None
@@ -217,29 +221,24 @@ def train(docs: DataFrame, most: int = FIT_DOCS) -> Network | None:
 
 def _scored(batches: Iterator[pa.RecordBatch], net: Network | None, at: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        texts = batch.column(at).cast(pa.large_binary()).to_pylist()
-        langs, scores = classify(net, texts)
-        names = [*batch.schema.names, "_lang_pred", "_lang_score"]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+        langs, scores = classify(net, batch.column(0).field(at).cast(pa.large_binary()).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
 
 def with_language(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` with _lang_pred and _lang_score."""
+    """(row, lang_pred, score): every row of ``docs`` with its language."""
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     score: Callable = lambda it: _scored(it, net, at)
-    return docs.mapInArrow(score, schema)
+    return docs.select(row_of(docs).alias("row")).mapInArrow(score, schema)
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents with a known language and a score of at least ``least``, with the columns of ``docs``."""
-    scored = with_language(docs, train(docs))
-    return scored.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
+    return with_language(docs, train(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = with_language(docs.select("doc_id", "text"), train(docs))
-    return scored.select(
-        "doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score")
-    )
+    return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")

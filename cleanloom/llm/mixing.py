@@ -15,8 +15,10 @@ documents are then dealt by comparing their digest with it, so texts aren't shuf
 no source is in one task.
 
 A null source is a source of its own. Null text has no tokens; a source without tokens
-goes out once, whole. Documents with equal digests (repeated rows, null ids) stay or go
-together. Columns pass through; an empty table gives an empty result.
+goes out once, whole. A document without an id is known by a hash of its text. Documents
+with equal digests (repeated rows) stay or go together, and count together before any
+window sees them. Columns pass through, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,22 +29,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cleanloom.llm._common import Scratch
+from cleanloom.llm._common import Scratch, row_of
 
 MAX_REPEAT = 1.5
 GRID, TURNS = 32, 8
 #: Hex digits of the digest that make a slice.
 SLICE = 4
-ADDED = ("_key", "_tokens", "_epochs", "_last", "_epoch", "_digest")
 
 
 def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def _named(docs: DataFrame) -> list[Column]:
+    """What the plan knows of each document: its source, its id or else a hash of its text, and its tokens."""
+    source = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
+    own = F.concat(F.lit("?"), F.md5(F.coalesce(docs["text"], F.lit(""))))
+    return [source.alias("key"), F.coalesce(docs["doc_id"].cast("string"), own).alias("name"), tokens(docs["text"]).alias("tokens")]
+
+
 def _digest(epoch: Column) -> Column:
     """The place of a document in the order of an epoch."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), epoch.cast("string")))
+    return F.md5(F.concat(F.col("name"), F.lit(":"), epoch.cast("string")))
 
 
 def solve_exponent(sources: DataFrame, max_repeat: float, budget: float | None, entropy: float | None) -> tuple[float, float, float]:
@@ -78,70 +86,63 @@ def solve_exponent(sources: DataFrame, max_repeat: float, budget: float | None,
 
 
 def plan(docs: DataFrame, scratch: Scratch, max_repeat: float, budget: float | None, entropy: float | None) -> tuple[DataFrame, DataFrame]:
-    """(sized, sources): documents' keys and tokens; each source's weight, whole epochs and tokens of the last."""
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sized = scratch.cut(docs.select(F.col("doc_id").cast("string").alias("doc_id"), key.alias("_key"), tokens(F.col("text")).alias("_tokens")), "sized")
-    sums = scratch.cut(sized.groupBy("_key").agg(F.sum("_tokens").alias("tokens")), "sums")
+    """(sized, sources): documents' names and tokens; each source's weight, whole epochs and tokens of the last."""
+    sized = scratch.cut(docs.select(*_named(docs)), "sized")
+    sums = scratch.cut(sized.groupBy("key").agg(F.sum("tokens").alias("tokens")), "sums")
     some = sums.where("tokens > 0")
     if some.isEmpty():
-        return sized, sums.select("_key", F.lit(0.0).alias("_weight"), F.lit(1).cast("long").alias("_epochs"), F.lit(0.0).alias("_left"))
+        return sized, sums.select("key", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("epochs"), F.lit(0.0).alias("left"))
     a, spend, z = solve_exponent(some, max_repeat, budget, entropy)
     total = F.lit(float(some.agg(F.sum("tokens")).head()[0]))
     weight = F.when(F.col("tokens") > 0, F.exp(F.log(F.col("tokens") / total) * a) / F.lit(z)).otherwise(0.0)
-    epochs = F.when(F.col("tokens") > 0, F.col("_weight") * spend / F.col("tokens")).otherwise(1.0)
+    epochs = F.when(F.col("tokens") > 0, F.col("weight") * spend / F.col("tokens")).otherwise(1.0)
     whole = F.floor(epochs + 1e-9)
-    dealt = sums.withColumn("_weight", weight).select(
-        "_key", "_weight", whole.alias("_epochs"), ((epochs - whole) * F.col("tokens")).alias("_left")
-    )
+    dealt = sums.withColumn("weight", weight).select("key", "weight", whole.alias("epochs"), ((epochs - whole) * F.col("tokens")).alias("left"))
     return sized, dealt
 
 
 def last_blocks(sized: DataFrame, dealt: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_key, _last): the greatest digest that the last, partial block of a source takes."""
-    part = dealt.where("_left > 0").select("_key", "_epochs", "_left")
-    placed = sized.join(part, "_key").select("_key", "_left", "_tokens", _digest(F.col("_epochs")).alias("_digest"))
-    placed = placed.withColumn("_slice", F.substring("_digest", 1, SLICE))
-    slices = placed.groupBy("_key", "_slice").agg(F.sum("_tokens").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    begun = scratch.cut(slices.withColumn("_before", F.coalesce(before, F.lit(0))).select("_key", "_slice", "_before"), "slices")
-    within = F.sum("_tokens").over(Window.partitionBy("_key", "_slice").orderBy("_digest").rangeBetween(Window.unboundedPreceding, 0))
+    """(key, last): the greatest digest that the last, partial block of a source takes."""
+    part = dealt.where("`left` > 0").select("key", "epochs", "left")
+    placed = sized.join(part, "key").select("key", "left", "tokens", _digest(F.col("epochs")).alias("digest"))
+    placed = placed.groupBy("key", "digest").agg(F.sum("tokens").alias("tokens"), F.first("left").alias("left")).withColumn("slice", F.substring("digest", 1, SLICE))
+    placed = scratch.cut(placed, "placed")
+    slices = placed.groupBy("key", "slice").agg(F.sum("tokens").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    begun = scratch.cut(slices.withColumn("before", F.coalesce(before, F.lit(0))).select("key", "slice", "before"), "slices")
+    within = F.sum("tokens").over(Window.partitionBy("key", "slice").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0))
     # slices that begin past the budget take no part; of the others, digests whose sum fits
-    fits = placed.join(begun, ["_key", "_slice"]).where("_before <= _left").withColumn("_sum", F.col("_before") + within)
-    return scratch.cut(fits.where("_sum <= _left").groupBy("_key").agg(F.max("_digest").alias("_last")), "last")
+    fits = placed.join(begun, ["key", "slice"]).where("before <= `left`").withColumn("sum", F.col("before") + within)
+    last = scratch.cut(fits.where("sum <= `left`").groupBy("key").agg(F.max("digest").alias("last")), "last")
+    scratch.drop(placed, begun)
+    return last
 
 
 def mixed(
     spark: SparkSession, docs: DataFrame, max_repeat: float = MAX_REPEAT, budget: float | None = None, entropy: float | None = None
 ) -> DataFrame:
-    """``docs`` dealt by weight, with _epoch, _digest, _tokens and _weight; a document is there once for each epoch."""
-    docs = docs.drop(*(c for c in (*ADDED, "_weight") if c in docs.columns))
+    """(row, epoch, digest, tokens, weight): the rows of ``docs`` dealt by weight; a document is there once for each epoch."""
     scratch = Scratch(spark, "mixing")
     sized, dealt = plan(docs, scratch, max_repeat, budget, entropy)
     dealt = scratch.cut(dealt, "dealt")
     last = last_blocks(sized, dealt, scratch)
-    of = scratch.cut(dealt.join(last, "_key", "left").select("_key", "_weight", "_epochs", "_last"), "sources")
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    joined = docs.withColumn("_key", key).join(of, "_key")
-    epochs = F.when(
-        F.col("_last").isNotNull() & (_digest(F.col("_epochs")) <= F.col("_last")), F.col("_epochs") + 1
-    ).otherwise(F.col("_epochs"))
-    out = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs))).where(F.col("_epoch") < epochs)
-    return out.withColumn("_digest", _digest(F.col("_epoch"))).withColumn("_tokens", tokens(F.col("text"))).select(
-        *docs.columns, "_epoch", "_digest", "_tokens", "_weight"
-    )
+    of = scratch.cut(dealt.join(last, "key", "left").select("key", "weight", "epochs", "last"), "sources")
+    scratch.drop(sized, dealt, last)
+    joined = docs.select(row_of(docs).alias("row"), *_named(docs)).join(of, "key")
+    more = F.col("last").isNotNull() & (_digest(F.col("epochs")) <= F.col("last"))
+    epochs = F.when(more, F.col("epochs") + 1).otherwise(F.col("epochs"))
+    out = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs))).where(F.col("epoch") < epochs)
+    return out.select("row", "epoch", _digest(F.col("epoch")).alias("digest"), "tokens", "weight")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """The mixed documents, with the columns of ``docs``."""
-    return mixed(spark, docs, max_repeat).select(*docs.columns)
+    return mixed(spark, docs, max_repeat).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(spark, docs).select(
-        "doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_digest").alias("place"),
-        F.col("_tokens").alias("tokens"), F.round("_weight", 6).alias("weight"),
-    )
+    return mixed(spark, docs).select("row.doc_id", "row.source", "epoch", F.col("digest").alias("place"), "tokens", F.round("weight", 6).alias("weight"))
 
 
 ORACLE = f"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_edit_fingerprints": editprint.query,
     "op9_exact_top_k": topk.query,
     "op10_html_main_text": html.query,
+    "edit_near_documents": editprint.near_query,
 }
 
 ORACLES: dict[str, str] = {

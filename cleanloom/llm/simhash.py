@@ -1,22 +1,29 @@
 """Near-duplicate documents by SimHash and covering locality-sensitive hashing.
 
-Every document gets a 64-bit SimHash of its word shingles. Fingerprints within
-``RADIUS`` differing bits are linked. The tables are those of covering LSH: bit i
-carries a non-zero vector m(i) over GF(2)^(r+1), and table v keeps the bits with
-<m(i), v> = 1. The vectors of at most r differing bits span at most r dimensions, so
-some v is orthogonal to all of them and the pair collides in table v: no pair within the
-radius is missed.
-
-Within a bucket no pairs are made. A pair within distance 2 shares a midpoint (one of the
-two, or either with one bit flipped), and a pair that shares a midpoint is within
-distance 2. Each fingerprint of a bucket therefore emits itself and its single flips of
-the bits that the table ignores, and those that meet at a midpoint are hung under its
-least. That is exact and grows with the bucket, not with its square.
+Every document gets a 64-bit SimHash of its word shingles. The tables are those of
+covering LSH: bit i carries a non-zero vector m(i) over GF(2)^(r+1), and table v keeps the
+bits with <m(i), v> = 1. The vectors of at most r differing bits span at most r
+dimensions, so some v is orthogonal to all of them and the pair collides in table v: no
+pair within the radius is missed.
+
+``near_duplicates`` links fingerprints within RADIUS = 2 differing bits. Inside a bucket
+no pairs are made. A pair within distance 2 shares a midpoint (one of the two, or either
+with one bit flipped), and a pair that shares a midpoint is within distance 2. Each
+fingerprint of a bucket therefore emits itself and its single flips of the bits that the
+table ignores, and those that meet at a midpoint are hung under its least. That is exact
+and grows with the bucket, not with its square.
+
+``similar_documents`` links documents whose sets of word shingles have a Jaccard likeness
+of LEAST or more. The tables of a wider radius (WIDE) give the candidates: all pairs within
+it, and many beyond, as differing bits whose vectors happen to be dependent still collide.
+Every candidate pair is compared exactly, by 64-bit hashes of its shingles, bucket by
+bucket (``buckets.links``). Texts with equal words are one node from the start.
 
 Null texts count as empty. A document without words has fingerprint zero and is linked
-like any other. Rows that repeat, ids included, give repeated result rows. A null doc_id
-is kept and takes part; it is never the component id unless all ids of the component are
-null. Other columns of the input are ignored.
+like any other; its likeness to another without words is 1. Rows that repeat, ids
+included, give repeated result rows. A null doc_id is kept and takes part; it is never the
+component id unless all ids of the component are null. Other columns of the input are
+ignored, and passed on by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,40 +33,64 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cleanloom.llm._common import Scratch
+from cleanloom.llm import buckets
+from cleanloom.llm._common import Scratch, row_of, slices
 from cleanloom.llm.components import connected_components
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 BITS = 64
+#: Of similar_documents: words in a shingle, likeness, and the radius of the tables.
+WORDS = 5
+LEAST = 0.8
+WIDE = 6
+KEYS = 8
+NO_ID = -(1 << 63)
 #: Hashes whose bits are counted at once, so that a long text needs no more memory.
 CHUNK = 4096
 
 
+def _hashes(words: list[bytes], shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text of ``shingle`` words or more, repeats included, CHUNK at a time."""
+    n, hashed = len(words) - shingle + 1, xxhash.xxh64_intdigest
+    for at in range(0, n, CHUNK):
+        part = words[at : min(at + CHUNK, n) + shingle - 1]
+        grams = zip(*(part[k:] for k in range(shingle)), strict=False)
+        yield np.fromiter((hashed(b" ".join(g), seed) for g in grams), np.uint64)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()  # of bytes: A-Z only, and ASCII white space only
+
+
 def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of one UTF-8 text: a bit is set if it is in over half the shingle hashes."""
-    words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
+    words = words_of(text)
     if not words:
         return 0
-    hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hashed(b" ".join(words), seed)
-    n = len(words) - shingle + 1
+        return xxhash.xxh64_intdigest(b" ".join(words), seed)
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, CHUNK):
-        part = words[at : min(at + CHUNK, n) + shingle - 1]
-        grams = zip(*(part[k:] for k in range(shingle)), strict=False)
-        h = np.fromiter((hashed(b" ".join(g), seed) for g in grams), np.uint64)
+    for h in _hashes(words, shingle, seed):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
+    packed = np.packbits((2 * ones > len(words) - shingle + 1).astype(np.uint8), bitorder="little")
     return int(packed.view(np.uint64)[0])
 
 
+def shingle_set(text: bytes, shingle: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the distinct shingles of one UTF-8 text; the whole text is one if it has fewer words, none included."""
+    words = words_of(text)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+    return np.unique(np.concatenate(list(_hashes(words, shingle, seed))))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
@@ -88,18 +119,18 @@ def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, seed: int = S
     )
 
 
+def _tables(prints: DataFrame, radius: int, *more: str) -> DataFrame:
+    """(fp, *more, t, key): the key of every fingerprint in every table."""
+    keys = (F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks(radius)))
+    return prints.select("fp", *more, F.explode(F.array(*keys)).alias("x")).select("fp", *more, "x.t", "x.key")
+
+
 def linked_fingerprints(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct fingerprints within distance 2.
 
     Counts are tables of their own before they are joined, so that skewed joins are split.
     """
-    tables = masks(RADIUS)
-    keyed = prints.select(
-        "fp",
-        F.explode(
-            F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(tables)))
-        ).alias("x"),
-    ).select("fp", "x.t", "x.key")
+    tables, keyed = masks(RADIUS), _tables(prints, RADIUS)
     full = scratch.cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key"), "full")
     near = keyed.join(full, ["t", "key"])
     # flips of the bits that the table ignores; 0 is the fingerprint itself
@@ -133,17 +164,91 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest doc_id.
+NODES = "id long, h long, fp long, w1 long, w2 long"
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The fingerprint of each text and a 128-bit hash of its words."""
+    for batch in slices(batches):
+        prints, words = [], []
+        for t in batch.column(2).cast(pa.large_binary()):
+            text = t.as_py() or b""
+            prints.append(simhash(text, shingle))
+            words.append(xxhash.xxh3_128_digest(b" ".join(words_of(text))))
+        halves = np.frombuffer(b"".join(words), ">i8").reshape(-1, 2).astype(np.int64)
+        columns = [np.array(prints, np.uint64).view(np.int64), halves[:, 0], halves[:, 1]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], [x.split()[0] for x in NODES.split(", ")])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The shingle set of each text, its size, and KEYS hashes of three MinHash minima each, which divide large buckets."""
+    orders = np.random.default_rng(SEED).integers(0, 1 << 63, 3 * KEYS, dtype=np.uint64)
+    for batch in slices(batches):
+        sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.large_binary())]
+        minima = [[int((x ^ order).min()) for order in orders] for x in sets]
+        keys = [[hash(tuple(m[3 * k : 3 * k + 3])) for k in range(KEYS)] for m in minima]  # of numbers: the same in every process
+        columns = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["lid", "set", "grams", "keys"])
+
+
+def _document(docs: DataFrame) -> list[Column]:
+    """Rows with equal (id, h) are the same document."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs["text"]).alias("h")]
+
+
+def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) with a Jaccard likeness of at least ``least`` of their sets, with it as ``like``."""
+    x = sets.select(F.col("lid").alias("a"), F.col("set").alias("x"), F.col("grams").alias("gx"))
+    y = sets.select(F.col("lid").alias("b"), F.col("set").alias("y"), F.col("grams").alias("gy"))
+    common = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("gx") + F.col("gy")).alias("g"), F.size(F.array_intersect("x", "y")).cast("double").alias("c"))
+    return common.select("a", "b", (F.col("c") / (F.col("g") - F.col("c"))).alias("like")).where(F.col("like") >= least)
+
+
+def similar_documents(
+    spark: SparkSession, docs: DataFrame, scratch: Scratch, shingle: int = WORDS, least: float = LEAST, radius: int = WIDE
+) -> DataFrame:
+    """(id, h, keep): every distinct document, and whether it is the least (id, h) of its component."""
+    texts = docs.select(*_document(docs), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    prints = scratch.cut(texts.mapInArrow(lambda it: _nodes(it, shingle), NODES), "prints")
+    least_of = F.min(F.struct("id", "h")).alias("first")
+    # frequent texts have the least ids
+    lid = (4095 - F.least("n", F.lit(4095))) * F.lit(1 << 51) + F.monotonically_increasing_id()
+    nodes = prints.groupBy("w1", "w2").agg(least_of, F.first("fp").alias("fp"), F.count("*").alias("n")).withColumn("lid", lid)
+    nodes = scratch.cut(nodes, "nodes")
+
+    keyed = _tables(nodes.select("fp", "lid"), radius, "lid").select("lid", F.xxhash64("t", "key").alias("band"))
+    shared = scratch.cut(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    met = scratch.cut(keyed.join(shared, "band"), "met")
+    wanted = scratch.cut(nodes.join(met.select("lid").distinct(), "lid").select("lid", "first.id", "first.h"), "wanted")
+    own = texts.join(wanted, ["id", "h"]).groupBy("lid").agg(F.first("text").alias("text"))
+    sets = scratch.cut(own.mapInArrow(lambda it: _sets(it, shingle), "lid long, set array<long>, grams int, keys array<long>"), "sets")
+    members = scratch.cut(met.join(sets.select("lid", "grams"), "lid"), "members")
+    scratch.drop(shared, met, wanted)
+    links = buckets.links(members, lambda pairs, floor: compared(pairs, sets, floor), least, scratch, sets.select("lid", "keys"))
+    scratch.drop(members, sets)
+    roots = scratch.cut(connected_components(spark, links, scratch), "roots")
+    linked = scratch.cut(nodes.join(roots, F.col("lid") == F.col("node")).select("w1", "w2", "root", "first"), "linked")
+    firsts = scratch.cut(linked.groupBy("root").agg(F.min("first").alias("first")), "firsts")
+    better = linked.drop("first").join(firsts, "root").select("w1", "w2", "first")
+    alone = nodes.join(roots, F.col("lid") == F.col("node"), "left_anti").select("w1", "w2", "first")
+    named = scratch.cut(alone.union(better), "named")
+    keep = (F.col("first.id") == F.col("id")) & (F.col("first.h") == F.col("h"))
+    out = scratch.cut(prints.select("id", "h", "w1", "w2").join(named, ["w1", "w2"]).select("id", "h", keep.alias("keep")).distinct(), "judged")
+    scratch.drop(prints, nodes, links, roots, linked, firsts, named)
+    return out
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = WORDS, least: float = LEAST, radius: int = WIDE) -> DataFrame:
+    """One document of each group of similar documents stays: that with the least (doc_id, hash of the text), a null id first.
 
-    Of repeated rows with that id one stays, the least by text; rows without an id stay.
-    Columns are those of the input.
+    Rows that repeat id and text are one document, of which one row stays, that with the
+    least hash of all its columns. Columns are those of the input.
     """
-    found = near_duplicates(spark, docs)
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_nth", nth).where("_nth = 1 OR doc_id IS NULL").select(*docs.columns)
+    judged = similar_documents(spark, docs, Scratch(spark, "simhash"), shingle, least, radius)
+    hashed = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and not isinstance(f.dataType, T.VariantType)]
+    once = docs.select(row_of(docs).alias("row"), *_document(docs), F.xxhash64(*hashed).alias("order"))
+    once = once.groupBy("id", "h").agg(F.min_by("row", "order").alias("row"))
+    return once.join(judged.where("keep").select("id", "h"), ["id", "h"], "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

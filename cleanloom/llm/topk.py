@@ -2,38 +2,54 @@
 
 Components become integers, floor(256 x). The approximation of a vector is a byte for
 each dimension, its cell on a grid of equal cells between that dimension's least and
-greatest value over the corpus. A scan of the cells gives an upper bound of every score
-(one matrix product on the bytes); exact vectors are read in the order of that bound
-until the kth score found is above the next bound. Ties go to the smaller vec_id.
-
-Vectors that are null, empty, or hold null or non-finite components, and rows without a
-vec_id, take no part. A query meets the vectors of its own length only, and no row with
-its own vec_id. Repeated rows count as rows of their own. Fewer than k other rows give
-all of them; an empty table gives an empty result. Other columns are ignored.
+greatest value over the corpus. Cells lie packed in segments, apart from the exact
+vectors. A scan of the cells bounds every score from both sides (matrix products on the
+bytes); of each query a task passes on the FIRST vectors with the greatest upper bounds,
+as far as these reach the kth greatest lower bound it has seen, and the greatest bound it
+left out. The exact vectors of these alone are then read, by a join. A query whose kth
+score is above all that was left out is certain. The others, and there are hardly any, go
+through further rounds that pass on STEP times as many, until none is left. Ties go to the
+smaller vec_id.
+
+Segments are dealt into groups, and the packed queries are sent to every group, so that
+the plan is the same for any number of queries. Of equal vectors only those with the least
+ids take part, as many as can be among the best of any query.
+
+Vectors that are null or hold null or non-finite components, and rows without a vec_id,
+take no part. A query meets the vectors of its own length only, and no row with its own
+vec_id; empty vectors all score 0. Repeated rows count as rows of their own; of queries
+with one vec_id the least vector counts. Fewer than k
+other rows give all of them; an empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleanloom.llm._common import Scratch
+from cleanloom.llm._common import Scratch, partitions
 
 K = 5
 SCALE = 256
 CELLS = 256
 SEGMENT = 4096
-#: Queries sent out at once; there is one pass over the cells for each such block.
-BLOCK = 4096
+#: Queries in a row that is sent out.
+BLOCK = 1024
 #: Queries whose bounds are in memory at once.
 SLICE = 256
+#: Vectors that a task passes on for each query, in multiples of k, and how these grow each round.
+FIRST, STEP = 8, 16
+#: Blocks of queries that a task holds the best of at a time.
+OPEN = 32
 #: Integers below this are exact as doubles.
 EXACT = float(1 << 52)
-TAKES_PART = "vec_id IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))"
+TAKES_PART = "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))"
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -49,128 +65,180 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, x in _matrices(batch):
-            d = x.shape[1]
+        for d, part in _by_length(batch):
+            x = _stacked(part.column(1), d)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(d, d), pa.int32()), pa.array(np.arange(d), pa.int32()), pa.array(x.min(0)), pa.array(x.max(0))],
                 ["dims", "d", "lo", "hi"],
             )
 
 
-def _segments(batches: Iterator[pa.RecordBatch], grid: dict) -> Iterator[pa.RecordBatch]:
-    """Rows of at most SEGMENT vectors: ids, cells and exact integers, each as bytes."""
+def _integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector's integers, as the bytes of doubles."""
     for batch in batches:
         for ids, x in _matrices(batch):
-            lo, width = grid[x.shape[1]]
-            for at in range(0, len(ids), SEGMENT):
-                part = x[at : at + SEGMENT]
-                cells = np.clip((part - lo) // width, 0, CELLS - 1).astype(np.uint8)
-                columns = [pa.array([ids[at : at + SEGMENT].astype(np.int64).tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary()), pa.array([part.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), *columns], ["dims", "ids", "cells", "exact"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids.astype(np.int64)), pa.array(np.full(len(ids), x.shape[1]), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())],
+                ["vec_id", "dims", "x"],
+            )
 
 
-def _exact(rows: np.ndarray, q: np.ndarray) -> list[int]:
-    """Integer inner products, whatever their size."""
-    if np.abs(rows).max(initial=1) * np.abs(q).max(initial=1) * len(q) < EXACT:
-        return (rows @ q).astype(np.int64).tolist()
-    whole = [int(x) for x in q]
-    return [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in rows]
+def _stacked(column: pa.Array, d: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, d)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = np.asarray(batch.column(batch.schema.get_field_index("dims")))
+    for d in np.unique(dims):
+        yield int(d), batch.filter(pa.array(dims == d))
+
+
+def _segments(batches: Iterator[pa.RecordBatch], grid: dict, groups: int) -> Iterator[pa.RecordBatch]:
+    """Rows of at most SEGMENT vectors: their row ids and vec_ids, and cells, as bytes; dealt to groups."""
+    for batch in batches:
+        for d, part in _by_length(batch):
+            lo, width = grid[d]
+            for at in range(0, part.num_rows, SEGMENT):
+                own = part.slice(at, SEGMENT)
+                cells = np.clip((_stacked(own.column(2), d) - lo) // width, 0, CELLS - 1).astype(np.uint8)
+                rid, ids = (np.asarray(own.column(k)).astype(np.int64) for k in (0, 3))
+                columns = [pa.array([x.tobytes()], pa.binary()) for x in (rid, ids, cells)]
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([int(rid[0]) % groups], pa.int32()), *columns], ["dims", "g", "rids", "ids", "cells"])
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of at most BLOCK queries."""
+    for batch in batches:
+        for d, part in _by_length(batch):
+            for at in range(0, part.num_rows, BLOCK):
+                own = part.slice(at, BLOCK)
+                columns = [pa.array([np.asarray(own.column(0)).astype(np.int64).tobytes()], pa.binary()), pa.array([b"".join(own.column(2).to_pylist())], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *columns], ["dims", "q_ids", "q_x"])
+
+
+def bounds(q: np.ndarray, cells: np.ndarray, lo: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of queries (rows of q) and vectors (rows of cells).
+
+    A component in cell c is at least lo + c width, and less than lo + (c + 1) width.
+    """
+    base = (q * width) @ cells.astype(np.float64).T + (q @ lo)[:, None]
+    low = base + (np.minimum(q, 0) @ (width - 1))[:, None]
+    high = base + (np.maximum(q, 0) @ (width - 1))[:, None]
+    slack = 1e-9 * (1 + np.abs(base)) + 1e-9 * (np.abs(q) @ (np.abs(lo) + CELLS * width))[:, None]  # above rounding
+    return low - slack, high + slack
 
 
 class Best:
-    """The k best of one query so far: (-score, vec_id), the best first."""
-
-    def __init__(self, k: int):
-        self.k, self.rows = k, []
-
-    def kth(self) -> float:
-        return -self.rows[-1][0] if len(self.rows) == self.k else -np.inf
-
-    def add(self, scores: list[int], ids: np.ndarray) -> None:
-        self.rows = sorted(self.rows + [(-s, int(i)) for s, i in zip(scores, ids, strict=True)])[: self.k]
-
-
-def search_segment(best: list[Best], qids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: np.ndarray, exact: np.ndarray, lo: np.ndarray, width: np.ndarray) -> int:
-    """Take one segment into the best of each query; returns how many exact vectors it read."""
-    codes, read = cells.astype(np.float64), 0
-    for at in range(0, len(q), SLICE):
-        part = q[at : at + SLICE]
-        # a component in cell c is at most lo + (c + 1) width, and at least lo + c width
-        bound = (part * width) @ codes.T + (part @ lo + np.maximum(part, 0) @ width)[:, None]
-        bound += 1e-6 * (1 + np.abs(bound))  # above rounding
-        bound[qids[at : at + SLICE, None] == ids] = -np.inf
-        for k, row in enumerate(bound):
-            own = best[at + k]
-            open_ = np.flatnonzero(row >= own.kth()) if np.isfinite(own.kth()) else np.flatnonzero(np.isfinite(row))
-            order = open_[np.argsort(-row[open_], kind="stable")]
-            for start in range(0, len(order), 4 * own.k):
-                take = order[start : start + 4 * own.k]
-                if row[take[0]] < own.kth():
-                    break
-                own.add(_exact(exact[take], part[k]), ids[take])
-                read += len(take)
-    return read
-
-
-def _search(batches: Iterator[pa.RecordBatch], k: int, grid: dict) -> Iterator[pa.RecordBatch]:
-    """Search the segments of one task for one block of queries; emits k rows a query."""
-    best, of = {}, {}
+    """Of one block of queries, the vectors with the greatest upper bounds so far, and the greatest bound left out."""
+
+    def __init__(self, qids: np.ndarray, k: int, most: int):
+        self.qids, self.k, self.most, n = qids, k, most, len(qids)
+        self.high, self.low = np.full((n, 0), -np.inf), np.full((n, 0), -np.inf)
+        self.rid = np.zeros((n, 0), np.int64)
+        self.left = np.full(n, -np.inf)
+
+    def add(self, q: np.ndarray, rids: np.ndarray, ids: np.ndarray, cells: np.ndarray, lo: np.ndarray, width: np.ndarray) -> None:
+        parts = []
+        for at in range(0, len(q), SLICE):
+            rows = slice(at, at + SLICE)
+            low, high = bounds(q[rows], cells, lo, width)
+            own = self.qids[rows, None] == ids
+            low[own], high[own] = -np.inf, -np.inf
+            low, high = np.hstack([self.low[rows], low]), np.hstack([self.high[rows], high])
+            rid = np.hstack([self.rid[rows], np.broadcast_to(rids, (len(high), len(rids)))])
+            if high.shape[1] > self.k:  # below the kth lower bound nothing is among the best
+                high[high < -np.partition(-low, self.k - 1, axis=1)[:, self.k - 1, None]] = -np.inf
+            if high.shape[1] > self.most:
+                order = np.argpartition(-high, self.most, axis=1)
+                self.left[rows] = np.maximum(self.left[rows], np.take_along_axis(high, order[:, self.most :], 1).max(1))
+                low, high, rid = (np.take_along_axis(x, order[:, : self.most], 1) for x in (low, high, rid))
+            parts.append((low, high, rid))
+        self.low, self.high, self.rid = (np.vstack(x) for x in zip(*parts, strict=True))
+
+    def rows(self) -> pa.RecordBatch:
+        """(query_id, rid, high) of what is kept, and (query_id, null, bound) of what was left out."""
+        at, column = np.nonzero(np.isfinite(self.high))
+        out = np.flatnonzero(np.isfinite(self.left))
+        rid = pa.concat_arrays([pa.array(self.rid[at, column]), pa.nulls(len(out), pa.int64())])
+        high = np.concatenate([self.high[at, column], self.left[out]])
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[np.concatenate([at, out])]), rid, pa.array(high)], ["query_id", "rid", "high"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], k: int, most: int, grid: dict) -> Iterator[pa.RecordBatch]:
+    """The best of each block of queries over the segments it meets in this task."""
+    best: dict[bytes, Best] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            d, qids = row["dims"], np.frombuffer(row["q_ids"], np.int64)
-            q = np.frombuffer(row["q_exact"], np.float64).reshape(-1, d)
+            d, qids, key = row["dims"], np.frombuffer(row["q_ids"], np.int64), row["q_ids"] + bytes([row["dims"] & 255])
+            if key not in best and len(best) >= OPEN:
+                yield best.pop(next(iter(best))).rows()
+            mine = best.setdefault(key, Best(qids, k, most))
+            rids, ids = (np.frombuffer(row[c], np.int64) for c in ("rids", "ids"))
             lo, width = grid[d]
-            key = (d, row["b"])
-            of[key], mine = qids, best.setdefault(key, [Best(k) for _ in qids])
-            ids = np.frombuffer(row["ids"], np.int64)
-            shape = (len(ids), d)
-            search_segment(mine, qids, q, ids, np.frombuffer(row["cells"], np.uint8).reshape(shape), np.frombuffer(row["exact"], np.float64).reshape(shape), lo, width)
-    rows = [(int(q), i, -s) for key, mine in best.items() for q, own in zip(of[key], mine, strict=True) for s, i in own.rows]
-    columns = list(zip(*rows, strict=True)) or [[], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+            mine.add(np.frombuffer(row["q_x"], np.float64).reshape(len(qids), d), rids, ids, np.frombuffer(row["cells"], np.uint8).reshape(len(rids), d), lo, width)
+    for mine in best.values():
+        yield mine.rows()
+
 
+def _exact(rows: np.ndarray, q: np.ndarray) -> list[int]:
+    """Integer inner products of rows of two tables, whatever their size."""
+    if np.abs(rows).max(initial=1) * np.abs(q).max(initial=1) * max(1, rows.shape[1]) < EXACT:
+        return (rows * q).sum(1).astype(np.int64).tolist()
+    return [sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(rows, q, strict=True)]
 
-def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, x in _matrices(batch):
-            for at in range(0, len(ids), BLOCK):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.shape[1]], pa.int32()), pa.array([ids[at : at + BLOCK].astype(np.int64).tobytes()], pa.binary()), pa.array([x[at : at + BLOCK].tobytes()], pa.binary())],
-                    ["dims", "q_ids", "q_exact"],
-                )
+        for d, part in _by_length(batch):
+            scores = _exact(_stacked(part.column(3), d), _stacked(part.column(4), d))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.int64())], ["query_id", "rid", "score"])
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest inner products of every query.
 
-    ``queries`` and ``vectors`` have vec_id and embedding. Queries go out in blocks of
-    BLOCK rows, a size bound on what is sent; each block scans all cells once, and each
-    task passes on k rows a query.
+    ``queries`` and ``vectors`` have vec_id and embedding.
     """
     scratch = Scratch(spark, "topk")
-    use = vectors.where(TAKES_PART).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    ranges = use.mapInArrow(_ranges, "dims int, d int, lo double, hi double").groupBy("dims", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    grid: dict = {}
-    for row in sorted(ranges.collect()):  # a row for each dimension
+    whole = lambda df: df.where(TAKES_PART).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_integers, "vec_id long, dims int, x binary")
+    given = scratch.cut(whole(vectors), "given")
+    few = given  # of an equal vector k rows of an id, and of all ids twice as many, as one id may be the query's own
+    for of, n in ((["dims", "x", "vec_id"], k), (["dims", "x"], 2 * k)):
+        few = few.withColumn("n", F.row_number().over(Window.partitionBy(*of).orderBy("vec_id"))).where(F.col("n") <= n).drop("n")
+    rows = scratch.cut(few.select(F.monotonically_increasing_id().alias("rid"), "dims", "x", "vec_id"), "rows")
+    asked = whole(queries).groupBy("vec_id").agg(F.min(F.struct("dims", "x")).alias("v")).select("vec_id", "v.dims", "v.x")
+    asked = scratch.cut(asked, "asked")
+    measured = rows.select("dims", "x").mapInArrow(_ranges, "dims int, d int, lo double, hi double").groupBy("dims", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    grid: dict = {0: (np.empty(0), np.empty(0))}
+    for row in sorted(measured.collect()):  # a row for each dimension
         grid.setdefault(row["dims"], []).append((row["lo"], max(1.0, np.ceil((row["hi"] - row["lo"] + 1) / CELLS))))
-    grid = {d: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for d, v in grid.items()}
-    index = scratch.cut(use.mapInArrow(lambda it: _segments(it, grid), "dims int, ids binary, cells binary, exact binary"), "index")
-    asked = queries.where(TAKES_PART).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    packed = scratch.cut(
-        asked.coalesce(1 + asked.count() // BLOCK)
-        .mapInArrow(_pack_queries, "dims int, q_ids binary, q_exact binary")
-        .withColumn("b", F.monotonically_increasing_id()),
-        "queries",
-    )
-    found = None
-    for row in packed.select("b", "dims").collect():  # a number for each block
-        block = F.broadcast(packed.where((F.col("b") == row["b"]) & (F.col("dims") == row["dims"])))
-        hits = index.join(block, "dims").mapInArrow(lambda it: _search(it, k, grid), "query_id long, vec_id long, score long")
-        found = hits if found is None else found.union(hits)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    grid = {d: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) if d else v for d, v in grid.items()}
+    groups = partitions(spark)
+    cells = scratch.cut(rows.mapInArrow(lambda it: _segments(it, grid, groups), "dims int, g int, rids binary, ids binary, cells binary"), "cells")
+    done, most = [], FIRST * k
+    while True:
+        packs = asked.mapInArrow(_packs, "dims int, q_ids binary, q_x binary")
+        sent = packs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        hits = sent.join(cells, ["dims", "g"]).select("dims", "q_ids", "q_x", "rids", "ids", "cells")
+        hits = hits.mapInArrow(lambda it, most=most: _scan(it, k, most, grid), "query_id long, rid long, high double")
+        ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rid").isNull(), F.desc("high"))))
+        hits = scratch.cut(ranked.select("query_id", "rid", "high", "n"), "hits")
+        left = scratch.cut(hits.where((F.col("n") > most) | F.col("rid").isNull()).groupBy("query_id").agg(F.max("high").alias("left")), "left")
+        near = hits.where((F.col("n") <= most) & F.col("rid").isNotNull()).join(rows, "rid")
+        both = near.join(asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
+        scored = both.select("query_id", "rid", "dims", "x", "q").mapInArrow(_score, "query_id long, rid long, score long")
+        named = scored.join(rows.select("rid", "vec_id"), "rid")
+        best = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+        best = scratch.cut(best.select("query_id", "rank", "vec_id", "score"), "best")
+        kth = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
+        open_ = left.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("n") < k) | (F.col("kth") <= F.col("left"))).select("query_id")
+        open_ = scratch.cut(open_, "open")
+        done.append(best.join(open_, "query_id", "left_anti"))
+        scratch.drop(hits, left)
+        if open_.isEmpty():
+            return reduce(DataFrame.union, done)
+        asked = scratch.cut(asked.join(open_, F.col("vec_id") == F.col("query_id"), "left_semi"), "asked")
+        most *= STEP
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,10 +249,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_inner_product(q.e, c.e), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s

@@ -7,18 +7,29 @@ import pytest
 from cleanloom.llm import editprint as E
 
 
-def slow(text):
-    c = E.classes(np.frombuffer(text.encode("utf-32-le"), np.uint32))
-    step, k, out = 0, 0, []
-    for x in c:
-        stay = int(E.STAY[x, step % E.PERIOD])
-        while E.STEPS[k] < step + stay:
-            out.append(int(E.BIT[x]))
-            k += 1
-        step += stay
+def steps_of(text):
+    """The bit that each step of the walk shows."""
+    out = []
+    for x in E.classes(np.frombuffer(text.encode("utf-32-le"), np.uint32)):
+        out += [int(E.BIT[x])] * int(E.STAY[x, len(out) % E.PERIOD])
     return out
 
 
+def slow(text):
+    """Level and bits: blocks of 2^level steps, of whose two halves the drawn one is followed down to a step."""
+    bits, level = steps_of(text), 0
+    while -(-len(bits) // 2**level) > E.BITS:
+        level += 1
+    out = []
+    for block in range(-(-len(bits) // 2**level)):
+        at = block
+        for below in range(level, 0, -1):
+            at = 2 * at + int(E._drawn(np.array([at]), below)[0])
+        if at < len(bits):
+            out.append(bits[at])
+    return level, out
+
+
 def texts(n, seed=1):
     rng = random.Random(seed)
     return ["".join(rng.choices("abcdefghij klmnopé漢", k=rng.choice([0, 1, 2, 5, 50, 700, 2048, 2049, 5000]))) for _ in range(n)]
@@ -27,8 +38,32 @@ def texts(n, seed=1):
 def test_blocks_give_the_plain_walk():
     many = [*texts(60), "a" * 9000, "ab" * 5000]
     for text, bits in zip(many, E.fingerprints(many), strict=True):
-        assert bits.tolist() == slow(text)
-        assert E.as_bits(E.as_text(bits)).tolist() == bits.tolist()
+        assert (bits.level, bits.bits.tolist()) == slow(text)
+        again = E.as_print(E.as_text(bits))
+        assert again.level == bits.level and again.bits.tolist() == bits.bits.tolist()
+
+
+def test_levels_are_nested():
+    for text in texts(30, 8):
+        own = E.fingerprints([text])[0]
+        bits, coarse = steps_of(text), own
+        for _ in range(3):
+            coarse = coarse.coarser()
+            shown = [bits[at] for at in E.sampled_steps(coarse.level) if at < len(bits)]
+            assert coarse.bits.tolist() == shown
+
+
+@pytest.mark.parametrize("n", [3000, 40_000, 400_000])
+def test_every_part_of_a_text_has_the_same_weight(n):
+    rng = random.Random(n)
+    letters = "abcdefghijklmnop "
+    text = "".join(rng.choices(letters, k=n))
+    third = n // 3
+    new = "".join(rng.choices(letters, k=third))
+    edited = [new + text[third:], text[:third] + new + text[2 * third :], text[: n - third] + new]
+    own, *others = E.fingerprints([text, *edited])
+    like = [E.likeness(own, x) for x in others]
+    assert all(abs(x - 2 / 3) < 0.1 for x in like), like
 
 
 def test_edits_are_near():
@@ -74,3 +109,29 @@ def test_near_documents(spark, docs):
     got = {r["doc_id"]: r["component_id"] for r in E.near_documents(spark, docs(rows)).collect()}
     assert [got[k] for k in (1, 2, 3, 4, 5)] == [1, 1, 1, 1, 5]
     assert all(got[k] == k for k in range(10, 20))
+
+
+def test_banding_finds_what_is_alike(spark, docs):
+    """Edits anywhere and lengths around the bounds of levels; of the pairs alike, nine in ten or more meet, and none that isn't."""
+    rng = random.Random(12)
+    letters, rows = "abcdefghijklmnop ", []
+    for k in range(80):
+        base = "".join(rng.choices(letters, k=rng.choice([300, 620, 680, 1300, 5000])))
+        n = int(len(base) * rng.uniform(0, 0.1))
+        at = rng.randrange(len(base) - n)
+        rows += [(2 * k, base), (2 * k + 1, base[:at] + "".join(rng.choices(letters, k=n + rng.randint(-n // 2, n // 2))) + base[at + n :])]
+    got = {r["doc_id"]: r["component_id"] for r in E.near_documents(spark, docs(rows)).collect()}
+    prints = E.fingerprints([t for _, t in rows])
+    alike = [k for k in range(80) if E.likeness(prints[2 * k], prints[2 * k + 1]) >= E.LEAST]
+    found = [k for k in range(80) if got[2 * k + 1] == 2 * k]
+    assert len(alike) > 30 and len(set(found) & set(alike)) >= 0.9 * len(alike)
+    close = [k for k in found if k not in alike]  # alike at the next level, by whose sample they met
+    assert all(E.likeness(prints[2 * k].coarser(), prints[2 * k + 1].coarser()) >= E.LEAST for k in close)
+
+
+def test_one_id_or_text_for_most_rows(spark, docs):
+    """Ranges cut hot ids by the text's hash and deal out equal rows; every row comes once, with the next in order."""
+    rows = [(None, f"text number {k} of many")for k in range(60)] + [(7, "the same text")] * 50 + [(k, f"own text {k}") for k in range(20)]
+    out = E.compare_with_next(spark, docs(rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(i) for i, _ in rows)
+    assert sum(r["near_next"] == 1.0 for r in out if r["doc_id"] == 7) >= 49

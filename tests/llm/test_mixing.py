@@ -12,18 +12,18 @@ def rows(sizes):
 
 def test_against_sql(spark, docs, against):
     df = docs([*rows([90, 20, 10, 3]), (9000, None, "s0"), (9001, "only one", None), (9002, "  ", "empty")]).select("doc_id", "source", "text")
-    out = M.mixed(spark, df).selectExpr("doc_id", "source", "_epoch AS epoch", "_digest AS place", "_tokens AS tokens", "round(_weight, 6) AS weight")
+    out = M.mixed(spark, df).selectExpr("row.doc_id", "row.source", "epoch", "digest AS place", "tokens", "round(weight, 6) AS weight")
     against(out, M.ORACLE, documents=df)
 
 
 def test_weights_and_limit(spark, docs):
     df = docs(rows([200, 40, 20]))
-    out = M.mixed(spark, df, max_repeat=1.3)
+    out = M.mixed(spark, df, max_repeat=1.3).select("row.doc_id", "row.source", "tokens", "weight")
     per = out.groupBy("source", "doc_id").count().groupBy("source").agg({"count": "max"}).collect()
     assert all(r[1] <= 2 for r in per)
     assert out.select("doc_id").distinct().count() == df.count()  # by default no document is lost
-    tokens = {r[0]: r[1] for r in out.groupBy("source").agg({"_tokens": "sum"}).collect()}
-    weights = {r["source"]: r["_weight"] for r in out.select("source", "_weight").distinct().collect()}
+    tokens = {r[0]: r[1] for r in out.groupBy("source").agg({"tokens": "sum"}).collect()}
+    weights = {r["source"]: r["weight"] for r in out.select("source", "weight").distinct().collect()}
     total = sum(tokens.values())
     assert abs(sum(weights.values()) - 1) < 1e-9
     assert all(abs(tokens[s] / total - weights[s]) < 0.05 for s in tokens)
@@ -48,7 +48,7 @@ def test_limit_with_a_budget(spark):
 
 def test_budget_is_kept(spark, docs):
     out = M.mixed(spark, docs(rows([50, 50])), max_repeat=3, budget=120.0)
-    assert 100 <= out.agg({"_tokens": "sum"}).head()[0] <= 120
+    assert 100 <= out.agg({"tokens": "sum"}).head()[0] <= 120
 
 
 def test_edges(spark, docs):
@@ -60,6 +60,21 @@ def test_edges(spark, docs):
     assert out.columns == df.columns and out.count() == 3
 
 
+def test_columns_keep_their_names_and_values(spark):
+    names = ["_key", "_tokens", "key", "tokens", "epochs", "last", "row", "name", "left", "a.b"]
+    docs = spark.createDataFrame([(k, f"text {k}", "s", *(f"{c}{k}" for c in names)) for k in range(3)], ["doc_id", "text", "source", *names])
+    out = M.mixture(spark, docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_documents_without_id_are_told_apart(spark, docs):
+    df = docs([*rows([60, 6]), *((None, f"word number {k}", "s1") for k in range(40)), *[(None, "one copied text", "s1")] * 5])
+    out = [r["row"]["text"] for r in M.mixed(spark, df, max_repeat=3, budget=400.0).where("row.doc_id IS NULL").collect()]
+    times = {out.count(f"word number {k}") for k in range(40)}
+    assert len(times) == 2 and out.count("one copied text") % 5 == 0  # the last block takes some of them
+
+
 def test_no_python_in_the_plan(spark, docs):
     out = M.mixture(spark, docs(rows([5, 2])))
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())

@@ -4,6 +4,7 @@ import re
 
 import xxhash
 
+from cleanloom.llm import buckets
 from cleanloom.llm import simhash as S
 from cleanloom.llm._common import Scratch
 
@@ -37,6 +38,77 @@ def test_fingerprint():
         assert S.simhash(text.encode()) == slow_print(text)
 
 
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+
+
+def alike(a, b, least=0.8):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= least * len(x | y)
+
+
+def kept_by_brute_force(rows, least=0.8, n=5):
+    """Documents that stay if all pairs of rows are compared: the least (id, hash) of each component, here by id and text."""
+    names = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, str(r[1])))
+    root = list(range(len(names)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(names)), 2):
+        if alike(names[a][1], names[b][1], least):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return [r for k, r in enumerate(names) if find(k) == k]
+
+
+def test_wider_masks_cover_the_radius():
+    rng = random.Random(5)
+    for radius in (3, 4, 6):
+        masks = S.masks(radius)
+        assert len(masks) == 2 ** (radius + 1) - 1
+        for _ in range(300):
+            bits = rng.sample(range(64), radius)
+            assert any(not any(m >> b & 1 for b in bits) for m in masks)
+
+
+def near_copies(seed, n, sizes=(60, 200)):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(500)]
+    rows = []
+    for k in range(n):
+        base = rng.choices(words, k=rng.randint(*sizes))
+        rows.append((10 * k, " ".join(base)))
+        for j in range(rng.randint(0, 4)):
+            other = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randint(0, 2)] = rng.choices(words, k=rng.randint(0, 2))
+            rows.append((10 * k + j + 1, " ".join(other)))
+    return rows
+
+
+def test_similar_documents_against_brute_force(spark, docs):
+    """No document goes without a similar one; of the pairs of different texts that are alike, nine in ten or more meet."""
+    rows = [*near_copies(6, 60), (None, None), (9000, " "), (9001, "four words of text"), (9002, "Four words  of text"), (9003, "four words of it")]
+    kept = {(r["doc_id"], r["text"]) for r in S.keep_one(spark, docs(rows)).collect()}
+    want = set(kept_by_brute_force(rows))
+    assert want <= kept
+    assert len(kept - want) <= 0.1 * (len(rows) - len(want))
+
+
+def test_large_groups_are_finished(spark, docs, monkeypatch):
+    monkeypatch.setattr(buckets, "PAIRS", 4)
+    monkeypatch.setattr(buckets, "PIVOTS", 1)
+    rng = random.Random(8)
+    base = [f"word{k}" for k in range(300)]
+    rows = [(k, " ".join([*base[:at], f"own{k}", *base[at + 1 :]])) for k in range(60) for at in [rng.randrange(300)]]
+    assert [r["doc_id"] for r in S.keep_one(spark, docs(rows)).collect()] == [0]
+
+
 def test_masks_cover_every_pair():
     masks = S.masks()
     assert len(masks) == 7
@@ -89,3 +161,15 @@ def test_one_stays(spark, docs):
     kept = S.keep_one(spark, df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 8]
+
+
+def test_rows_are_judged_and_not_ids(spark):
+    """Different texts under one id all stay; columns keep names and values; of repeated rows one stays."""
+    names = ["_nth", "id", "h", "row", "order", "keep", "fp", "lid", "a.b"]
+    texts = ["one text about something else entirely", "another text with words of its own", "one text about something else entirely"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, "a third text that nobody has repeated"), (None, "and a fourth text without an id")]
+    full = [(*r, *(f"{c}{k}" for c in names)) for k, r in enumerate(rows)]
+    df = spark.createDataFrame([*full, full[1]], ["doc_id", "text", *names])
+    out = S.keep_one(spark, df)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(str(r) for r in df.limit(5).collect() if r["doc_id"] != 2)

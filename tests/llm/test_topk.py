@@ -11,7 +11,7 @@ def test_against_sql(spark, against):
     rng = np.random.default_rng(1)
     rows = [(k, [float(x) for x in rng.normal(size=12)], 0) for k in range(300)]
     rows[7] = (7, rows[9][1], 0)
-    rows += [(350, None, 0), (400, [], 0), (401, [None] * 12, 0), (402, [float("nan")] * 12, 0), (403, [float("inf")] + [0.0] * 11, 0), (450, [1.0] * 5, 0), (451, [2.0] * 5, 0)]
+    rows += [(350, None, 0), (400, [], 0), (407, [], 0), (401, [None] * 12, 0), (402, [float("nan")] * 12, 0), (403, [float("inf")] + [0.0] * 11, 0), (450, [1.0] * 5, 0), (451, [2.0] * 5, 0)]
     df = vectors(spark, rows)
     got = K.top_k(spark, df, df.where("vec_id % 50 = 0"))
     against(got, K.ORACLE, embeddings=df)
@@ -27,23 +27,39 @@ def test_ties_and_small_tables(spark):
     assert K.top_k(spark, vectors(spark, []), vectors(spark, [])).count() == 0
 
 
-def test_few_exact_vectors_are_read():
+def test_bounds_hold_and_few_vectors_pass():
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(2000, 16)) * 256)
     lo = x.min(0)
     width = np.maximum(1, np.ceil((x.max(0) - lo + 1) / K.CELLS))
     cells = ((x - lo) // width).astype(np.uint8)
+    low, high = K.bounds(x[:50], cells, lo, width)
+    scores = x[:50] @ x.T
+    assert (low <= scores).all() and (scores <= high).all()
     ids = np.arange(2000)
-    best = [K.Best(5) for _ in range(20)]
-    read = K.search_segment(best, ids[:20], x[:20], ids, cells, x, lo, width)
-    for q in range(20):
-        scores = (x @ x[q]).astype(int)
-        want = sorted((-s, i) for i, s in enumerate(scores) if i != q)[:5]
-        assert best[q].rows == want
-    assert read < 20 * 200
+    best = K.Best(ids[:50], 5, 40)
+    for at in range(0, 2000, 300):
+        best.add(x[:50], ids[at : at + 300], ids[at : at + 300], cells[at : at + 300], lo, width)
+    rows = best.rows().to_pylist()
+    assert len(rows) < 50 * 20  # exact vectors to read, of 2000 a query
+    for q in range(50):
+        want = sorted((-s, i) for i, s in enumerate(scores[q]) if i != q)[:5]
+        assert {i for _, i in want} <= {r["rid"] for r in rows if r["query_id"] == q}
+
+
+def test_further_rounds(spark, against, monkeypatch):
+    """Vectors that the cells can't tell apart: more rounds, the same result."""
+    monkeypatch.setattr(K, "FIRST", 1)
+    monkeypatch.setattr(K, "STEP", 3)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    rows = [(k, [float(v) for v in base + rng.normal(size=8) * 0.01], 0) for k in range(200)] + [(k, [900.0 * (k - 500)] + [0.0] * 7, 0) for k in (500, 501)]
+    rows += [(k, rows[3][1], 0) for k in range(600, 700)]
+    df = vectors(spark, rows)
+    against(K.top_k(spark, df, df.where("vec_id % 50 = 0")), K.ORACLE, embeddings=df)
 
 
 def test_python_integers():
     rows = np.array([[2.0**40, 3.0], [2.0**40, 5.0]])
-    assert K._exact(rows, np.array([2.0**40, 1.0])) == [2**80 + 3, 2**80 + 5]
-    assert K._exact(rows[:, 1:], np.array([2.0])) == [6, 10]
+    assert K._exact(rows, np.array([[2.0**40, 1.0]] * 2)) == [2**80 + 3, 2**80 + 5]
+    assert K._exact(rows[:, 1:], np.array([[2.0], [3.0]])) == [6, 15]
