@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache, reduce
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,11 +21,15 @@ SENTINELS = ("unknown", "nan", "none", "null", "n/a", "na", "-", "$-", "", "inva
 # Texts of truth values.
 TRUE_WORDS = ("yes", "true", "y", "1")
 FALSE_WORDS = ("no", "false", "n", "0")
-#: Date formats that are read; single letters take one digit or two.
-DATE_FORMATS = (
-    "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "MMMM d yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMM d, yyyy",
-    "yyyy-M-d HH:mm:ss", "yyyy-M-d HH:mm:ss.SSSSSS", "yyyy-M-d'T'HH:mm:ss",
-)
+_DAY, _YEAR, _CLOCK = r"\d{1,2}", r"[+-]?\d{4,}", r"\d{2}:\d{2}:\d{2}"
+_DATED = r"\d{4}"
+_ISO, _WORD = rf"^{_YEAR}-{_DAY}-{_DAY}", rf"^[^\d\s]+ {_DAY}"
+#: Date formats that are read, and what a text must look like to be tried; single letters take one digit or two.
+DATE_FORMATS = {
+    "yyyy-M-d": rf"{_ISO}$", "yyyy/M/d": rf"^{_YEAR}/{_DAY}/{_DAY}$", "M/d/yyyy": rf"^{_DAY}/{_DAY}/{_YEAR}$",
+    "MMMM d yyyy": rf"{_WORD} {_YEAR}$", "MMM d yyyy": rf"{_WORD} {_YEAR}$", "MMMM d, yyyy": rf"{_WORD}, {_YEAR}$", "MMM d, yyyy": rf"{_WORD}, {_YEAR}$",
+    "yyyy-M-d HH:mm:ss": rf"{_ISO} {_CLOCK}$", "yyyy-M-d HH:mm:ss.SSSSSS": rf"{_ISO} {_CLOCK}\.\d+$", "yyyy-M-d'T'HH:mm:ss": rf"{_ISO}T{_CLOCK}$",
+}
 FIRST_DATE = "1900-01-01 00:00:00"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -74,9 +78,10 @@ def scrubbed_number(c: Column) -> Column:
 
 
 def any_date(c: Column) -> Column:
-    """The first of DATE_FORMATS that reads the text."""
+    """The first of DATE_FORMATS that reads the text; only texts of a format's shape are parsed."""
     text = blank_trimmed(c)
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("timestamp_ntz")
+    tried = (F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in DATE_FORMATS.items())
+    return F.when(text.rlike(_DATED), F.coalesce(*tried)).cast("timestamp_ntz")
 
 
 def within(t: Column, now: Column) -> Column:
@@ -129,10 +134,17 @@ def _folds() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def fold_ascii(c: Column) -> Column:
-    """Without accents and other non-ASCII characters; see ``fold_ascii_any`` for rare compatibility forms."""
+    """Without accents and other non-ASCII characters; see ``fold_ascii_any`` for rare compatibility forms.
+
+    Text in ASCII passes as it is, and characters that have more than one letter are looked
+    for only where there is any.
+    """
     one, to, more = _folds()
-    spread = reduce(lambda acc, x: F.replace(acc, F.lit(x[0]), F.lit(x[1])), more, c)
-    return F.regexp_replace(F.translate(spread, one, to), r"[^\x00-\x7F]", "")
+    letters = F.create_map(*(F.lit(x) for pair in more for x in pair))
+    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
+    rare = "[" + "".join(f"\\x{{{ord(x):x}}}" for x, _ in more) + "]"
+    folded = F.regexp_replace(F.translate(F.when(c.rlike(rare), spread).otherwise(c), one, to), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())

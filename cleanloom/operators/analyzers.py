@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions import inference as I
 from cleanloom.functions.inference import ROW_ID, user_columns
-from cleanloom.operators.steps import with_row_id
+from cleanloom.operators.regression import LinearRegression
+from cleanloom.operators.steps import quantiles, with_row_id
 
 REGISTRY: dict[str, Callable] = {}
 
@@ -48,11 +49,11 @@ def info(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) of number columns; approximate quartiles with ``accuracy``."""
-    stats = {}
-    for c in I.numbers(df):
-        x, shares = I.ref(c).cast("double"), [0.25, 0.5, 0.75]
-        q = F.percentile(x, F.array(*map(F.lit, shares))) if accuracy is None else F.percentile_approx(x, shares, accuracy)
-        stats[c] = [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), q[0], q[1], q[2], F.max(x)]
+    names, stats = I.numbers(df), {}
+    quarts = quantiles(df, [I.ref(c) for c in names], [0.25, 0.5, 0.75], accuracy) if names else []
+    for c, q in zip(names, quarts, strict=True):
+        x = I.ref(c).cast("double")
+        stats[c] = [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), *(F.lit(v).cast("double") for v in q or [None] * 3), F.max(x)]
     return _long(df, stats, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
@@ -77,10 +78,13 @@ def sample(df: DataFrame, n: int = 1, seed: int | None = None) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
-def trend(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(trend_slope, trend_intercept) of y over x, by least squares."""
-    a, b = I.ref(y).cast("double"), I.ref(x).cast("double")
-    return df.agg(F.regr_slope(a, b).alias("trend_slope"), F.regr_intercept(a, b).alias("trend_intercept"))
+def trend(df: DataFrame, x: str, y: str, type_of_prediction: str = "ordinary_least_squares", complexity: str = "simple", **options) -> DataFrame:
+    """(trend_slope, trend_intercept) of y over x, by the model of that kind; ``options`` go to its fit."""
+    if (type_of_prediction, complexity) == ("ordinary_least_squares", "simple"):
+        a, b = I.ref(y).cast("double"), I.ref(x).cast("double")
+        return df.agg(F.regr_slope(a, b).alias("trend_slope"), F.regr_intercept(a, b).alias("trend_intercept"))
+    model = LinearRegression(type_of_prediction, complexity).fit(df, x, y, **options)
+    return df.sparkSession.createDataFrame([(model.slope, model.intercept)], "trend_slope double, trend_intercept double")
 
 
 def correlation(df: DataFrame) -> DataFrame:

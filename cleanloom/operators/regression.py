@@ -5,8 +5,11 @@ Rows with a null in a feature or the target are left out.
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -91,9 +94,30 @@ def fit_ols(df: DataFrame, features: list[str], target: str) -> Model:
     return Model(features, np.linalg.solve(s.xx, s.xy))
 
 
+def drawn_batches(df: DataFrame, features: list[str], target: str, size: int, n: int, rounds: int, seed: int) -> list[Sums]:
+    """Sums of up to ``rounds`` random batches of about ``size`` of the n rows, by one pass.
+
+    Every row goes to one batch at most, by a random number, so a pass makes n / size batches
+    and their sizes vary as those of coin tosses do.
+    """
+    some = min(rounds, max(1, n // size))
+    x, y = _terms(features), ref(target).cast("double")
+    cells = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    sums = [F.count("*").alias("n"), F.sum(y * y).alias("yy"), *(F.sum(a * y).alias(f"y{k}") for k, a in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"x{k}") for k, (i, j) in enumerate(cells))]
+    batch = F.floor(F.rand(seed) * (n / size)).cast("int").alias("batch")
+    found = complete(df, [*features, target]).select("*", batch).where(F.col("batch") < some).groupBy("batch").agg(*sums)
+    out = []
+    for row in sorted(found.collect()):  # a row for each batch
+        xx = np.zeros((len(x), len(x)))
+        for (i, j), v in zip(cells, row[3 + len(x) :], strict=True):
+            xx[i, j] = xx[j, i] = v
+        out.append(Sums(xx, np.array(row[3 : 3 + len(x)], float), float(row[2]), int(row[1])))
+    return out
+
+
 @dataclass(frozen=True)
 class GradientDescent:
-    """Descent on the mean squared loss; with ``batch_size`` each round draws rows anew from all data."""
+    """Descent on the mean squared loss; with ``batch_size`` each round takes random rows of about that number, many rounds by one pass."""
 
     learning_rate: float = 0.01
     max_iterations: int = 1000
@@ -102,17 +126,21 @@ class GradientDescent:
     initial_beta: list[float] | None = None
     seed: int | None = None
 
+    def _rounds(self, df: DataFrame, features: list[str], target: str, whole: Sums) -> Iterator[Sums]:
+        if self.batch_size is None or self.batch_size >= whole.n:
+            yield from repeat(whole, self.max_iterations)
+            return
+        left, seed = self.max_iterations, random.randrange(1 << 31) if self.seed is None else self.seed
+        while left:
+            batches = drawn_batches(df, features, target, self.batch_size, whole.n, left, seed)
+            yield from batches
+            left, seed = left - len(batches), seed + 1
+
     def fit(self, df: DataFrame, features: list[str], target: str) -> Model:
         s = sufficient(df, features, target)
         beta = np.zeros(len(s.xy)) if self.initial_beta is None else np.array(self.initial_beta, float)
         history: list[float] = []
-        for k in range(self.max_iterations):
-            if self.batch_size is not None and self.batch_size < s.n:
-                seed = None if self.seed is None else self.seed + k
-                rows = complete(df, [*features, target]).orderBy(F.rand(seed)).limit(self.batch_size)
-                part = sufficient(rows, features, target)
-            else:
-                part = s
+        for k, part in enumerate(self._rounds(df, features, target, s)):
             history.append(float(beta @ part.xx @ beta - 2 * beta @ part.xy + part.yy) / (2 * part.n))
             if k and abs(history[-1] - history[-2]) < self.tolerance:
                 return Model(features, beta, history, k, True)

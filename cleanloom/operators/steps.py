@@ -8,6 +8,9 @@ no column to any of them.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 import warnings
 from collections.abc import Callable
 
@@ -21,6 +24,8 @@ from cleanloom.functions.inference import ROW_ID, ref, user_columns
 
 REGISTRY: dict[str, type[Step]] = {}
 FEW_PARTITIONS = 1000
+#: Of approximate quantiles, and values that are counted one by one around an exact one.
+ACCURACY, FEW_VALUES = 10_000, 100_000
 
 
 class Step:
@@ -66,10 +71,48 @@ def as_number(df: DataFrame, c: str) -> Column:
     return ref(c).cast("double") if I.is_numeric(kind) or isinstance(kind, T.BooleanType) else F.lit(None).cast("double")
 
 
-def quantiles(c: Column, shares: list[float], accuracy: int | None) -> Column:
-    """Interpolated quantiles; with ``accuracy`` approximate ones, in bounded memory."""
-    at = F.array(*(F.lit(s) for s in shares))
-    return F.percentile(c, at) if accuracy is None else F.percentile_approx(c, [float(s) for s in shares], accuracy).cast("array<double>")
+def quantiles(df: DataFrame, columns: list[Column], shares: list[float], accuracy: int | None = None) -> list[list[float] | None]:
+    """Interpolated quantiles of each column, null for a column without values; with ``accuracy`` approximate ones, in one pass.
+
+    Exact ones are found in two passes or a few. Approximate quantiles a little to either
+    side bracket each rank, all values of few rows do; where a bracket holds over FEW_VALUES rows, approximate quantiles
+    inside it narrow it. Then the rows below each bracket and the values inside, each with
+    its number, are counted with map-side combine. No task holds a column's values.
+    """
+    x = [F.col(f"x{k}") for k in range(len(columns))]
+    table = df.select(*(c.cast("double").alias(f"x{k}") for k, c in enumerate(columns)))
+    if accuracy is not None:
+        row = table.agg(*(F.percentile_approx(c, [float(s) for s in shares], accuracy).alias(f"q{k}") for k, c in enumerate(x))).head()
+        return [None if q is None else [float(v) for v in q] for q in row]
+    near = 2 / ACCURACY
+    around = [p for s in shares for p in (max(0.0, s - near), min(1.0, s + near))]
+    row = table.agg(*(F.struct(F.count(c).alias("n"), F.percentile_approx(c, around, ACCURACY).alias("q")).alias(f"a{k}") for k, c in enumerate(x))).head()
+    size = [r["n"] for r in row]
+    ranks = {(k, j): (math.floor(s * (n - 1)), math.ceil(s * (n - 1))) for k, n in enumerate(size) if n for j, s in enumerate(shares)}
+    bracket = {(k, j): (row[k]["q"][2 * j], row[k]["q"][2 * j + 1]) if size[k] > FEW_VALUES else (-math.inf, math.inf) for k, j in ranks}
+    expected = {k: 4 * size[k[0]] / ACCURACY for k in ranks}
+    while wide := [k for k in ranks if expected[k] > FEW_VALUES and bracket[k][0] < bracket[k][1]]:
+        held = {k: x[k[0]].between(*map(F.lit, bracket[k])) for k in wide}
+        found = table.agg(*(F.struct(F.count_if(x[k[0]] < bracket[k][0]), F.count_if(held[k])).alias(f"b{i}") for i, k in enumerate(wide))).head()
+        asked = []
+        for k, (below, inside) in zip(wide, found, strict=True):
+            low, high = ((r - below) / inside for r in ranks[k])
+            asked.append(F.percentile_approx(F.when(held[k], x[k[0]]), [max(0.0, low - near), min(1.0, high + near)], ACCURACY).alias(f"q{len(asked)}"))
+            expected[k] = 4 * inside / ACCURACY
+        for k, q in zip(wide, table.agg(*asked).head(), strict=True):
+            bracket[k] = (q[0], q[1])
+    each = [F.struct(F.lit(i).alias("i"), F.when(x[k] < low, float("-inf")).when(x[k] <= high, x[k]).alias("v")) for i, ((k, _), (low, high)) in enumerate(bracket.items())]
+    counted: dict[int, list[tuple[float, int]]] = {}
+    if each:
+        for r in table.select(F.inline(F.array(*each))).where("v IS NOT NULL").groupBy("i", "v").count().collect():  # few values of each bracket
+            counted.setdefault(r["i"], []).append((r["v"], r["count"]))
+    out: list[list[float] | None] = [[] if n else None for n in size]
+    for i, (k, j) in enumerate(bracket):
+        values = sorted(counted[i])
+        upto = list(itertools.accumulate(n for _, n in values))
+        a, b = (values[bisect.bisect_right(upto, r)][0] for r in ranks[k, j])
+        out[k].append(a + (b - a) * (shares[j] * (size[k] - 1) - ranks[k, j][0]))
+    return out
 
 
 def modes(df: DataFrame, columns: dict[str, Column]) -> dict[str, object]:
@@ -231,8 +274,10 @@ class NumericColumns(Step):
         if self.fixcase == "mode":
             fill = modes(df, value)
         else:
-            stat = F.avg if self.fixcase == "mean" else lambda x: quantiles(x, [0.5], self.accuracy)[0]
-            row = df.agg(*(stat(x).alias(f"s{k}") for k, x in enumerate(value.values()))).head()
+            if self.fixcase == "mean":
+                row = df.agg(*(F.avg(x).alias(f"s{k}") for k, x in enumerate(value.values()))).head()
+            else:
+                row = [None if q is None else q[0] for q in quantiles(df, list(value.values()), [0.5], self.accuracy)]
             fill = dict(zip(value, row, strict=True))
         return replaced(df, {c: F.coalesce(x, F.lit(fill[c]).cast("double")) for c, x in value.items()})
 
@@ -250,7 +295,7 @@ class Outliers(Step):
         if not target:
             return df
         value = {c: ref(c).cast("double") for c in target}
-        quarts = df.agg(*(quantiles(x, [0.25, 0.75], self.accuracy).alias(f"q{k}") for k, x in enumerate(value.values()))).head()
+        quarts = quantiles(df, list(value.values()), [0.25, 0.75], self.accuracy)
         clip = {}
         for (c, x), q in zip(value.items(), quarts, strict=True):
             low, high = (None, None) if q is None else (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0]))
@@ -386,7 +431,7 @@ class Caps(Step):
         if not target:
             return df
         value = {c: as_number(df, c) for c in target}
-        row = df.agg(*(quantiles(x, self.shares, self.accuracy).alias(f"q{k}") for k, x in enumerate(value.values()))).head()
+        row = quantiles(df, list(value.values()), self.shares, self.accuracy)
         return replaced(df, {c: x if q is None else X.clipped(x, F.lit(q[0]), F.lit(q[1])) for (c, x), q in zip(value.items(), row, strict=True)})
 
 

@@ -5,17 +5,20 @@ The tables have no nulls, so queries put dirt into them first, by the same rule
 
 from __future__ import annotations
 
-import uuid
+import json
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleanloom import cli
 from cleanloom.functions import exprs as X
 from cleanloom.functions import inference as I
 from cleanloom.operators import analyzers, regression
 from cleanloom.operators import steps as S
-from cleanloom.plans import pipeline, report
+from cleanloom.plans import pipeline, report, tables
 from cleanloom.sources import readers
 from cleanloom.streaming import clean
 
@@ -310,7 +313,7 @@ FROM {last}"""
 
     @_query(f"preset_{name}", sql)
     def _(spark, d):
-        made = pipeline.from_preset(name, now=F.lit("2050-01-01").cast("timestamp_ntz"))
+        made = pipeline.from_preset(name, now=F.lit("2050-01-01").cast("timestamp_ntz"), keep="table")
         out = made.run(_dirty_orders(spark, d)).drop("_cleaned_at", "_original_index")
         return _rounded(out.withColumn("_quality_score", F.round("_quality_score", 6)), 6).withColumns({c: F.round(c, 4) for c in ("order_key", "total_price")})
 
@@ -447,25 +450,130 @@ WITH RECURSIVE s AS (SELECT count(*)::DOUBLE AS n, sum(l_discount) AS a, sum(l_t
   sum(l_extendedprice) AS y, sum(l_discount * l_extendedprice) AS ay, sum(l_tax * l_extendedprice) AS byy FROM lineitem),
 g(k, w0, w1, w2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
   SELECT k + 1, w0 - 0.01 * (n * w0 + a * w1 + b * w2 - y) / n, w1 - 0.01 * (a * w0 + aa * w1 + ab * w2 - ay) / n, w2 - 0.01 * (b * w0 + ab * w1 + bb * w2 - byy) / n
-  FROM g, s WHERE k < 50)
-SELECT round(w0, 3) AS b0, round(w1, 3) AS b1, round(w2, 3) AS b2 FROM g WHERE k = 50""")
+  FROM g, s WHERE k < 1000)
+SELECT round(w0, 3) AS b0, round(w1, 3) AS b1, round(w2, 3) AS b2 FROM g WHERE k = 1000""")
 def _(spark, d):
-    m = regression.GradientDescent(max_iterations=50).fit(_table(spark, d, "lineitem"), ["l_discount", "l_tax"], "l_extendedprice")
+    m = regression.GradientDescent().fit(_table(spark, d, "lineitem"), ["l_discount", "l_tax"], "l_extendedprice")
     return spark.createDataFrame([tuple(round(float(x), 3) for x in m.coefficients)], "b0 double, b1 double, b2 double")
 
 
-@_query("source_parquet", "SELECT r_regionkey, r_name FROM region")
+@_query("linreg_gd_simple", """
+WITH RECURSIVE s AS (SELECT count(*)::DOUBLE AS n, sum(l_discount) AS a, sum(l_discount * l_discount) AS aa, sum(l_extendedprice) AS y, sum(l_discount * l_extendedprice) AS ay FROM lineitem),
+g(k, w0, w1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT k + 1, w0 - 0.1 * (n * w0 + a * w1 - y) / n, w1 - 0.1 * (a * w0 + aa * w1 - ay) / n FROM g, s WHERE k < 200)
+SELECT round(w0, 3) AS intercept, round(w1, 3) AS slope FROM g WHERE k = 200""")
 def _(spark, d):
-    return readers.read(spark, f"{d}/region.parquet")
+    m = regression.LinearRegression("gradient_descent", "simple").fit(_table(spark, d, "lineitem"), "l_discount", "l_extendedprice", learning_rate=0.1, max_iterations=200)
+    return spark.createDataFrame([(round(m.intercept, 3), round(m.slope, 3))], "intercept double, slope double")
+
+
+# a target of the features' own size, so that descent comes to rest
+_REST = """
+WITH RECURSIVE t AS (SELECT l_discount * 10 AS x, 2 + 3 * l_discount * 10 + l_tax AS y FROM lineitem),
+s AS (SELECT count(*)::DOUBLE AS n, sum(x) AS a, sum(x * x) AS aa, sum(y) AS y, sum(x * y) AS ay, sum(y * y) AS yy FROM t),
+g(k, w0, w1, loss, last) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, (SELECT yy / (2 * n) FROM s), CAST('Infinity' AS DOUBLE) UNION ALL
+  SELECT k + 1, v0, v1, (n * v0 * v0 + 2 * a * v0 * v1 + aa * v1 * v1 - 2 * (y * v0 + ay * v1) + yy) / (2 * n), loss
+  FROM (SELECT *, w0 - 0.1 * (n * w0 + a * w1 - y) / n AS v0, w1 - 0.1 * (a * w0 + aa * w1 - ay) / n AS v1 FROM g, s WHERE k < 999 AND abs(loss - last) >= 1e-6))
+"""
+
+
+def _rested(spark: SparkSession, d: str) -> regression.Model:
+    table = _table(spark, d, "lineitem", "l_discount * 10 AS x", "2 + 3 * l_discount * 10 + l_tax AS y")
+    return regression.GradientDescent(learning_rate=0.1).fit(table, ["x"], "y")
+
+
+@_query("linreg_gd_convergence", _REST + "SELECT CAST(max(k) AS INTEGER) AS iterations, true AS converged, round(arg_max(w0, k), 4) AS b0, round(arg_max(w1, k), 4) AS b1 FROM g")
+def _(spark, d):
+    m = _rested(spark, d)
+    return spark.createDataFrame([(m.iterations, m.converged, round(m.intercept, 4), round(m.slope, 4))], "iterations int, converged boolean, b0 double, b1 double")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for files that a query writes and reads back."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = "file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+@_query("linreg_gd_loss_history", _REST + "SELECT CAST(k AS INTEGER) AS round, round(loss, 5) AS loss FROM g")
+def _(spark, d):
+    return spark.createDataFrame([(k, round(x, 5)) for k, x in enumerate(_rested(spark, d).loss_history)], "round int, loss double")
+
+
+@_query("linreg_gd_mini_batch", "SELECT true AS repeatable, true AS near_full_batch, CAST(400 AS INTEGER) AS rounds")
+def _(spark, d):
+    """Batches are drawn at random, so only what holds for any draw is compared: the seed decides, and the model is near that of all rows."""
+    table = _table(spark, d, "lineitem", "l_discount * 10 AS x", "2 + 3 * l_discount * 10 + l_tax AS y")
+    fit = lambda **options: regression.GradientDescent(learning_rate=0.1, max_iterations=400, tolerance=0.0, **options).fit(table, ["x"], "y")
+    one, two, full = fit(batch_size=64, seed=5), fit(batch_size=64, seed=5), fit()
+    same, near = bool((one.coefficients == two.coefficients).all()), bool(abs(one.coefficients - full.coefficients).max() < 0.2)
+    return spark.createDataFrame([(same, near, len(one.loss_history))], "repeatable boolean, near_full_batch boolean, rounds int")
+
+
+@_query("analyze_trend_gradient_descent", """
+WITH RECURSIVE s AS (SELECT count(*)::DOUBLE AS n, sum(l_discount) AS a, sum(l_discount * l_discount) AS aa, sum(l_quantity) AS y, sum(l_discount * l_quantity) AS ay FROM lineitem),
+g(k, w0, w1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT k + 1, w0 - 0.01 * (n * w0 + a * w1 - y) / n, w1 - 0.01 * (a * w0 + aa * w1 - ay) / n FROM g, s WHERE k < 100)
+SELECT round(w1, 4) AS trend_slope, round(w0, 4) AS trend_intercept FROM g WHERE k = 100""")
+def _(spark, d):
+    options = {"type_of_prediction": "gradient_descent", "complexity": "simple", "max_iterations": 100}
+    return _rounded(analyzers.analyze("trend_analysis", _table(spark, d, "lineitem"), x="l_discount", y="l_quantity", **options))
+
+
+@_query("analyze_sample_members", "SELECT CAST(7 AS BIGINT) AS n, CAST(7 AS BIGINT) AS members, true AS repeatable")
+def _(spark, d):
+    """A sample is at random; what is compared: its size, that its rows are the table's, and that the seed decides."""
+    table = _table(spark, d, "customer")
+    one, two = (analyzers.analyze("sample", table, n=7, seed=3) for _ in range(2))
+    members = one.join(table.select("c_custkey"), "c_custkey").count()
+    same = sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    return spark.createDataFrame([(one.count(), members, same)], "n long, members long, repeatable boolean")
+
+
+@_query("report_json", """
+WITH b AS (SELECT o_orderkey, {p} AS price, {s} AS status FROM orders)
+SELECT 'Sentinels' AS name, CAST(0 AS BIGINT) AS rows_removed, CAST(count(*) FILTER (WHERE price IS NULL) + count(*) FILTER (WHERE status IS NULL) AS BIGINT) AS nulls_before,
+       CAST(count(*) FILTER (WHERE price IS NULL) + count(*) FILTER (WHERE status IS NULL) + count(*) FILTER (WHERE o_orderkey % 6 < 3) AS BIGINT) AS nulls_after,
+       round(count(*) FILTER (WHERE o_orderkey % 6 < 3) / count(*)::DOUBLE, 6) AS status_ratio FROM b""".format(p=PRICE, s=STATUS))
+def _(spark, d):
+    made = pipeline.build([{"handle_sentinel_values": None}], report="full")
+    made.run(_table(spark, d, "orders", "o_orderkey", f"{PRICE} AS price", f"{STATUS} AS status"))
+    with tempfile.TemporaryDirectory() as folder:  # a report is a small file of the driver
+        made.report.to_json(path := os.path.join(folder, "report.json"))
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+    rows = [(x["name"], x["metrics"]["rows_removed"], x["metrics"]["nulls_before"], x["metrics"]["nulls_after"], round(x["metrics"]["change_ratio"]["status"], 6)) for x in steps]
+    return spark.createDataFrame(rows, "name string, rows_removed long, nulls_before long, nulls_after long, status_ratio double")
+
+
+@_query("preview_rows", "SELECT 'r_regionkey | r_name' AS line UNION ALL SELECT r_regionkey || ' | ' || r_name FROM region WHERE r_regionkey < 3")
+def _(spark, d):
+    return spark.createDataFrame([(x,) for x in readers.preview(_table(spark, d, "region", "r_regionkey", "r_name").orderBy("r_regionkey"), 3)], "line string")
+
+
+@_query("step_registered", "SELECT n_nationkey, upper(n_name) || '!' AS n_name FROM nation")
+def _(spark, d):
+    """A step of the user's own, registered by name and used in a configuration."""
+    S.register("shout", lambda column: lambda df: S.replaced(df, {column: F.concat(F.upper(column), F.lit("!"))}))
+    try:
+        return pipeline.build([{"shout": {"column": "n_name"}}]).run(_table(spark, d, "nation", "n_nationkey", "n_name"))
+    finally:
+        S.REGISTRY.pop("shout")
+
+
+@_query("cli_light", "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, replace(lower(n_name), ' ', '_') AS n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation")
+def _(spark, d):
+    """The command line from a CSV file to one CSV file and its report."""
+    readers.write_csv(_table(spark, d, "nation"), path := tables.folder(spark, "nation.csv"))
+    with tempfile.TemporaryDirectory() as folder:
+        cli.main(["-i", path, "-o", out := tables.folder(spark, "clean.csv"), "-p", "light", "-r", os.path.join(folder, "report.json")])
+        assert os.path.getsize(os.path.join(folder, "report.json"))
+    return readers.read(spark, out).selectExpr("double(n_nationkey) AS n_nationkey", "n_name", "double(n_regionkey) AS n_regionkey")
+
+
+@_query("source_xlsx", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def _(spark, d):
+    rows = [("n_nationkey", "n_name"), *((r[0], r[1]) for r in _table(spark, d, "nation", "n_nationkey", "n_name").orderBy("n_nationkey").limit(100).collect())]
+    readers.write_bytes(spark, path := tables.folder(spark, "nation.xlsx"), readers.workbook(rows))
+    return readers.read(spark, path)
+
+
+@_query("source_parquet", "SELECT r_regionkey, r_name FROM region")
+def _(spark, d):
+    return readers.read(spark, f"{d}/region.parquet")
 
 
 _NATION = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
@@ -473,7 +581,7 @@ _NATION = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_reg
 
 @_query("source_csv", _NATION)
 def _(spark, d):
-    readers.write_csv(_table(spark, d, "nation"), path := _folder(spark, "nation.csv"))
+    readers.write_csv(_table(spark, d, "nation"), path := tables.folder(spark, "nation.csv"))
     return readers.read(spark, path)
 
 
@@ -481,14 +589,14 @@ def _(spark, d):
 def _(spark, d):
     cells = "concat(c_custkey, ' , $', c_custkey % 9 + 1, ',200.50 , ', CASE WHEN c_custkey % 4 = 0 THEN 'NA' ELSE c_mktsegment END) AS value"
     header = spark.range(1).selectExpr("'Cust Key , Spend , Segment' AS value")
-    header.union(_table(spark, d, "customer", cells)).coalesce(1).write.text(path := _folder(spark, "customer.csv"))
+    header.union(_table(spark, d, "customer", cells)).coalesce(1).write.text(path := tables.folder(spark, "customer.csv"))
     return readers.read(spark, path)
 
 
 @_query("source_json", _NATION)
 def _(spark, d):
     rows = _table(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value"))
-    rows.coalesce(1).write.text(path := _folder(spark, "nation.json"))
+    rows.coalesce(1).write.text(path := tables.folder(spark, "nation.json"))
     return readers.read(spark, path)
 
 
@@ -496,14 +604,14 @@ def _(spark, d):
 def _(spark, d):
     cells = "concat('<tr><td>', n_nationkey, '<td>', n_name, '<td>', n_regionkey, '</tr>') AS value"
     head = spark.range(1).selectExpr("'<table><tr><th>n_nationkey<th>n_name<th>n_regionkey</tr>' AS value")
-    head.union(_table(spark, d, "nation", cells)).coalesce(1).write.text(path := _folder(spark, "nation.html"))
+    head.union(_table(spark, d, "nation", cells)).coalesce(1).write.text(path := tables.folder(spark, "nation.html"))
     return readers.read(spark, path)
 
 
 @_query("sink_csv", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus")
 def _(spark, d):
     counts = _table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    readers.write_csv(counts, path := _folder(spark, "counts.csv"), single=True)
+    readers.write_csv(counts, path := tables.folder(spark, "counts.csv"), single=True)
     return readers.read(spark, path)
 
 
@@ -511,11 +619,11 @@ def _(spark, d):
 def _(spark, d):
     """A stream of the events table through expression-only rules, into Parquet."""
     source = _table(spark, d, "events", "event_id", "CASE WHEN event_id % 5 = 0 THEN ' n/a ' ELSE event_type END AS event_type", "value")
-    source.write.parquet(inbox := _folder(spark, "inbox"))
+    source.write.parquet(inbox := tables.folder(spark, "inbox"))
     stream = spark.readStream.schema(source.schema).parquet(inbox)
     rules = [{"handle_sentinel_values": None}, {"validate_domain_rules": {"rules": {"value": [10, 60]}}}]
-    out = _folder(spark, "out")
-    query = clean.clean_stream(stream, rules).writeStream.format("parquet").option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start(out)
+    out = tables.folder(spark, "out")
+    query = clean.clean_stream(stream, rules).writeStream.format("parquet").option("checkpointLocation", tables.folder(spark, "state")).trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.schema(source.schema).parquet(out)
 

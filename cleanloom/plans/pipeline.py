@@ -1,9 +1,11 @@
 """Cleaning pipelines: a list of steps from a configuration or a preset, and a report of what each changed.
 
 Steps are lazy. Statistics and schema decisions of a step run one aggregation over what
-stands before it; ``persist`` keeps the table in executors' memory and disk from the first
-such step on, so that later ones don't read the source again. ``report`` is "none", "final"
-(one comparison of the table before and after), or "full" (one after every step).
+stands before it. So that these don't start again at the source each time, the table is
+kept before the first such step, and again before the next one after a costly step: with
+``keep="memory"`` in executors' memory and disk, with ``keep="table"`` as Parquet in the
+shared folder, which outlives lost executors. ``report`` is "none", "final" (one comparison
+of the table before and after), or "full" (one after every step).
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ import time
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from cleanloom.operators import steps as S
+from cleanloom.plans import tables
 from cleanloom.plans.report import Report, compare
 
 Configuration = list[dict[str, dict | None]]
@@ -43,6 +46,7 @@ def _full(min_rows: int, missing: float, impute: dict, fill: str, cap: float, z:
     ]
 
 
+# The order of steps and the settings of the three presets.
 PRESETS: dict[str, Configuration] = {
     "light": [
         {"enforce_schema": None},
@@ -61,29 +65,50 @@ PRESETS: dict[str, Configuration] = {
     "strict": _full(5, 0.5, {"strategy": "fixed", "fill_value": "missing"}, "mean", 0.05, 2.5),
 }
 NEEDS_DATA = frozenset("SD")
+#: Steps after which it pays to keep the table: cells are parsed, texts folded, rows shuffled.
+COSTLY = frozenset(["safe_conversion", "text_standardization", "remove_duplicates_rows"])
 TIMED = frozenset(["add_audit_columns", "fix_dates_columns", "safe_conversion"])
 
 
 class Pipeline:
-    def __init__(self, steps: list[Callable[[DataFrame], DataFrame]], report: str = "none", persist: bool = False):
+    def __init__(self, steps: list[Callable[[DataFrame], DataFrame]], report: str = "none", keep: str | None = None):
         if report not in ("none", "final", "full"):
             raise ValueError("report is none, final or full")
-        self.steps, self.mode, self.persist, self.report = steps, report, persist, Report()
+        if keep not in (None, "memory", "table"):
+            raise ValueError("keep is None, memory or table")
+        self.steps, self.mode, self.keep, self.report = steps, report, keep, Report()
+        self._kept: list[DataFrame | str] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        if self.keep == "table":
+            df, path = tables.written(df, "step")
+            self._kept.append(path)
+        elif self.keep == "memory":
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(df)
+        return df
+
+    def release(self, spark: SparkSession) -> None:
+        """Free the kept tables, once the result is written or no longer needed."""
+        for x in self._kept:
+            x.unpersist() if isinstance(x, DataFrame) else tables.remove(spark, x)
+        self._kept = []
 
     def run(self, df: DataFrame) -> DataFrame:
         """The cleaned table, without the internal row id."""
         first = df = S.with_row_id(S.nan_as_null(df))
-        kept: DataFrame | None = None
-        begun = time.time()
+        begun, due = time.time(), self.keep is not None
         for step in self.steps:
             label = type(step).__name__ if isinstance(step, S.Step) else getattr(step, "__name__", type(step).__name__)
             start, before = time.time(), df
-            if self.persist and kept is None and getattr(step, "kind", "") in NEEDS_DATA:
-                before = df = kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+            if due and getattr(step, "kind", "") in NEEDS_DATA:
+                before = df = self._keep(df)
+                due = False
             try:
                 df = step(df)
             except Exception as e:
                 raise RuntimeError(f"Error in step '{label}': {e}") from e
+            due = due or (self.keep is not None and getattr(step, "name", "") in COSTLY)
             if self.mode == "full":
                 self.report.add(label, compare(before, df) | {"elapsed_ms": (time.time() - start) * 1000})
         if self.mode == "final":

@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,8 +230,43 @@ for _extension, _reader in {
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header; ``single`` makes one part, for small results."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header: a folder of parts, or with ``single`` one file, for results that one task can write."""
+    if not single:
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(parts := f"{path}.parts")
+    to, fs = _file_system(df.sparkSession, path)
+    found = fs.globStatus(_file_system(df.sparkSession, f"{parts}/part-*")[0])
+    fs.delete(to, True)
+    fs.rename(found[0].getPath(), to)
+    fs.delete(_file_system(df.sparkSession, parts)[0], True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, wherever Spark can write."""
+    to, fs = _file_system(spark, path)
+    out = fs.create(to, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def workbook(rows: list[tuple]) -> bytes:
+    """A workbook of one sheet, for small tables: numbers as numbers, all else as text in place."""
+    def cell(v: object) -> str:
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        return "<c/>" if v is None else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in rows)
+    with zipfile.ZipFile(data := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+    return data.getvalue()
 
 
 def preview(df: DataFrame, n: int = 5) -> Iterator[str]:

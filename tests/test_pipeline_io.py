@@ -38,7 +38,7 @@ def test_spaced_commas(spark, dirty):
 
 @pytest.mark.parametrize("preset", ["light", "default", "strict"])
 def test_presets(spark, dirty, preset):
-    made = pipeline.from_preset(preset, report="full", persist=True)
+    made = pipeline.from_preset(preset, report="full", keep="table")
     out = made.run(readers.read(spark, dirty))
     assert out.count() == 5
     assert {"member_no", "spend_(eur)", "_quality_score", "_original_index", "_cleaned_at"} <= set(out.columns)
