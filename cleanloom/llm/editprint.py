@@ -297,8 +297,8 @@ def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
         deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
         rows = rows.join(F.broadcast(parts), ["key", "tie"], "left").withColumn("bucket", F.col("bucket") + deal).drop("parts")
     # the first row of each range, without its text; then those texts
-    first = F.min(F.struct((-F.col("key") - 1).alias("k"), "tie")).alias("f")  # -key - 1 has no overflow
-    firsts = scratch.cut(rows.groupBy("bucket").agg(first).select("bucket", (-F.col("f.k") - 1).alias("key"), "f.tie"), "firsts")
+    first = F.min(F.struct(F.bitwise_not("key").alias("k"), "tie")).alias("f")  # orders by descending key
+    firsts = scratch.cut(rows.groupBy("bucket").agg(first).select("bucket", F.bitwise_not("f.k").alias("key"), "f.tie"), "firsts")
     order = sorted(r["bucket"] for r in firsts.select("bucket").collect())  # a number for each range
     if not order:
         return spark.createDataFrame([], COMPARED)

@@ -84,7 +84,7 @@ def _integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stacked(column: pa.Array, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, d)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), d)
 
 
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
