@@ -65,3 +65,47 @@ def test_importance(spark):
 def test_empty_and_repeats(spark):
     assert H.extract(spark, pages(spark, [])).count() == 0
     assert H.extract(spark, pages(spark, [(1, "u", PAGE), (1, "u", PAGE), (None, None, PAGE)])).count() == 3
+
+
+def plain_importance(rows):
+    """Importance of every style node of one host, page by page: entropies from counts in dictionaries."""
+    import math
+    from collections import Counter, defaultdict
+
+    texts, shapes, holders = defaultdict(Counter), defaultdict(Counter), Counter()
+    for html in sorted(set(rows)):
+        found, children = H.blocks(html)
+        for path, text in {(p, t) for p, _, t in found}:
+            texts[path][text] += 1
+        for path in {p for p, *_ in found}:
+            holders[path] += 1
+        for path, styles in children.items():
+            shapes[path][tuple(styles)] += 1
+    out = {}
+    for path, m in holders.items():
+        if m < H.MIN_PAGES:
+            out[path] = 1.0
+            continue
+        # a text on k of m pages leaves an uncertainty of log k about its page
+        content = 1 - sum(math.log(k) / math.log(m) for k in texts[path].values()) / len(texts[path])
+        shown = sum(shapes[path].values())
+        shape = sum(-k / shown * math.log(k / shown) for k in shapes[path].values()) / math.log(shown) if shown > 1 else 0.0
+        share = H.GAMMA ** max(1, len(shapes[path]))
+        out[path] = share * content + (1 - share) * shape
+    return out
+
+
+def test_importance_against_plain_dictionaries(spark):
+    import random
+
+    rng = random.Random(3)
+    notes, rows = ["Join our club", "Rate us", "Read more"], []
+    for k in range(40):
+        parts = [f"<p>Story {k} part {j}</p>" for j in range(rng.randint(1, 3))] + [f"<div class=note>{rng.choice(notes)}</div>"] * rng.randint(0, 1)
+        rng.shuffle(parts)
+        rows.append(f"<div class=top>Welcome</div><article>{''.join(parts)}</article><div class=end>Rights {k % 5}</div>")
+    parsed = pages(spark, [(k, "http://h/x", t) for k, t in enumerate(rows)]).select("page_id", "url", "html").mapInArrow(H._parse, H.PARSED)
+    got = {r["path"]: r["importance"] for r in H.node_importance(parsed).collect()}
+    want = plain_importance(rows)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert min(want.values()) < H.LEAST < max(want.values())  # the tree tells them apart
