@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions import exprs as X
 from cleanloom.functions import inference as I
+from cleanloom.operators import regression
 from cleanloom.operators import steps as S
 
 
@@ -196,3 +197,25 @@ def test_own_step(table):
     S.register("plus_one", lambda by=1: lambda df: df.withColumn("a", F.col("a") + by))
     assert values(S.create("plus_one", by=2)(table([(1,)], "a int"))) == [3]
     del S.REGISTRY["plus_one"]
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    """Brackets, narrowed as for a large table, give what all values give; hot values and nulls included."""
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 7 > 0 THEN randn(1) END AS a", "round(randn(2) * 2) AS b", "CAST(NULL AS DOUBLE) AS c", "double(id % 3 > 0) AS d")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    names = ["a", "b", "c", "d"]
+    want = df.agg(*(F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in names)).head()
+    for accuracy, few in ((10_000, 100_000), (200, 300)):
+        monkeypatch.setattr(S, "ACCURACY", accuracy)
+        monkeypatch.setattr(S, "FEW_VALUES", few)
+        got = S.quantiles(df, [F.col(c) for c in names], shares)
+        assert got[2] is None and want["c"] is None
+        assert all(abs(x - y) < 1e-12 for k in (0, 1, 3) for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_batches_are_drawn_by_one_pass(spark):
+    df = spark.range(10_000).selectExpr("double(id) AS x", "double(2 * id) AS y")
+    batches = regression.drawn_batches(df, ["x"], "y", 100, 10_000, 30, 5)
+    assert len(batches) == 30 and all(50 < b.n < 160 for b in batches)
+    again = regression.drawn_batches(df, ["x"], "y", 100, 10_000, 30, 5)
+    assert [b.n for b in again] == [b.n for b in batches]
