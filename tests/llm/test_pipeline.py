@@ -20,8 +20,7 @@ def test_stages(spark):
     ids = {r["doc_id"] for r in rows}
     assert len(ids) > 0.85 * before
     once = spark.createDataFrame([(r["doc_id"], r["text"]) for r in {r["doc_id"]: r for r in rows}.values()], "doc_id long, text string")
-    found = simhash.near_duplicates(spark, once).collect()
-    assert all(r["doc_id"] == r["component_id"] for r in found)
+    assert simhash.keep_one(spark, once).count() == once.count()
 
 
 def test_empty_documents(spark, tmp_path):
@@ -41,13 +40,13 @@ def test_names():
 
 
 def test_stages_against_brute_force(spark, tmp_path):
-    """Every stage by its plain form: the network text by text, all pairs of lines, all pairs of fingerprints, SQL, the library."""
+    """Every stage by its plain form: the network text by text, all pairs of lines, all pairs of documents, SQL, the library."""
     import random
 
     import duckdb
     import sentencepiece
     from test_lines import cleaned
-    from test_simhash import components, slow_print
+    from test_simhash import kept_by_brute_force
 
     import corpus_pipeline
     from cleanloom.llm import langid, mixing, sentencepieces
@@ -68,8 +67,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     langs, scores = langid.classify(net, [None if r[1] is None else r[1].encode() for r in rows])
     known = [r for r, lang, s in zip(rows, langs, scores, strict=True) if lang != "und" and s >= langid.LEAST_SCORE]
     lines = cleaned([(r[0], r[1]) for r in known])
-    root = components([slow_print(lines[r[0]]) for r in known], [r[0] for r in known])
-    left = [(r[0], lines[r[0]], r[3]) for r in known if root[r[0]] == r[0]]
+    source = {r[0]: r[3] for r in known}
+    left = [(i, text, source[i]) for i, text in kept_by_brute_force([(r[0], lines[r[0]]) for r in known])]
     con = duckdb.connect()
     con.register("documents", spark.createDataFrame(left, "doc_id long, text string, source string").toArrow())
     texts = {r[0]: r[1] for r in left}
