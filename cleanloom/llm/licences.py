@@ -38,7 +38,7 @@ MOST_WORDS = 20_000
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 20
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_SIGN = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]")
+_SIGN = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
 
 #: Phrases whose every place counts (fixed values).
 PHRASES = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
