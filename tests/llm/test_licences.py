@@ -107,9 +107,9 @@ def test_base_columns_like_sql(spark):
     sql = f"""
     WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM '{small}/documents.parquet'),
     p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-    b AS (SELECT doc_id, i - 1 AS at, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
+    b AS (SELECT doc_id, i - 1 AS place, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
       WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label FROM p)
-    SELECT w.doc_id, len(w), count(label), min(at), max(at), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '')
+    SELECT w.doc_id, len(w), count(label), min(place), max(place), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '')
     FROM w LEFT JOIN (SELECT * FROM b WHERE label IS NOT NULL) b USING (doc_id) GROUP BY w.doc_id, w
     """
     got = sorted(tuple(r) for r in L.query(spark, small).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect())
