@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cleanloom.llm import editprint, html, langid, licences, lines, middles, mixing, pfp, sentencepieces, simhash, topk, warc
+from cleanloom.llm import editprint, html, langid, licences, lines, middles, mixing, pfp, repair, sentencepieces, simhash, topk, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_edit_fingerprints": editprint.query,
     "op9_exact_top_k": topk.query,
     "op10_html_main_text": html.query,
+    "op11_conversation_repair": repair.query,
     "op12_licence_scan": licences.query,
     "op13_fill_in_middle": middles.query,
     "edit_near_documents": editprint.near_query,
@@ -24,6 +25,7 @@ ORACLES: dict[str, str] = {
     "op2_warc_archive": warc.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
+    "op11_conversation_repair": repair.query,
     "op12_licence_scan": licences.query,
     "op13_fill_in_middle": middles.ORACLE,
 }
