@@ -22,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleanloom.llm._common import row_of
+from cleanloom.llm._common import partitions, row_of
 
 LETTERS = "[A-Za-z]+"
 UNIT = LETTERS + "|[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Documents in a hundred that are cut, and of these the ones whose suffix comes first.
 CUT, SUFFIX_FIRST = 90, 20
+#: Units take some thirty times the bytes of their text, so texts are dealt in so many times as many parts as else.
+FINER = 4
 
 
 def _draws(doc_id: Column, seed: int) -> list[Column]:
@@ -55,7 +57,7 @@ def cut(docs: DataFrame, seed: int = 1, percent: int = CUT, suffix_first: int =
     """(row, text, n, form, prefix, middle, suffix): the parts of each document, null where its form is plain."""
     place, text = F.monotonically_increasing_id(), F.coalesce(F.col("row.text"), F.lit(""))
     requests = _requests(docs.select(place.alias("place"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), seed)
-    dealt = docs.select(place.alias("place"), row_of(docs).alias("row")).repartition("place")
+    dealt = docs.select(place.alias("place"), row_of(docs).alias("row")).repartition(FINER * partitions(docs.sparkSession), "place")
     # texts in order of place: their units are one sorted run
     formed = dealt.sortWithinPartitions("place").withColumn("form", _form(text, _draws(F.col("row.doc_id"), seed), percent, suffix_first))
     matches = F.when(F.col("form") != "plain", F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
