@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions import inference as I
 from cleanloom.functions.inference import ROW_ID, user_columns
+from cleanloom.operators.ordered import looked_back
 from cleanloom.operators.regression import LinearRegression
-from cleanloom.operators.steps import quantiles, with_row_id
+from cleanloom.operators.steps import as_number, quantiles, with_row_id
 
 REGISTRY: dict[str, Callable] = {}
 
@@ -52,7 +53,7 @@ def describe(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     names, stats = I.numbers(df), {}
     quarts = quantiles(df, [I.ref(c) for c in names], [0.25, 0.5, 0.75], accuracy) if names else []
     for c, q in zip(names, quarts, strict=True):
-        x = I.ref(c).cast("double")
+        x = as_number(df, c)
         stats[c] = [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), *(F.lit(v).cast("double") for v in q or [None] * 3), F.max(x)]
     return _long(df, stats, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
@@ -114,24 +115,26 @@ def seasonality(df: DataFrame, time: str, value: str) -> DataFrame:
     return df.groupBy(F.month(I.ref(time)).alias("month")).agg(F.count(I.ref(value)).alias("n"), F.avg(I.ref(value)).alias("mean"))
 
 
-def _ordered(by: list[str], order: str) -> WindowSpec:
-    """Windows run inside groups, never over a whole table in one task."""
-    if not by:
-        raise ValueError("name the columns that divide the table: by=[...]")
-    return Window.partitionBy(*by).orderBy(order)
+def moving(df: DataFrame, by: list[str], order: str, value: str, rows: int = 3) -> DataFrame:
+    """moving_average and volatility (sample deviation) of the last ``rows`` values of a group, or of all rows where ``by`` is empty."""
+    x = I.ref(value)
 
+    def new(w):
+        w = w.rowsBetween(1 - rows, 0)
+        return {"moving_average": F.avg(x).over(w), "volatility": F.stddev_samp(x).over(w)}
 
-def moving(df: DataFrame, by: list[str], order: str, value: str, rows: int = 3) -> DataFrame:
-    """moving_average and volatility (sample deviation) of the last ``rows`` values of a group."""
-    w, x = _ordered(by, order).rowsBetween(1 - rows, 0), I.ref(value)
-    return df.withColumns({"moving_average": F.avg(x).over(w), "volatility": F.stddev_samp(x).over(w)})
+    return looked_back(df, by, order, rows - 1, new)
 
 
 def lags(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """lag, diff, growth (share of the value before) and momentum (change of diff) inside a group."""
-    w, x = _ordered(by, order), I.ref(value)
-    before, earlier = F.lag(x, 1).over(w), F.lag(x, 2).over(w)
-    return df.withColumns({"lag": before, "diff": x - before, "growth": F.try_divide(x - before, before), "momentum": x - 2 * before + earlier})
+    """lag, diff, growth (share of the value before) and momentum (change of diff) inside a group, or over all rows where ``by`` is empty."""
+    x = I.ref(value)
+
+    def new(w):
+        before, earlier = F.lag(x, 1).over(w), F.lag(x, 2).over(w)
+        return {"lag": before, "diff": x - before, "growth": F.try_divide(x - before, before), "momentum": x - 2 * before + earlier}
+
+    return looked_back(df, by, order, 2, new)
 
 
 def group_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:

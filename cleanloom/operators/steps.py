@@ -68,30 +68,36 @@ def as_number(df: DataFrame, c: str) -> Column:
     kind = df.schema[c].dataType
     if isinstance(kind, T.StringType):
         return X.plain_number(X.blank_trimmed(ref(c)))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.nanvl(ref(c).cast("double"), F.lit(None))
     return ref(c).cast("double") if I.is_numeric(kind) or isinstance(kind, T.BooleanType) else F.lit(None).cast("double")
 
 
 def quantiles(df: DataFrame, columns: list[Column], shares: list[float], accuracy: int | None = None) -> list[list[float] | None]:
     """Interpolated quantiles of each column, null for a column without values; with ``accuracy`` approximate ones, in one pass.
 
-    Exact ones are found in two passes or a few. Approximate quantiles a little to either
-    side bracket each rank, all values of few rows do; where a bracket holds over FEW_VALUES rows, approximate quantiles
-    inside it narrow it. Then the rows below each bracket and the values inside, each with
-    its number, are counted with map-side combine. No task holds a column's values.
+    NaN is null. Exact ones are found in two passes or a few. Approximate quantiles a little
+    to either side bracket each rank, all values of few rows do; where a bracket holds more
+    than its part of FEW_VALUES rows, approximate quantiles inside it narrow it. Then the
+    rows below each bracket and the values inside, each with its number, are counted with
+    map-side combine, once for all shares of a column that have the same bracket. No task
+    holds a column's values, and the driver FEW_VALUES at most, whatever the number of columns
+    (values in a bracket of one value apart).
     """
     x = [F.col(f"x{k}") for k in range(len(columns))]
-    table = df.select(*(c.cast("double").alias(f"x{k}") for k, c in enumerate(columns)))
+    table = df.select(*(F.nanvl(c.cast("double"), F.lit(None)).alias(f"x{k}") for k, c in enumerate(columns)))
     if accuracy is not None:
         row = table.agg(*(F.percentile_approx(c, [float(s) for s in shares], accuracy).alias(f"q{k}") for k, c in enumerate(x))).head()
         return [None if q is None else [float(v) for v in q] for q in row]
+    few = max(1, FEW_VALUES // max(1, len(columns) * len(shares)))
     near = 2 / ACCURACY
     around = [p for s in shares for p in (max(0.0, s - near), min(1.0, s + near))]
     row = table.agg(*(F.struct(F.count(c).alias("n"), F.percentile_approx(c, around, ACCURACY).alias("q")).alias(f"a{k}") for k, c in enumerate(x))).head()
     size = [r["n"] for r in row]
     ranks = {(k, j): (math.floor(s * (n - 1)), math.ceil(s * (n - 1))) for k, n in enumerate(size) if n for j, s in enumerate(shares)}
-    bracket = {(k, j): (row[k]["q"][2 * j], row[k]["q"][2 * j + 1]) if size[k] > FEW_VALUES else (-math.inf, math.inf) for k, j in ranks}
+    bracket = {(k, j): (row[k]["q"][2 * j], row[k]["q"][2 * j + 1]) if size[k] > few else (-math.inf, math.inf) for k, j in ranks}
     expected = {k: 4 * size[k[0]] / ACCURACY for k in ranks}
-    while wide := [k for k in ranks if expected[k] > FEW_VALUES and bracket[k][0] < bracket[k][1]]:
+    while wide := [k for k in ranks if expected[k] > few and bracket[k][0] < bracket[k][1]]:
         held = {k: x[k[0]].between(*map(F.lit, bracket[k])) for k in wide}
         found = table.agg(*(F.struct(F.count_if(x[k[0]] < bracket[k][0]), F.count_if(held[k])).alias(f"b{i}") for i, k in enumerate(wide))).head()
         asked = []
@@ -101,15 +107,16 @@ def quantiles(df: DataFrame, columns: list[Column], shares: list[float], accurac
             expected[k] = 4 * inside / ACCURACY
         for k, q in zip(wide, table.agg(*asked).head(), strict=True):
             bracket[k] = (q[0], q[1])
-    each = [F.struct(F.lit(i).alias("i"), F.when(x[k] < low, float("-inf")).when(x[k] <= high, x[k]).alias("v")) for i, ((k, _), (low, high)) in enumerate(bracket.items())]
+    once = {(k, *held): i for i, (k, held) in enumerate(sorted({(k, held) for (k, _), held in bracket.items()}))}
+    each = [F.struct(F.lit(i).alias("i"), F.when(x[k] < low, float("-inf")).when(x[k] <= high, x[k]).alias("v")) for (k, low, high), i in once.items()]
     counted: dict[int, list[tuple[float, int]]] = {}
     if each:
         for r in table.select(F.inline(F.array(*each))).where("v IS NOT NULL").groupBy("i", "v").count().collect():  # few values of each bracket
             counted.setdefault(r["i"], []).append((r["v"], r["count"]))
+    summed = {i: (values := sorted(pairs), list(itertools.accumulate(n for _, n in values))) for i, pairs in counted.items()}
     out: list[list[float] | None] = [[] if n else None for n in size]
-    for i, (k, j) in enumerate(bracket):
-        values = sorted(counted[i])
-        upto = list(itertools.accumulate(n for _, n in values))
+    for (k, j), held in bracket.items():
+        values, upto = summed[once[k, *held]]
         a, b = (values[bisect.bisect_right(upto, r)][0] for r in ranks[k, j])
         out[k].append(a + (b - a) * (shares[j] * (size[k] - 1) - ranks[k, j][0]))
     return out
@@ -294,7 +301,7 @@ class Outliers(Step):
         target = [c for c in target if c in I.numbers(df)]
         if not target:
             return df
-        value = {c: ref(c).cast("double") for c in target}
+        value = {c: as_number(df, c) for c in target}
         quarts = quantiles(df, list(value.values()), [0.25, 0.75], self.accuracy)
         clip = {}
         for (c, x), q in zip(value.items(), quarts, strict=True):
@@ -484,17 +491,22 @@ def with_places(df: DataFrame, name: str) -> DataFrame:
     broadcast table beyond that.
     """
     sizes = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    return numbered(df, name, F.monotonically_increasing_id(), sizes)
+
+
+def numbered(df: DataFrame, name: str, own: Column, sizes: dict[int, int]) -> DataFrame:
+    """``df`` with dense places, of monotonically increasing ids and the number of rows of each part."""
     before, total = [], 0
     for p in range(max(sizes, default=0) + 1):
         before.append(total)
         total += sizes.get(p, 0)
-    own = F.monotonically_increasing_id()
     if len(before) <= FEW_PARTITIONS:
         start = F.array(*(F.lit(b).cast("long") for b in before))
         return df.withColumn(name, start[F.shiftright(own, 33).cast("int")] + own.bitwiseAND((1 << 33) - 1))
     starts = df.sparkSession.createDataFrame(list(enumerate(before)), "_part int, _start long")
     placed = df.withColumn(name, own).withColumn("_part", F.shiftright(name, 33).cast("int")).join(F.broadcast(starts), "_part")
-    return placed.withColumn(name, F.col("_start") + F.col(name).bitwiseAND((1 << 33) - 1)).select(*df.columns, name)
+    own = F.col("_start") + F.col(name).bitwiseAND((1 << 33) - 1)
+    return placed.select(*(ref(c) for c in df.columns if c != name), own.alias(name))
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
