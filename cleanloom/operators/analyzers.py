@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from cleanloom.functions import inference as I
 from cleanloom.functions.inference import ROW_ID, user_columns
 from cleanloom.operators.ordered import looked_back
+from cleanloom.operators.distributions import distribution_type, normality_test
 from cleanloom.operators.regression import LinearRegression
+from cleanloom.operators.relations import feature_selection, interaction_effects, multicollinearity
+from cleanloom.operators.segments import customer_segments, population_splits
+from cleanloom.operators.series import causality, change_points, risk_metrics
 from cleanloom.operators.steps import as_number, quantiles, with_row_id
 
 REGISTRY: dict[str, Callable] = {}
@@ -184,5 +188,8 @@ def cohorts(df: DataFrame, member: str, time: str) -> DataFrame:
 for _name, _f in {
     "seasonality": seasonality, "moving_averages": moving, "lag_features": lags, "group_statistics": group_statistics, "anomaly_scores": anomaly_scores,
     "threshold_violations": threshold_violations, "information_content": information_content, "feature_variance": variance, "cohort_analysis": cohorts,
+    "change_points": change_points, "risk_metrics": risk_metrics, "causality": causality, "multicollinearity": multicollinearity,
+    "interaction_effects": interaction_effects, "feature_selection": feature_selection, "normality_test": normality_test, "distribution_type": distribution_type,
+    "customer_segments": customer_segments, "population_splits": population_splits,
 }.items():
     register(_name, _f)

@@ -2,14 +2,17 @@
 
 import pytest
 
-from cleanloom.plans import catalog
+from cleanloom.plans import analyses, catalog
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+QUERIES, ORACLES = catalog.QUERIES | analyses.QUERIES, catalog.ORACLES | analyses.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, oracle, name):
-    oracle(catalog.QUERIES[name](spark, SMALL), catalog.ORACLES[name])
+    oracle(QUERIES[name](spark, SMALL), ORACLES[name])
 
 
 def test_sample(spark):
