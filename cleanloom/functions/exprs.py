@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 import pandas as pd
@@ -22,13 +23,11 @@ SENTINELS = ("unknown", "nan", "none", "null", "n/a", "na", "-", "$-", "", "inva
 TRUE_WORDS = ("yes", "true", "y", "1")
 FALSE_WORDS = ("no", "false", "n", "0")
 _DAY, _YEAR, _CLOCK = r"\d{1,2}", r"[+-]?\d{4,}", r"\d{2}:\d{2}:\d{2}"
-_DATED = r"\d{4}"
-_ISO, _WORD = rf"^{_YEAR}-{_DAY}-{_DAY}", rf"^[^\d\s]+ {_DAY}"
-#: Date formats that are read, and what a text must look like to be tried; single letters take one digit or two.
+_DATED, _WORD = r"\d{4}", rf"^[^\d\s]+ {_DAY},? {_YEAR}$"
+#: Date formats that are read, and what a text must look like to be tried; single letters take one digit or two, brackets may be missing.
 DATE_FORMATS = {
-    "yyyy-M-d": rf"{_ISO}$", "yyyy/M/d": rf"^{_YEAR}/{_DAY}/{_DAY}$", "M/d/yyyy": rf"^{_DAY}/{_DAY}/{_YEAR}$",
-    "MMMM d yyyy": rf"{_WORD} {_YEAR}$", "MMM d yyyy": rf"{_WORD} {_YEAR}$", "MMMM d, yyyy": rf"{_WORD}, {_YEAR}$", "MMM d, yyyy": rf"{_WORD}, {_YEAR}$",
-    "yyyy-M-d HH:mm:ss": rf"{_ISO} {_CLOCK}$", "yyyy-M-d HH:mm:ss.SSSSSS": rf"{_ISO} {_CLOCK}\.\d+$", "yyyy-M-d'T'HH:mm:ss": rf"{_ISO}T{_CLOCK}$",
+    "yyyy-M-d[ HH:mm:ss[.SSSSSS]]['T'HH:mm:ss]": rf"^{_YEAR}-{_DAY}-{_DAY}( {_CLOCK}(\.\d+)?|T{_CLOCK})?$",
+    "yyyy/M/d": rf"^{_YEAR}/{_DAY}/{_DAY}$", "M/d/yyyy": rf"^{_DAY}/{_DAY}/{_YEAR}$", "MMMM d[,] yyyy": _WORD, "MMM d[,] yyyy": _WORD,
 }
 FIRST_DATE = "1900-01-01 00:00:00"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -86,7 +85,8 @@ def any_date(c: Column) -> Column:
 
 def within(t: Column, now: Column) -> Column:
     """Null outside 1900 to now."""
-    return F.when(t.between(F.lit(FIRST_DATE).cast("timestamp_ntz"), now), t)
+    # an array of one, so that a costly time is computed once and not for each comparison
+    return F.try_element_at(F.filter(F.array(t), lambda x: x.between(F.lit(FIRST_DATE).cast("timestamp_ntz"), now)), F.lit(1))
 
 
 def date_cell(c: Column, now: Column) -> Column:
@@ -133,6 +133,17 @@ def _folds() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(one), "".join(to), more
 
 
+def _ranges(points: Iterable[int]) -> list[tuple[int, int]]:
+    """Runs of successive numbers: a pattern of few ranges is matched sooner than one of many characters."""
+    out: list[tuple[int, int]] = []
+    for p in sorted(points):
+        if out and out[-1][1] == p - 1:
+            out[-1] = (out[-1][0], p)
+        else:
+            out.append((p, p))
+    return out
+
+
 def fold_ascii(c: Column) -> Column:
     """Without accents and other non-ASCII characters; see ``fold_ascii_any`` for rare compatibility forms.
 
@@ -142,7 +153,7 @@ def fold_ascii(c: Column) -> Column:
     one, to, more = _folds()
     letters = F.create_map(*(F.lit(x) for pair in more for x in pair))
     spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
-    rare = "[" + "".join(f"\\x{{{ord(x):x}}}" for x, _ in more) + "]"
+    rare = "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in _ranges(ord(x) for x, _ in more)) + "]"
     folded = F.regexp_replace(F.translate(F.when(c.rlike(rare), spread).otherwise(c), one, to), r"[^\x00-\x7F]", "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
@@ -155,9 +166,8 @@ def fold_ascii_any(s: pd.Series) -> pd.Series:
 
 def standard_text(c: Column, fold=fold_ascii) -> Column:
     """Folded, signs but hyphens to blanks, blanks single, trimmed, lower case; ``nan`` is null."""
-    words = F.regexp_replace(fold(c), r"[^\w\s\-]", " ")
-    done = F.lower(F.trim(F.regexp_replace(words, r"\s+", " ")))
-    return F.when(done != "nan", done)
+    # signs and blanks in one pass, and nullif computes the text once
+    return F.nullif(F.lower(F.trim(F.regexp_replace(fold(c), r"[^\w\-]+", " "))), F.lit("nan"))
 
 
 def clipped(c: Column, low: Column, high: Column) -> Column:
