@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from cleanloom.functions import exprs as X
 
-ROW_ID = "_row_id"
+#: Columns that are no columns to any step: the place at reading, and the cells before a step that is reported on.
+ROW_ID, BEFORE = "_row_id", "_before"
+HIDDEN = (ROW_ID, BEFORE)
 NUMERIC_SHARE, DATE_SHARE, DATE_SAMPLE = 0.7, 0.5, 10
 FIRST_ROWS = 1000
 
@@ -20,7 +22,7 @@ def ref(name: str) -> Column:
 
 
 def user_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != ROW_ID]
+    return [c for c in df.columns if c not in HIDDEN]
 
 
 def is_numeric(kind: T.DataType) -> bool:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cleanloom.functions import exprs as X
 from cleanloom.functions import inference as I
-from cleanloom.functions.inference import ROW_ID, ref, user_columns
+from cleanloom.functions.inference import HIDDEN, ROW_ID, ref, user_columns
 
 REGISTRY: dict[str, type[Step]] = {}
 FEW_PARTITIONS = 1000
@@ -144,7 +144,7 @@ class Titles(Step):
         taken: set[str] = set()
         names = []
         for c in df.columns:
-            name = base = c if c == ROW_ID else X.snake_name(c)
+            name = base = c if c in HIDDEN else X.snake_name(c)
             k = 0
             while name in taken:
                 k += 1

@@ -5,6 +5,8 @@ The tables have no nulls, so queries put dirt into them first, by the same rule
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import os
 import tempfile
@@ -460,10 +462,10 @@ def _(spark, d):
 @_query("linreg_gd_simple", """
 WITH RECURSIVE s AS (SELECT count(*)::DOUBLE AS n, sum(l_discount) AS a, sum(l_discount * l_discount) AS aa, sum(l_extendedprice) AS y, sum(l_discount * l_extendedprice) AS ay FROM lineitem),
 g(k, w0, w1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
-  SELECT k + 1, w0 - 0.1 * (n * w0 + a * w1 - y) / n, w1 - 0.1 * (a * w0 + aa * w1 - ay) / n FROM g, s WHERE k < 200)
-SELECT round(w0, 3) AS intercept, round(w1, 3) AS slope FROM g WHERE k = 200""")
+  SELECT k + 1, w0 - 0.01 * (n * w0 + a * w1 - y) / n, w1 - 0.01 * (a * w0 + aa * w1 - ay) / n FROM g, s WHERE k < 1000)
+SELECT round(w0, 3) AS intercept, round(w1, 3) AS slope FROM g WHERE k = 1000""")
 def _(spark, d):
-    m = regression.LinearRegression("gradient_descent", "simple").fit(_table(spark, d, "lineitem"), "l_discount", "l_extendedprice", learning_rate=0.1, max_iterations=200)
+    m = regression.LinearRegression("gradient_descent", "simple").fit(_table(spark, d, "lineitem"), "l_discount", "l_extendedprice")
     return spark.createDataFrame([(round(m.intercept, 3), round(m.slope, 3))], "intercept double, slope double")
 
 
@@ -504,12 +506,13 @@ def _(spark, d):
 
 
 @_query("analyze_trend_gradient_descent", """
-WITH RECURSIVE s AS (SELECT count(*)::DOUBLE AS n, sum(l_discount) AS a, sum(l_discount * l_discount) AS aa, sum(l_quantity) AS y, sum(l_discount * l_quantity) AS ay FROM lineitem),
-g(k, w0, w1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
-  SELECT k + 1, w0 - 0.01 * (n * w0 + a * w1 - y) / n, w1 - 0.01 * (a * w0 + aa * w1 - ay) / n FROM g, s WHERE k < 100)
-SELECT round(w1, 4) AS trend_slope, round(w0, 4) AS trend_intercept FROM g WHERE k = 100""")
+WITH RECURSIVE s AS (SELECT count(*)::DOUBLE AS n, sum(l_discount) AS a, sum(l_discount * l_discount) AS aa, sum(l_quantity) AS y, sum(l_discount * l_quantity) AS ay, sum(l_quantity * l_quantity) AS yy FROM lineitem),
+g(k, w0, w1, loss, last) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, (SELECT yy / (2 * n) FROM s), CAST('Infinity' AS DOUBLE) UNION ALL
+  SELECT k + 1, v0, v1, (n * v0 * v0 + 2 * a * v0 * v1 + aa * v1 * v1 - 2 * (y * v0 + ay * v1) + yy) / (2 * n), loss
+  FROM (SELECT *, w0 - 0.01 * (n * w0 + a * w1 - y) / n AS v0, w1 - 0.01 * (a * w0 + aa * w1 - ay) / n AS v1 FROM g, s WHERE k < 999 AND abs(loss - last) >= 1e-6))
+SELECT round(arg_max(w1, k), 4) AS trend_slope, round(arg_max(w0, k), 4) AS trend_intercept FROM g""")
 def _(spark, d):
-    options = {"type_of_prediction": "gradient_descent", "complexity": "simple", "max_iterations": 100}
+    options = {"type_of_prediction": "gradient_descent", "complexity": "simple"}
     return _rounded(analyzers.analyze("trend_analysis", _table(spark, d, "lineitem"), x="l_discount", y="l_quantity", **options))
 
 
@@ -523,6 +526,21 @@ def _(spark, d):
     return spark.createDataFrame([(one.count(), members, same)], "n long, members long, repeatable boolean")
 
 
+@_query("report_print_summary", f"""
+WITH b AS (SELECT {PRICE} AS price FROM orders), n AS (SELECT count(*) FILTER (WHERE price IS NULL) AS p, count(*) AS c FROM b),
+t AS (SELECT ['NumericColumns', '0', '1', CAST(p AS VARCHAR), '0', CAST(-p AS VARCHAR), printf('%.3f', p / c / 2.0)] AS v FROM n)
+SELECT unnest(['step', 'rows_removed', 'columns_changed', 'nulls_before', 'nulls_after', 'null_diff', 'avg_change']) AS name, unnest(v) AS value FROM t""")
+def _(spark, d):
+    """The printed summary, read back by its columns; avg_change with three decimals."""
+    made = pipeline.build([{"fix_numeric_columns": {"columns": ["price"]}}], report="full")
+    made.run(_table(spark, d, "orders", "o_orderkey", f"{PRICE} AS price"))
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        made.report.print_summary()
+    names, values = (line.split() for line in out.getvalue().splitlines())
+    rows = [(n, f"{float(v):.3f}" if n == "avg_change" else v) for n, v in zip(names, values, strict=True) if n != "elapsed_ms"]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 @_query("report_json", """
 WITH b AS (SELECT o_orderkey, {p} AS price, {s} AS status FROM orders)
 SELECT 'Sentinels' AS name, CAST(0 AS BIGINT) AS rows_removed, CAST(count(*) FILTER (WHERE price IS NULL) + count(*) FILTER (WHERE status IS NULL) AS BIGINT) AS nulls_before,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cleanloom import cli
 from cleanloom.operators import analyzers, regression
+from cleanloom.operators import steps as S
 from cleanloom.plans import pipeline
 from cleanloom.sources import readers
 from cleanloom.streaming import clean
@@ -166,3 +167,29 @@ def test_regression(spark, table):
     with pytest.raises(ValueError, match="no model"):
         regression.LinearRegression("nothing")
     assert regression.scores(table([(1.0,), (1.0,)], "y double"), F.col("y"), F.lit(1.0)).head()["r2"] is None
+
+
+def test_report_within_a_step_is_the_report_by_join(spark, table):
+    """Built-in steps are compared in their own projection; the same steps as plain functions by a join."""
+    rows = [(k, f" Name {k % 3} ", None if k % 4 == 0 else "n/a" if k % 5 == 0 else str(k), float("nan") if k % 7 == 0 else float(k)) for k in range(60)] * 2
+    df = table(rows, "`My Id` long, name string, amount string, `_x` double")
+    names = ["fix_columns_titles", "handle_sentinel_values", "safe_conversion", "fix_not_numeric_columns", "remove_duplicates_rows", "fix_numeric_columns", "drop_constant_columns", "flag_data_quality", "drop_high_missing_columns"]
+    made = pipeline.Pipeline([S.create(n) for n in names], report="full")
+    plain = pipeline.Pipeline([lambda x, step=S.create(n): step(x) for n in names], report="full")
+    one, two = made.run(df), plain.run(df)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and "_before" not in one.columns
+    without = lambda r: [{k: v for k, v in x["metrics"].items() if k != "elapsed_ms"} for x in r.steps]
+    assert without(made.report) == without(plain.report) and any(m["rows_removed"] for m in without(made.report))
+
+
+def test_summary_lines(capsys):
+    from cleanloom.plans.report import Change, Report
+
+    report = Report()
+    report.print_summary()
+    report.add("a", Change(1, 5, 3, {"x": 0.5, "y": 0.0}, 1.234))
+    report.add("mine", {"rows_removed": 2, "custom": True})
+    report.print_summary()
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "The report has no steps." and out[2].split() == ["a", "1.23", "1", "1", "5", "3", "-2", "0.25"] and out[3].split()[0] == "mine"
+    assert report.steps[1]["metrics"] == {"rows_removed": 2, "custom": True}
