@@ -6,7 +6,7 @@ Rows with a null in a feature or the target are left out.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import repeat
@@ -94,17 +94,17 @@ def fit_ols(df: DataFrame, features: list[str], target: str) -> Model:
     return Model(features, np.linalg.solve(s.xx, s.xy))
 
 
-def drawn_batches(df: DataFrame, features: list[str], target: str, size: int, n: int, rounds: int, seed: int) -> list[Sums]:
+def drawn_batches(df: DataFrame, features: list[str], target: str, size: int, n: int, rounds: int, seed: int, draw: Callable[[int], Column] = F.rand) -> list[Sums]:
     """Sums of up to ``rounds`` random batches of about ``size`` of the n rows, by one pass.
 
-    Every row goes to one batch at most, by a random number, so a pass makes n / size batches
+    Every row goes to one batch at most, by the number from 0 to 1 that ``draw(seed)`` gives it, so a pass makes n / size batches
     and their sizes vary as those of coin tosses do.
     """
     some = min(rounds, max(1, n // size))
     x, y = _terms(features), ref(target).cast("double")
     cells = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     sums = [F.count("*").alias("n"), F.sum(y * y).alias("yy"), *(F.sum(a * y).alias(f"y{k}") for k, a in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"x{k}") for k, (i, j) in enumerate(cells))]
-    batch = F.floor(F.rand(seed) * (n / size)).cast("int").alias("batch")
+    batch = F.floor(draw(seed) * (n / size)).cast("int").alias("batch")
     found = complete(df, [*features, target]).select("*", batch).where(F.col("batch") < some).groupBy("batch").agg(*sums)
     out = []
     for row in sorted(found.collect()):  # a row for each batch
@@ -117,7 +117,10 @@ def drawn_batches(df: DataFrame, features: list[str], target: str, size: int, n:
 
 @dataclass(frozen=True)
 class GradientDescent:
-    """Descent on the mean squared loss; with ``batch_size`` each round takes random rows of about that number, many rounds by one pass."""
+    """Descent on the mean squared loss; with ``batch_size`` each round takes random rows of about that number, many rounds by one pass.
+
+    ``draw`` makes the column of random numbers of a pass; one of the row's own columns draws alike under any partitioning.
+    """
 
     learning_rate: float = 0.01
     max_iterations: int = 1000
@@ -125,6 +128,7 @@ class GradientDescent:
     batch_size: int | None = None
     initial_beta: list[float] | None = None
     seed: int | None = None
+    draw: Callable[[int], Column] = F.rand
 
     def _rounds(self, df: DataFrame, features: list[str], target: str, whole: Sums) -> Iterator[Sums]:
         if self.batch_size is None or self.batch_size >= whole.n:
@@ -132,7 +136,7 @@ class GradientDescent:
             return
         left, seed = self.max_iterations, random.randrange(1 << 31) if self.seed is None else self.seed
         while left:
-            batches = drawn_batches(df, features, target, self.batch_size, whole.n, left, seed)
+            batches = drawn_batches(df, features, target, self.batch_size, whole.n, left, seed, self.draw)
             yield from batches
             left, seed = left - len(batches), seed + 1
 
