@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions import inference as I
 from cleanloom.functions.inference import ROW_ID, user_columns
-from cleanloom.operators.ordered import looked_back
 from cleanloom.operators.distributions import distribution_type, normality_test
+from cleanloom.operators.forest import isolation_scores
+from cleanloom.operators.ordered import looked_back
 from cleanloom.operators.regression import LinearRegression
 from cleanloom.operators.relations import feature_selection, interaction_effects, multicollinearity
 from cleanloom.operators.segments import customer_segments, population_splits
@@ -190,6 +191,6 @@ for _name, _f in {
     "threshold_violations": threshold_violations, "information_content": information_content, "feature_variance": variance, "cohort_analysis": cohorts,
     "change_points": change_points, "risk_metrics": risk_metrics, "causality": causality, "multicollinearity": multicollinearity,
     "interaction_effects": interaction_effects, "feature_selection": feature_selection, "normality_test": normality_test, "distribution_type": distribution_type,
-    "customer_segments": customer_segments, "population_splits": population_splits,
+    "customer_segments": customer_segments, "isolation_forest": isolation_scores, "population_splits": population_splits,
 }.items():
     register(_name, _f)

@@ -263,3 +263,9 @@ SELECT c_custkey, CASE WHEN i <= floor(n * 0.5 + 0.5) THEN 'control' WHEN i <= f
 def _(spark, d):
     rows = _table(spark, d, "customer", "c_custkey", "c_mktsegment")
     return analyzers.analyze("population_splits", rows, key="c_custkey", shares={"control": 0.5, "test": 0.3, "rest": 0.2}, strata=["c_mktsegment"], salt="spring").select("c_custkey", "arm")
+
+
+@_query("analyze_isolation_forest", None)
+def _(spark, d):
+    rows = _table(spark, d, "orders", "o_orderkey", "CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice * 50 ELSE o_totalprice END AS price", "CAST(dayofyear(o_orderdate) AS DOUBLE) AS day")
+    return analyzers.analyze("isolation_forest", rows, columns=["price", "day"]).select("o_orderkey", "isolation_score")

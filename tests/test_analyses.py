@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cleanloom.functions import special
-from cleanloom.operators import analyzers, distributions, ordered, relations, segments, series
+from cleanloom.operators import analyzers, distributions, forest, ordered, relations, segments, series
 from cleanloom.operators import steps as S
 
 NAN = float("nan")
@@ -223,3 +223,17 @@ def test_steps_take_nan_as_null(spark):
     assert sorted(r.x for r in S.create("fix_numeric_columns")(df).collect()) == [1.0, 2.0, 2.0, 2.0, 3.0]
     for step in ("handle_outliers", "cap_outliers"):
         assert sorted(r.x for r in S.create(step)(df).collect() if r.x is not None)[0] >= 1.0
+
+
+def test_isolation_forest(spark):
+    draw = random.Random(9)
+    rows = [(k, draw.gauss(0, 1), draw.gauss(5, 2)) for k in range(600)] + [(900, 9.0, -20.0), (901, None, 1.0), (902, NAN, 1.0)] + [(903, 0.0, 5.0)] * 300
+    df = spark.createDataFrame(rows, "k int, x double, y double").repartition(3)
+    trees, each = forest.forest(df, ["x", "y"], trees=20, rows=64, seed=1)
+    assert each == 64 and len(trees) == 20 and len(trees[0].column) == 127
+    got = df.select("k", "x", "y", forest.path_length([F.col("x"), F.col("y")], trees).alias("p")).where("k < 901").collect()
+    assert [r.p for r in got] == pytest.approx([np.mean([t.length(np.array([r.x, r.y])) for t in trees]) for r in got])
+    scores = {r.k: r.isolation_score for r in forest.isolation_scores(df, ["x", "y"]).collect()}
+    assert max((s, k) for k, s in scores.items() if s is not None)[1] == 900 and scores[901] is None and scores[902] is None and scores[903] < 0.5
+    assert forest.isolation_scores(df.limit(0), ["x"]).count() == 0
+    assert {round(r.isolation_score, 9) for r in forest.isolation_scores(df.where("k = 903"), ["x", "y"]).collect()} == {0.5}
