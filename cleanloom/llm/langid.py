@@ -7,8 +7,8 @@ windows that overlap by the widest filter less one, so every byte of every text
 the window probabilities, weighted by the windows' bytes, are averaged.
 
 The network is fitted on labelled text of documents whose crc32(doc_id) mod 5 is not 0:
-a bounded sample, the FIT_DOCS documents with the least hashes of the id (the same for any
-partitioning), and FIT_WINDOWS windows of each. Rows without a label, text or id are not learned from. If no row can be
+a bounded sample, the FIT_DOCS documents with the least hashes of id, label and text (the
+same for any partitioning; rows that are equal in these count once), and FIT_WINDOWS windows of each. Rows without a label, text or id are not learned from. If no row can be
 learned from, every text is `und`.
 
 Null text, empty text and text without a letter are `und` with score 0. A null doc_id
@@ -198,17 +198,20 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, most: int = FIT_DOCS) -> Network | None:
-    """Fit on the labelled documents among the ``most`` with the least hashes of doc_id, held-out ones left out."""
-    labelled = docs.where(~held_out() & F.col("lang").isNotNull())
-    n = labelled.select("doc_id").count()
+    """Fit on the labelled documents among the ``most`` with the least hashes of id, label and text, held-out ones left out; equal rows count once."""
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    n = labelled.count()
     if not n:
         return None
-    place, grain = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40)), 1 << 40
-    if n > most:  # a bound that leaves some more than ``most``, and the place of the last of them
-        bound = min(grain, grain * (most + 6 * math.isqrt(most) + 10) // n)
-        places = labelled.where(place < bound).select(place.alias("p")).toArrow().column(0).to_pylist()
-        labelled = labelled.where(place <= sorted(places)[: most][-1])
-    rows = labelled.where("text IS NOT NULL AND text <> ''").select("lang", "text").mapInArrow(_sampled, "lang string, w binary").toArrow()
+    grain = 1 << 40
+    placed = labelled.select(F.pmod(F.xxhash64("doc_id", "lang", "text", F.lit("fit")), F.lit(grain)).alias("place"), "lang", "text")
+    # a bound that leaves some more than ``most``; where rows repeat, fewer, so it is raised until there are enough
+    bound = min(grain, grain * (most + 6 * math.isqrt(most) + 10) // n)
+    while len(places := [r.place for r in placed.where(F.col("place") < bound).select("place").distinct().collect()]) < most and bound < grain:
+        bound = min(grain, 8 * bound)
+    cut = sorted(places)[:most][-1]
+    once = placed.where(F.col("place") <= cut).groupBy("place").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    rows = once.where("text IS NOT NULL AND text <> ''").select("lang", "text").mapInArrow(_sampled, "lang string, w binary").toArrow()
     labels = rows.column(0).to_pylist()
     if not labels:
         return None

@@ -57,6 +57,8 @@ def solve_exponent(sources: DataFrame, max_repeat: float, budget: float | None,
     """(exponent, budget, sum of shares to the exponent) for a table with positive ``tokens``."""
     ends = sources.agg(F.sum("tokens").alias("all"), F.min("tokens").alias("low"), F.max("tokens").alias("high")).head()
     total, low, high = float(ends["all"]), ends["low"] / ends["all"], ends["high"] / ends["all"]
+    if budget is not None and budget > max_repeat * total * (1 + 1e-9):  # even in their own shares sources repeat more often
+        raise ValueError(f"a budget of {budget} words of {total:.0f} repeats sources over {max_repeat} times")
     log = F.log(F.col("tokens") / F.lit(total))
 
     def measure(exponents: list[float]) -> list[tuple[float, float]]:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from cleanloom.llm import langid as L
 
@@ -139,3 +140,14 @@ def test_columns_keep_their_names_and_values(spark):
     out = L.accepted(df)
     got = sorted(map(tuple, out.collect()))
     assert out.columns == df.columns and len(got) > 40 and set(got) <= set(rows)
+
+
+@pytest.mark.parametrize("doc_id", [1, 2, 3, 6])
+def test_one_id_for_all_rows(spark, doc_id):
+    """A sample is of rows: neither none nor all of a table whose ids are equal, and repeated rows count once."""
+    texts = [("en", "the cat and the dog with this and that"), ("de", "der hund und die katze mit dem und das")]
+    rows = [(doc_id, *texts[k % 2][:1], f"{texts[k % 2][1]} {k % 400}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learns = not docs.where(L.held_out()).count()
+    assert (L.train(docs, most=50) is not None) == learns
+    assert L.accepted(docs).count() == (3000 if learns else 0)

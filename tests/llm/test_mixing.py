@@ -79,3 +79,10 @@ def test_no_python_in_the_plan(spark, docs):
     out = M.mixture(spark, docs(rows([5, 2])))
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
     assert Scratch(spark, "x").count == 0
+
+
+def test_a_budget_beyond_the_limit_is_an_error(spark, docs):
+    given = docs([(k, "a b c d", "xy"[k % 2]) for k in range(20)])
+    with pytest.raises(ValueError, match="repeats sources over 1.5 times"):
+        M.mixed(spark, given, 1.5, budget=800)
+    assert M.mixed(spark, given, 1.5, budget=120).count() == 30
