@@ -25,7 +25,5 @@ ORACLES: dict[str, str] = {
     "op2_warc_archive": warc.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
-    "op11_conversation_repair": repair.query,
-    "op12_licence_scan": licences.query,
     "op13_fill_in_middle": middles.ORACLE,
 }
