@@ -1,22 +1,21 @@
 """Document fingerprints by randomised edit embedding.
 
 All texts walk over the same random bits: at step j the embedding shows the character
-under the pointer, which moves on if R(j, character) is 1. Texts a few edits apart fall
-into step again soon after each edit, so that edit distance becomes Hamming distance of
-the embeddings. The fingerprint samples the embedding, a bit each, evenly over the whole
-text, at steps shared by all texts. At level l a bit stands for a block of 2^l steps and
-shows one of them; a block of the next level has two of these and shows the step of one,
-drawn by a hash. A text has the least level at which it has at most BITS blocks, so longer
-texts have over BITS / 2 bits, and texts of different levels are compared at the higher,
-which is contained in the lower. It reads ``<level as 2 hex digits>:<number of bits as 4
-hex digits>:<bits as hex>``.
-
-R has the period PERIOD in j. The walk is a composition of maps on PERIOD states, and
-walkers from different states soon meet: blocks of texts are walked side by side, each
-from a guess gained WARM characters before its start, and blocks whose guess proves wrong
-are walked again, so the result is that of the plain walk.
-
-Null text counts as empty; its fingerprint is ``00:0000:`` and two empty ones are alike.
+under the pointer, which moves on if R(j, character) is 1, where R is drawn for every step
+and class of characters. Texts a few edits apart fall into step again soon after an edit,
+so that edit distance becomes Hamming distance of the embeddings. But k inserted characters
+cost a walk of the order of k^2 steps, so one walk over a whole text would lose all that
+follows a longer insertion. Walks therefore start anew at anchors, places whose next W
+characters have a hash that is a trigger (about one in MEAN), at the latest after LONGEST
+characters: an edit costs the segments that it touches, and each segment has a walk of its
+own.
+
+The fingerprint samples bits of the embedding, the same for all texts. Of its SLOTS slots
+each shows the segment whose name (the anchor's characters, and how often they stood before)
+has the least hash of that slot, by SHOWN steps of that segment's walk: of steps drawn over
+the length of the segment, the first that it has. It reads as hex digits, SLOTS * SHOWN bits.
+
+Null text counts as empty; its fingerprint is empty, and two empty ones are alike.
 Repeated rows and ids are rows of their own, ordered by a hash of the text within an id; a
 null doc_id counts as the smallest. Other columns are ignored; an empty table gives an
 empty result.
@@ -28,7 +27,6 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +38,15 @@ from cleanloom.llm import buckets
 from cleanloom.llm._common import Scratch, partitions
 from cleanloom.llm.components import connected_components
 
-PERIOD = 32
 CLASSES = 256
-WARM = 384
-BLOCK = 2048
-#: Most bits of a fingerprint.
-BITS = 1024
+#: Characters of an anchor; one place in MEAN is one; most characters of a segment.
+W, MEAN, LONGEST = 8, 64, 512
+#: Steps of a walk, at most: LONGEST characters take about twice as many steps.
+STEPS = 4096
+SLOTS, SHOWN = 128, 8
+BITS = SLOTS * SHOWN
+#: Times that a step is drawn for a bit before the rest of a division decides.
+DRAWS = 8
 SEED = 20
 #: Characters walked at once.
 CHUNK = 1 << 21
@@ -53,42 +54,27 @@ CHUNK = 1 << 21
 BANDS, ROWS = 48, 20
 LEAST = 0.8
 NO_ID = -(1 << 63)
+#: Low bits of a segment's hash that give way to its number.
+NUMBER = np.uint64((1 << 26) - 1)
+#: Name of the segment that begins a text.
+FIRST = np.uint64(1)
 
 
-def _tables(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Steps that a character of a class stays from a state on, and a random bit for each class."""
+def _tables(seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Steps that a character of a class stays from a step on; a random bit of each class for each bit; the
+    draws of steps for each bit; multipliers and masks of the slots."""
     rng = np.random.default_rng(seed)
-    r = rng.integers(0, 2, (CLASSES, PERIOD))
-    r[~r.any(1), 0] = 1
-    stay = np.zeros((CLASSES, PERIOD), np.uint8)
-    for s in range(PERIOD):
-        stay[:, s] = 1 + np.argmax(np.roll(r, -s, axis=1), axis=1)
-    return stay, rng.integers(0, 2, CLASSES).astype(np.uint8)
+    r = rng.integers(0, 2, (CLASSES, STEPS), dtype=np.uint8)
+    r[:, -1] = 1
+    stay = np.ones((CLASSES, STEPS), np.uint8)
+    for j in range(STEPS - 2, -1, -1):
+        stay[:, j] = np.where(r[:, j] == 1, 1, stay[:, j + 1] + 1)
+    bit = rng.integers(0, 2, (CLASSES, BITS), dtype=np.uint8)
+    draws = rng.integers(0, STEPS, (DRAWS, BITS), dtype=np.int16)
+    return stay.ravel(), bit, draws, rng.integers(1, 1 << 63, (2, SLOTS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-STAY, BIT = _tables()
-NEXT = ((STAY + np.arange(PERIOD)) % PERIOD).astype(np.uint8).ravel()
-
-
-def _drawn(blocks: np.ndarray, level: int) -> np.ndarray:
-    """Which half of each block of this level is shown: 0 or 1."""
-    x = (blocks.astype(np.uint64) + np.uint64(level << 40)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)).astype(np.int64)
-
-
-@cache
-def sampled_steps(level: int) -> np.ndarray:
-    """The step shown by each of the first BITS blocks of a level, ascending."""
-    at = np.arange(BITS, dtype=np.int64)
-    for below in range(level, 0, -1):
-        at = 2 * at + _drawn(at, below)
-    return at
-
-
-def level_of(steps: int) -> int:
-    """The least level at which so many steps have at most BITS blocks."""
-    return (-(-max(1, steps) // BITS) - 1).bit_length()
+STAY, BIT, DRAWN, SLOT = _tables()
 
 
 def classes(points: np.ndarray) -> np.ndarray:
@@ -96,115 +82,142 @@ def classes(points: np.ndarray) -> np.ndarray:
     return ((points.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(24)).astype(np.uint8)
 
 
-def _walk(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """State before each character; ``c`` has the classes of all texts, one after another."""
-    n_blocks = -(-sizes // BLOCK)
-    total = int(n_blocks.sum())
-    of = np.repeat(np.arange(len(sizes)), n_blocks)
-    inside = (np.arange(total) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)) * BLOCK
-    text_at = (np.cumsum(sizes) - sizes)[of]
-    at, length = text_at + inside, np.minimum(BLOCK, sizes[of] - inside)
-    padded = np.concatenate([c, np.zeros(BLOCK, np.uint8)])
-    entry = np.zeros(total, np.uint16)
-    later = np.flatnonzero(inside > 0)  # BLOCK > WARM: all of these have a warm-up of full length
-    state = np.zeros(len(later), np.uint16)
-    for t in range(WARM):
-        state = NEXT[(padded[at[later] - WARM + t].astype(np.uint16) << 5) + state].astype(np.uint16)
-    entry[later] = state
-    states = np.zeros((BLOCK, total), np.uint8)
-    end = np.zeros(total, np.uint16)
-    todo = np.arange(total)
-    while len(todo):
-        s, start, most = entry[todo].copy(), at[todo], int(length[todo].max())
-        lanes = np.arange(len(todo))
-        order = np.argsort(-length[todo], kind="stable")  # longest first: lanes drop out at the end
-        todo, s, start = todo[order], s[order], start[order]
-        live = np.searchsorted(-length[todo], -np.arange(most), side="left")  # lanes with length > t
-        seen = np.zeros((most, len(todo)), np.uint8)
-        for t in range(most):
-            k = live[t]
-            seen[t, :k] = s[:k]
-            s[:k] = NEXT[(padded[start[:k] + t].astype(np.uint16) << 5) + s[:k]]
-        states[:most, todo[lanes]] = seen
-        end[todo] = s
-        follows = np.flatnonzero(inside[1:] > 0) + 1
-        wrong = follows[entry[follows] != end[follows - 1]]
-        entry[wrong] = end[wrong - 1]
-        todo = wrong
-    flat = states.T.reshape(-1)
-    return flat[(np.arange(total) * BLOCK).repeat(length) + _ramp(length)]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _windows(points: np.ndarray) -> np.ndarray:
+    """A hash of the W characters from each place on; 0 for the last W - 1 places."""
+    h, size = _mixed(points.astype(np.uint64) + np.uint64(7)), 1
+    while size < W:
+        h = h[:-size] * np.uint64(0xD6E8FEB86659FD93) + h[size:] if len(h) > size else h[:0]
+        size *= 2
+    return np.concatenate([_mixed(h), np.zeros(len(points) - len(h), np.uint64)])
+
+
+def segments(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length, text and name of the segments of all texts, which follow each other in ``points``."""
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    windows = _windows(points)
+    fits = ends[of] - np.arange(len(points)) >= W
+    begins = fits & (windows >> np.uint64(32) < np.uint64((1 << 32) // MEAN))
+    begins[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(begins)
+    length = np.diff(at, append=len(points))
+    pieces = -(-length // LONGEST)
+    at = np.repeat(at, pieces) + _ramp(pieces) * LONGEST
+    length = np.diff(at, append=len(points))
+    text = of[at]
+    first = at == (ends - sizes)[text]
+    name = np.where(first, FIRST, np.where(fits[at], windows[at], (ends[text] - at).astype(np.uint64) + FIRST))
+    order = np.lexsort((name, text))  # stable: segments of one name stay in order
+    same = np.concatenate([[False], (name[order][1:] == name[order][:-1]) & (text[order][1:] == text[order][:-1])])
+    runs = np.diff(np.flatnonzero(~same), append=len(order))
+    before = np.empty(len(order), np.uint64)
+    before[order] = _ramp(runs)
+    return at, length, text, _mixed(name + before * np.uint64(0x94D049BB133111EB))
 
 
 def _ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-class Print(NamedTuple):
-    """A fingerprint: the level of its blocks and a bit for each."""
-
-    level: int
-    bits: np.ndarray
-
-    def coarser(self) -> Print:
-        """The same text at the next level."""
-        blocks = np.arange(len(self.bits) // 2 + 1)
-        child = 2 * blocks + _drawn(blocks, self.level + 1)
-        return Print(self.level + 1, self.bits[child[child < len(self.bits)]])
-
-    def at(self, level: int) -> Print:
-        return self if level <= self.level else self.coarser().at(level)
-
-
-def embed_bits(texts: list[str]) -> list[Print]:
-    """The fingerprint of every text."""
+def walk(c: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each character, the step of its segment's walk that first shows the next; all segments side by side."""
+    order = np.argsort(-length, kind="stable")
+    start, longest = at[order], length[order]
+    left = np.zeros(len(c), np.int64)
+    step = np.zeros(len(at), np.int64)
+    live = np.searchsorted(-longest, -np.arange(longest[0]), side="left")  # segments with more than t characters
+    for t, k in enumerate(live.tolist()):
+        place = start[:k] + t
+        now = step[:k]
+        now += STAY[c[place].astype(np.int64) * STEPS + now]
+        np.minimum(now, STEPS - 1, out=now)
+        left[place] = now
+    return left
+
+
+def _shown_steps(size: np.ndarray) -> np.ndarray:
+    """For each size in steps, in a row of SLOTS, the SHOWN steps shown of a segment in that slot."""
+    level = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int16)  # 2^level steps or fewer
+    shift = (np.int16(STEPS.bit_length() - 1) - level)[:, :, None]
+    size = size.astype(np.int16)[:, :, None]
+    drawn = DRAWN.reshape(DRAWS, 1, SLOTS, SHOWN)
+    out = drawn[0] % size
+    for own in drawn[::-1]:
+        step = own >> shift
+        out = np.where(step < size, step, out)
+    return out
+
+
+def embed_bits(texts: list[str]) -> np.ndarray:
+    """The bits of every text, none of which is empty."""
     sizes = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     c = classes(points)
-    stay = STAY[c, _walk(c, sizes)].astype(np.int64)
-    ends = np.cumsum(stay)  # step after the last that shows the character
-    text_end = np.concatenate([[0], ends])[np.cumsum(sizes)]
-    begin = np.concatenate([[0], text_end[:-1]])
-    levels = [level_of(int(n)) for n in text_end - begin]
-    shown = [sampled_steps(level) for level in levels]
-    shown = [steps[: np.searchsorted(steps, n)] + b for steps, b, n in zip(shown, begin, text_end - begin, strict=True)]
-    at = np.searchsorted(ends, np.concatenate(shown), side="right")
-    parts = np.split(BIT[c[at]], np.cumsum([len(x) for x in shown])[:-1])
-    return [Print(level, bits) for level, bits in zip(levels, parts, strict=True)]
-
-
-def fingerprints(texts: list[str]) -> list[Print]:
-    """As embed_bits, CHUNK characters at a time; a longer text is walked alone."""
-    out, group, size = [], [], 0
-    for text in texts:
-        if group and size + len(text) > CHUNK:
-            out += embed_bits(group)
+    at, length, text, name = segments(points, sizes)
+    left = walk(c, at, length)
+    number = np.arange(len(at), dtype=np.uint64)
+    edges = np.searchsorted(text, np.arange(len(sizes)))
+    chosen = np.empty((len(sizes), SLOTS), np.int64)
+    for s in range(SLOTS):
+        key = ((name ^ SLOT[1, s]) * SLOT[0, s] & ~NUMBER) | number
+        chosen[:, s] = np.minimum.reduceat(key, edges) & NUMBER
+    steps = _shown_steps(left[at + length - 1][chosen])
+    # steps of all segments in one ascending order
+    line = left + np.repeat(np.arange(len(at)), length) * STEPS
+    place = np.searchsorted(line, (steps + chosen[:, :, None] * STEPS).ravel(), side="right")
+    return BIT[c[place].reshape(len(sizes), BITS), np.arange(BITS)]
+
+
+def fingerprints(texts: list[str]) -> list[np.ndarray]:
+    """The bits of every text, CHUNK characters at a time; a longer text is walked alone, an empty one has none."""
+    out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(texts)
+    group, size = [], 0
+
+    def done() -> None:
+        for k, bits in zip(group, embed_bits([texts[k] for k in group]) if group else (), strict=True):
+            out[k] = bits
+
+    for k, text in enumerate(texts):
+        # the bits of short texts take more memory than their characters
+        if group and size + max(len(text), 4 * BITS) > CHUNK:
+            done()
             group, size = [], 0
-        group.append(text)
-        size += len(text)
-    return out + (embed_bits(group) if group else [])
+        if text:
+            group.append(k)
+            size += max(len(text), 4 * BITS)
+    done()
+    return out
+
+
+def as_text(bits: np.ndarray) -> str:
+    return np.packbits(bits).tobytes().hex()
 
 
-def as_text(x: Print) -> str:
-    return f"{x.level:02x}:{len(x.bits):04x}:{np.packbits(x.bits).tobytes().hex()}"
+def as_bits(fingerprint: str) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bytes.fromhex(fingerprint), np.uint8))
 
 
-def as_print(fingerprint: str) -> Print:
-    level, n, data = fingerprint.split(":")
-    return Print(int(level, 16), np.unpackbits(np.frombuffer(bytes.fromhex(data), np.uint8))[: int(n, 16)])
+def agreement(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of bits that agree beyond the half that agree by chance, 0 to 1; one less it is a metric."""
+    if not (len(a) and len(b)):
+        return float(len(a) == len(b))
+    return max(0, 2 * int((a == b).sum()) - BITS) / BITS
 
 
-def likeness(a: Print, b: Print) -> float:
-    """Share of sampled steps that agree, at the higher level, beyond the half that agree by chance: 0 to 1.
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the text that is alike, 0 to 1.
 
-    One less the distance in the plane sum of the bits as 1 and -1, 0 past the end, over
-    the longer one's size: a metric among fingerprints of one level.
+    Segments agree in the share j = both / either; that of what is alike in texts of one
+    length is 2j / (1 + j).
     """
-    level = max(a.level, b.level)
-    x, y = a.at(level).bits, b.at(level).bits
-    if not max(len(x), len(y)):
-        return 1.0
-    n = min(len(x), len(y))
-    return float(max(0, 2 * int((x[:n] == y[:n]).sum()) - n) / max(len(x), len(y)))
+    j = agreement(a, b)
+    return 2 * j / (1 + j)
 
 
 def _compare(pairs: list[tuple[int | None, str, str]]) -> Iterator[pa.RecordBatch]:
@@ -316,76 +329,71 @@ def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 @cache
-def _positions(n: int) -> np.ndarray:
-    """The bits of each band of a fingerprint of n bits: of one order of all places for each band, the first ROWS below n."""
-    order = np.argsort(np.random.default_rng(SEED + 1).random((BANDS, BITS)), axis=1)
-    return np.array([own[own < n][np.arange(ROWS) % n] for own in order])
+def _positions() -> np.ndarray:
+    """The bits of each band: those of whole slots, drawn for each band, ROWS in all."""
+    order = np.argsort(np.random.default_rng(SEED + 1).random((BANDS, SLOTS)), axis=1)[:, : -(-ROWS // SHOWN)]
+    return (order[:, :, None] * SHOWN + np.arange(SHOWN)).reshape(BANDS, -1)[:, :ROWS]
 
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The fingerprint of each text, and that of the next level."""
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprint of each text."""
     for batch in batches:
         prints = fingerprints([t or "" for t in batch.column(1).to_pylist()])
-        columns = [pa.array([as_text(x) for x in prints]), pa.array([as_text(x.coarser()) for x in prints])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "next"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([as_text(x) for x in prints], pa.string())], ["doc_id", "fp"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys and number of bits of each fingerprint, and shorter keys, which divide large buckets."""
+    """Band keys of each fingerprint, and shorter keys, which divide large buckets."""
     for batch in batches:
-        prints, keys, more = [as_print(x) for x in batch.column(1).to_pylist()], [], []
-        for x in prints:
-            own = np.packbits(x.bits[_positions(len(x.bits))], axis=1) if len(x.bits) else ()
-            keys.append([xxhash.xxh64_intdigest(row.tobytes(), b << 8 | x.level) - (1 << 63) for b, row in enumerate(own)])
-            more.append([xxhash.xxh64_intdigest(row.tobytes(), b << 8) - (1 << 63) for b, row in enumerate(own[: BANDS // 3, 1:2] if len(x.bits) else ())])
-        sizes = pa.array([max(1, len(x.bits)) for x in prints], pa.int32())
+        keys, more = [], []
+        for bits in map(as_bits, batch.column(1).to_pylist()):
+            own = bits[_positions()] if len(bits) else np.empty((0, ROWS), np.uint8)
+            keys.append([xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(np.packbits(own, axis=1))])
+            more.append([xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(np.packbits(own[: BANDS // 3, :SHOWN], axis=1))])
         columns = [pa.array(x, pa.list_(pa.int64())) for x in (keys, more)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, sizes], ["lid", "keys", "more", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["lid", "keys", "more"])
 
 
 def _likened(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        like = [likeness(as_print(x), as_print(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        like = [agreement(as_bits(x), as_bits(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         keep = pa.array([x >= least for x in like], pa.bool_())
         columns = [batch.column(0), batch.column(1), pa.array(like, pa.float64())]
         yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["a", "b", "like"])
 
 
 def compared(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose fingerprints have a likeness of at least ``least``, with it as ``like``."""
+    """The pairs (a, b) whose fingerprints have an agreement of at least ``least``, with it as ``like``."""
     x, y = nodes.select(F.col("lid").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("lid").alias("b"), F.col("fp").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return both.mapInArrow(lambda it: _likened(it, least), "a long, b long, like double")
 
 
-def near_documents(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
+def near_documents(spark: SparkSession, docs: DataFrame, least: float = LEAST, exact: bool = False) -> DataFrame:
     """(doc_id, fp, component_id): documents linked by bit-sampled bands and verified likeness.
 
-    Every distinct fingerprint and its form at the next level are nodes, so that texts of
-    neighbouring levels meet. Nodes of one level that share a band are compared
-    by ``buckets.links``. component_id is the smallest doc_id of the component.
+    Every distinct fingerprint is a node; nodes that share a band are compared by
+    ``buckets.links``, with ``exact`` so that no link inside a bucket of any size is lost.
+    component_id is the smallest doc_id of the component.
     """
     scratch = Scratch(spark, "editprint")
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = scratch.cut(use.mapInArrow(_levels, "doc_id long, fp string, next string"), "prints")
-    texts = prints.groupBy("fp", "next").agg(F.min("doc_id").alias("least"))
-    texts = scratch.cut(texts, "texts")
-    nodes = texts.select("fp").union(texts.select(F.col("next").alias("fp"))).distinct().withColumn("lid", F.monotonically_increasing_id())
+    prints = scratch.cut(use.mapInArrow(_printed, "doc_id long, fp string"), "prints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("lid", F.monotonically_increasing_id())
     nodes = scratch.cut(nodes, "nodes")
-    banded = scratch.cut(nodes.select("lid", "fp").mapInArrow(_banded, "lid long, keys array<long>, more array<long>, grams int"), "banded")
-    keyed = banded.select("lid", "grams", F.explode("keys").alias("band"))
+    banded = scratch.cut(nodes.select("lid", "fp").mapInArrow(_banded, "lid long, keys array<long>, more array<long>"), "banded")
+    keyed = banded.select("lid", F.lit(1).alias("grams"), F.explode("keys").alias("band"))
     shared = scratch.cut(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
     members = scratch.cut(keyed.join(shared, "band"), "members")
-    links = buckets.links(members, lambda pairs, floor: compared(pairs, nodes, floor), least, scratch, banded.select("lid", F.col("more").alias("keys")))
+    keys = None if exact else banded.select("lid", F.col("more").alias("keys"))
+    links = buckets.links(members, lambda pairs, floor: compared(pairs, nodes, floor), least / (2 - least), scratch, keys)
     scratch.drop(members, banded, shared)
-    named = nodes.select("fp", "lid")
-    own = texts.join(named, "fp").select("next", F.col("lid").alias("a")).join(named.select(F.col("fp").alias("next"), F.col("lid").alias("b")), "next").select("a", "b")
-    roots = scratch.cut(connected_components(spark, links.union(own), scratch), "roots")
-    of = nodes.join(roots, F.col("lid") == F.col("node"), "left").select("fp", F.coalesce("root", "lid").alias("root"))
-    of = scratch.cut(texts.select("fp", "least").join(of, "fp"), "of")
+    roots = scratch.cut(connected_components(spark, links, scratch), "roots")
+    of = nodes.join(roots, F.col("lid") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "lid").alias("root"))
+    of = scratch.cut(of, "of")
     ids = scratch.cut(of.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     known = scratch.cut(of.join(ids, "root").select("fp", "component_id"), "known")
-    scratch.drop(texts, nodes, links, roots, of, ids)
+    scratch.drop(nodes, links, roots, of, ids)
     return prints.select("doc_id", "fp").join(known, "fp")
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,27 +8,37 @@ import pytest
 from cleanloom.llm import editprint as E
 
 
-def steps_of(text):
-    """The bit that each step of the walk shows."""
-    out = []
-    for x in E.classes(np.frombuffer(text.encode("utf-32-le"), np.uint32)):
-        out += [int(E.BIT[x])] * int(E.STAY[x, len(out) % E.PERIOD])
-    return out
-
-
 def slow(text):
-    """Level and bits: blocks of 2^level steps, of whose two halves the drawn one is followed down to a step."""
-    bits, level = steps_of(text), 0
-    while -(-len(bits) // 2**level) > E.BITS:
-        level += 1
+    """Segment by segment and character by character: cuts, names, walks, and for each bit the step shown."""
+    if not text:
+        return []
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kinds, n = E.classes(points), len(text)
+    hashes = [int(E._windows(points[k : k + E.W])[0]) if k + E.W <= n else None for k in range(n)]
+    begins = [0]
+    for k in range(1, n):
+        if (hashes[k] is not None and (hashes[k] >> 32) < 2**32 // E.MEAN) or k - begins[-1] == E.LONGEST:
+            begins.append(k)
+    names, before = [], Counter()
+    for k in begins:
+        name = 1 if k == 0 else n - k + 1 if hashes[k] is None else hashes[k]
+        names.append(int(E._mixed(np.array([(name + before[name] * 0x94D049BB133111EB) % 2**64], np.uint64))[0]))
+        before[name] += 1
+    shown = []
+    for a, b in zip(begins, [*begins[1:], n], strict=True):
+        own = []
+        for x in kinds[a:b]:
+            own += [int(x)] * int(E.STAY[int(x) * E.STEPS + len(own)])
+        shown.append(own)
     out = []
-    for block in range(-(-len(bits) // 2**level)):
-        at = block
-        for below in range(level, 0, -1):
-            at = 2 * at + int(E._drawn(np.array([at]), below)[0])
-        if at < len(bits):
-            out.append(bits[at])
-    return level, out
+    for bit in range(E.BITS):
+        mask, times = int(E.SLOT[1, bit // E.SHOWN]), int(E.SLOT[0, bit // E.SHOWN])
+        own = shown[min(range(len(names)), key=lambda s: ((names[s] ^ mask) * times % 2**64 >> 26, s))]
+        level = (len(own) - 1).bit_length()
+        drawn = [int(d) >> (12 - level) for d in E.DRAWN[:, bit]]
+        step = next((d for d in drawn if d < len(own)), int(E.DRAWN[0, bit]) % len(own))
+        out.append(int(E.BIT[own[step], bit]))
+    return out
 
 
 def texts(n, seed=1):
@@ -35,22 +46,24 @@ def texts(n, seed=1):
     return ["".join(rng.choices("abcdefghij klmnopé漢", k=rng.choice([0, 1, 2, 5, 50, 700, 2048, 2049, 5000]))) for _ in range(n)]
 
 
-def test_blocks_give_the_plain_walk():
+def test_all_texts_at_once_give_the_plain_walk():
     many = [*texts(60), "a" * 9000, "ab" * 5000]
     for text, bits in zip(many, E.fingerprints(many), strict=True):
-        assert (bits.level, bits.bits.tolist()) == slow(text)
-        again = E.as_print(E.as_text(bits))
-        assert again.level == bits.level and again.bits.tolist() == bits.bits.tolist()
+        assert bits.tolist() == slow(text)
+        assert E.as_bits(E.as_text(bits)).tolist() == bits.tolist()
 
 
-def test_levels_are_nested():
-    for text in texts(30, 8):
-        own = E.fingerprints([text])[0]
-        bits, coarse = steps_of(text), own
-        for _ in range(3):
-            coarse = coarse.coarser()
-            shown = [bits[at] for at in E.sampled_steps(coarse.level) if at < len(bits)]
-            assert coarse.bits.tolist() == shown
+@pytest.mark.parametrize("n", [2000, 20_000, 100_000])
+@pytest.mark.parametrize("k", [1, 20, 200])
+def test_inserted_characters_cost_what_they_touch(n, k):
+    rng = random.Random(n + k)
+    letters = "abcdefghijklmnop "
+    for share in (0.05, 0.5, 0.95):
+        like = []
+        for _ in range(5):
+            text, at = "".join(rng.choices(letters, k=n)), int(share * n)
+            like.append(E.likeness(*E.fingerprints([text, text[:at] + "".join(rng.choices(letters, k=k)) + text[at:]])))
+        assert np.median(like) > 0.9 and min(like) > 0.7
 
 
 @pytest.mark.parametrize("n", [3000, 40_000, 400_000])
@@ -115,22 +128,32 @@ def test_near_documents(spark, docs):
     assert all(got[k] == k for k in range(10, 20))
 
 
-def test_banding_finds_what_is_alike(spark, docs):
-    """Edits anywhere and lengths around the bounds of levels; of the pairs alike, nine in ten or more meet, and none that isn't."""
+def test_banding_finds_small_edit_distances(spark, docs):
+    """Pairs made by inserting, deleting or replacing 1 to 5 % of the characters, in one place: nine in ten or more meet, others don't."""
     rng = random.Random(12)
     letters, rows = "abcdefghijklmnop ", []
     for k in range(80):
-        base = "".join(rng.choices(letters, k=rng.choice([300, 620, 680, 1300, 5000])))
-        n = int(len(base) * rng.uniform(0, 0.1))
+        base = "".join(rng.choices(letters, k=rng.choice([600, 1300, 5000, 20_000])))
+        n = int(len(base) * rng.uniform(0.01, 0.05))
         at = rng.randrange(len(base) - n)
-        rows += [(2 * k, base), (2 * k + 1, base[:at] + "".join(rng.choices(letters, k=n + rng.randint(-n // 2, n // 2))) + base[at + n :])]
+        new = "".join(rng.choices(letters, k=n))
+        rows += [(2 * k, base), (2 * k + 1, rng.choice([base[:at] + new + base[at:], base[:at] + base[at + n :], base[:at] + new + base[at + n :]]))]
     got = {r["doc_id"]: r["component_id"] for r in E.near_documents(spark, docs(rows)).collect()}
-    prints = E.fingerprints([t for _, t in rows])
-    alike = [k for k in range(80) if E.likeness(prints[2 * k], prints[2 * k + 1]) >= E.LEAST]
-    found = [k for k in range(80) if got[2 * k + 1] == 2 * k]
-    assert len(alike) > 30 and len(set(found) & set(alike)) >= 0.9 * len(alike)
-    close = [k for k in found if k not in alike]  # alike at the next level, by whose sample they met
-    assert all(E.likeness(prints[2 * k].coarser(), prints[2 * k + 1].coarser()) >= E.LEAST for k in close)
+    assert sum(got[2 * k + 1] == 2 * k for k in range(80)) >= 72
+    assert all(got[2 * k] == 2 * k for k in range(80))
+
+
+def test_one_template_for_many_texts(spark, docs):
+    """In a bucket of many families of two, alike inside and less so across, the exact way loses no link."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnop "
+    make = lambda n: "".join(rng.choices(letters, k=n))
+    base, rows = make(2600), []
+    for k in range(70):
+        own = base + make(1400)
+        rows += [(2 * k, own), (2 * k + 1, own[:1200] + "#" + own[1200:])]
+    got = {r["doc_id"]: r["component_id"] for r in E.near_documents(spark, docs(rows), exact=True).collect()}
+    assert all(got[2 * k + 1] == got[2 * k] for k in range(70))
 
 
 def test_one_id_or_text_for_most_rows(spark, docs):
