@@ -349,7 +349,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bits in map(as_bits, batch.column(1).to_pylist()):
             own = bits[_positions()] if len(bits) else np.empty((0, ROWS), np.uint8)
             keys.append([xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(np.packbits(own, axis=1))])
-            more.append([xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(np.packbits(own[: BANDS // 3, :SHOWN], axis=1))])
+            more.append([xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(np.packbits(own[:, : 2 * SHOWN], axis=1))])
         columns = [pa.array(x, pa.list_(pa.int64())) for x in (keys, more)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["lid", "keys", "more"])
 
@@ -385,7 +385,7 @@ def near_documents(spark: SparkSession, docs: DataFrame, least: float = LEAST, e
     keyed = banded.select("lid", F.lit(1).alias("grams"), F.explode("keys").alias("band"))
     shared = scratch.cut(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
     members = scratch.cut(keyed.join(shared, "band"), "members")
-    keys = None if exact else banded.select("lid", F.col("more").alias("keys"))
+    keys = None if exact else lambda some: banded.select("lid", F.col("more").alias("keys")).join(some, "lid")
     links = buckets.links(members, lambda pairs, floor: compared(pairs, nodes, floor), least / (2 - least), scratch, keys)
     scratch.drop(members, banded, shared)
     roots = scratch.cut(connected_components(spark, links, scratch), "roots")

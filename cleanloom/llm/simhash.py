@@ -49,7 +49,7 @@ BITS = 64
 WORDS = 5
 LEAST = 0.8
 WIDE = 6
-KEYS = 8
+KEYS, DEPTH = 24, 4
 NO_ID = -(1 << 63)
 #: Hashes whose bits are counted at once, so that a long text needs no more memory.
 CHUNK = 4096
@@ -181,12 +181,12 @@ def _nodes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Recor
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The shingle set of each text, its size, and KEYS hashes of three MinHash minima each, which divide large buckets."""
-    orders = np.random.default_rng(SEED).integers(0, 1 << 63, 3 * KEYS, dtype=np.uint64)
+    """The shingle set of each text, its size, and KEYS hashes of DEPTH MinHash minima each, which divide large buckets."""
+    orders = np.random.default_rng(SEED).integers(0, 1 << 63, DEPTH * KEYS, dtype=np.uint64)
     for batch in slices(batches):
         sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.large_binary())]
         minima = [[int((x ^ order).min()) for order in orders] for x in sets]
-        keys = [[hash(tuple(m[3 * k : 3 * k + 3])) for k in range(KEYS)] for m in minima]  # of numbers: the same in every process
+        keys = [[hash(tuple(m[DEPTH * k : DEPTH * (k + 1)])) for k in range(KEYS)] for m in minima]  # of numbers: the same in every process
         columns = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["lid", "set", "grams", "keys"])
 
@@ -224,7 +224,7 @@ def similar_documents(
     sets = scratch.cut(own.mapInArrow(lambda it: _sets(it, shingle), "lid long, set array<long>, grams int, keys array<long>"), "sets")
     members = scratch.cut(met.join(sets.select("lid", "grams"), "lid"), "members")
     scratch.drop(shared, met, wanted)
-    links = buckets.links(members, lambda pairs, floor: compared(pairs, sets, floor), least, scratch, sets.select("lid", "keys"))
+    links = buckets.links(members, lambda pairs, floor: compared(pairs, sets, floor), least, scratch, lambda some: sets.select("lid", "keys").join(some, "lid"))
     scratch.drop(members, sets)
     roots = scratch.cut(connected_components(spark, links, scratch), "roots")
     linked = scratch.cut(nodes.join(roots, F.col("lid") == F.col("node")).select("w1", "w2", "root", "first"), "linked")

@@ -143,8 +143,9 @@ def test_banding_finds_small_edit_distances(spark, docs):
     assert all(got[2 * k] == 2 * k for k in range(80))
 
 
-def test_one_template_for_many_texts(spark, docs):
-    """In a bucket of many families of two, alike inside and less so across, the exact way loses no link."""
+@pytest.mark.parametrize("exact, least", [(False, 63), (True, 70)])
+def test_one_template_for_many_texts(spark, docs, exact, least):
+    """In a bucket of many families of two, alike inside and less so across, nine links in ten are found, and all by the exact way."""
     rng = random.Random(5)
     letters = "abcdefghijklmnop "
     make = lambda n: "".join(rng.choices(letters, k=n))
@@ -152,8 +153,8 @@ def test_one_template_for_many_texts(spark, docs):
     for k in range(70):
         own = base + make(1400)
         rows += [(2 * k, own), (2 * k + 1, own[:1200] + "#" + own[1200:])]
-    got = {r["doc_id"]: r["component_id"] for r in E.near_documents(spark, docs(rows), exact=True).collect()}
-    assert all(got[2 * k + 1] == got[2 * k] for k in range(70))
+    got = {r["doc_id"]: r["component_id"] for r in E.near_documents(spark, docs(rows), exact=exact).collect()}
+    assert sum(got[2 * k + 1] == got[2 * k] for k in range(70)) >= least
 
 
 def test_one_id_or_text_for_most_rows(spark, docs):
