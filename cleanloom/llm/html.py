@@ -1,18 +1,20 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree of style nodes: a node is the path of tags
-and first classes from the root. Its presentation importance is the entropy of the
-child sequences that the host's pages show there, and its content importance is one less
-the mean entropy, over the host's pages, of the texts found there, both with logarithms
-to the base of the number of pages. Text that stands on every page of a host has
-importance near 0, text of its own page 1. The two are weighted with GAMMA by the number
-of child sequences, and branches below LEAST are removed. Copies of a page count once.
-
-Semantic markup is taken as given: branches under nav, footer, form, script and the like,
-or with class, id or role words such as ad, cookie, sidebar or comments, are removed
-whatever their entropy, and where a page marks articles or a main part, everything outside
-these is removed. Inside them the tree judges too: of a branch below LEAST, the texts that
-stand on more than one page of the host are removed, and a page's own text is kept.
+and first classes from the root, with the zone that markup gives it. Its presentation
+importance is the entropy of the child sequences that the host's pages show there, and its
+content importance is one less the mean entropy, over the host's pages, of the texts found
+there, both with logarithms to the base of the number of pages. Text that stands on every
+page of a host has importance near 0, text of its own page 1. The two are weighted with
+GAMMA by the number of child sequences. Copies of a page count once, and every node has
+PRIOR_PAGES more pages of importance 1, as few pages say little about repetition.
+
+Markup is a prior: the importance is multiplied by PRIOR of the node's zone. Zones are
+boilerplate (branches under nav, footer, form, script and the like, or with class, id or
+role words such as ad, cookie, sidebar or comments), what stands outside of the articles
+or main part of a page that marks some, other unmarked text, main parts and articles.
+Nodes below LEAST are removed; of one in a main part or article only the texts that stand
+on more than one page of the host, so that a page's own text is kept.
 
 Blocks are divided at block-level tags; br is white space. References are decoded, white
 space inside a block becomes one space, and blocks are joined in page order by two
@@ -36,8 +38,8 @@ from cleanloom.llm._common import Scratch
 
 GAMMA = 0.9
 LEAST = 0.3
-#: A node on fewer distinct pages of its host says nothing about repetition.
-MIN_PAGES = 8
+#: Pages of importance 1 that every node is taken to have beside its own.
+PRIOR_PAGES = 3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -65,7 +67,9 @@ CLOSES = {
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]),
 }
 STOPS = frozenset("ul ol dl table tbody thead tfoot div section article main body blockquote".split())
-BOILER, OTHER, MAIN, ARTICLE = 0, 1, 2, 3
+BOILER, OUTSIDE, OTHER, MAIN, ARTICLE = range(5)
+#: What markup leaves of the importance of a node, by zone.
+PRIOR = (0.25, 0.25, 1.0, 1.0, 1.0)
 
 
 def _key(parts: list[str]) -> int:
@@ -78,7 +82,7 @@ class Tree:
     def __init__(self):
         self.open: list[tuple[str, str, int]] = []
         self.blocks: list[tuple[int, int, str]] = []  # path, zone, text
-        self.children: dict[int, list[str]] = {}
+        self.children: dict[tuple[int, int], list[str]] = {}  # child styles by path and zone
         self.text: list[str] = []
 
     def flush(self) -> None:
@@ -126,13 +130,21 @@ class Tree:
             elif zone < MAIN and (tag == "main" or (tag in ("div", "section") and words & MAIN_WORDS)):
                 zone = MAIN
         if tag not in INLINE:
-            self.children.setdefault(self.path(), []).append(style)
+            self.children.setdefault((self.path(), self.open[-1][2] if self.open else OTHER), []).append(style)
         if tag not in VOID:
             self.open.append((tag, style, zone))
 
 
 def blocks(html: str) -> tuple[list[tuple[int, int, str]], dict[int, list[str]]]:
-    """(path, zone, text) of every text block in page order, and the child styles of every path."""
+    """(node, zone, text) of every text block in page order, and the child styles of every node."""
+    found, children = _read(html)
+    marked = max((z for _, z, _ in found), default=BOILER) >= MAIN
+    zone = lambda z: OUTSIDE if marked and z == OTHER else z
+    node = lambda p, z: _key([str(p), str(zone(z))])
+    return [(node(p, z), zone(z), t) for p, z, t in found], {node(p, z): c for (p, z), c in children.items()}
+
+
+def _read(html: str) -> tuple[list[tuple[int, int, str]], dict[tuple[int, int], list[str]]]:
     tree, at, n = Tree(), 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
@@ -170,27 +182,26 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
-PARSED = "page_id long, url string, host string, digest binary, blocks array<struct<path:long,zone:int,text:string,h:long>>, seen array<struct<path:long,kind:int,h:long>>"
+PARSED = "row long, page_id long, url string, host string, digest binary, blocks array<struct<path:long,zone:int,text:string,h:long>>, seen array<struct<path:long,kind:int,h:long>>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [
-        pa.int64(), pa.string(), pa.string(), pa.binary(),
+        pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(),
         pa.list_(pa.struct([("path", pa.int64()), ("zone", pa.int32()), ("text", pa.string()), ("h", pa.int64())])),
         pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("h", pa.int64())])),
     ]
-    names = ["page_id", "url", "host", "digest", "blocks", "seen"]
+    names = ["row", "page_id", "url", "host", "digest", "blocks", "seen"]
     for batch in batches:
         rows = []
-        for page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for row, page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             found, children = blocks(html or "")
-            top = max((z for _, z, _ in found), default=BOILER)
-            least = MAIN if top >= MAIN else OTHER
             found = [(p, z, t, xxhash.xxh64_intdigest(t) - (1 << 63)) for p, z, t in found]
-            seen = {(p, 0, 0) for p, *_ in found} | {(p, 1, h) for p, _, _, h in found}
+            seen = {(p, 0, z) for p, z, *_ in found} | {(p, 1, h) for p, _, _, h in found}
             seen |= {(p, 2, _key(c)) for p, c in children.items()}
-            kept = [{"path": p, "zone": z, "text": t, "h": h} for p, z, t, h in found if z >= least]
-            rows.append((page_id, url, host_of(url), xxhash.xxh3_128_digest(html or ""), kept, [{"path": p, "kind": k, "h": h} for p, k, h in sorted(seen)]))
+            kept = [{"path": p, "zone": z, "text": t, "h": h} for p, z, t, h in found]
+            seen = [{"path": p, "kind": k, "h": h} for p, k, h in sorted(seen)]
+            rows.append((row, page_id, url, host_of(url), xxhash.xxh3_128_digest(html or ""), kept, seen))
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -202,7 +213,7 @@ def _counts(parsed: DataFrame) -> DataFrame:
 
 
 def node_importance(parsed: DataFrame) -> DataFrame:
-    """(host, path, importance) of the style nodes that hold text."""
+    """(host, path, zone, importance) of the style nodes that hold text."""
     return _importance(_counts(parsed))
 
 
@@ -210,36 +221,43 @@ def _importance(count: DataFrame) -> DataFrame:
     log = lambda x: F.log(x.cast("double"))
     k, kind = F.col("k"), F.col("kind")
     node = count.groupBy("host", "path").agg(
-        F.max(F.when(kind == 0, k)).alias("m"),
+        F.max(F.when(kind == 0, k)).alias("m"), F.max(F.when(kind == 0, F.col("h"))).alias("zone"),
         F.sum(F.when(kind == 1, log(k))).alias("text_logs"), F.sum(F.when(kind == 1, 1)).alias("texts"),
         F.sum(F.when(kind == 2, k)).alias("shown"), F.sum(F.when(kind == 2, k * log(k))).alias("k_logs"), F.sum(F.when(kind == 2, 1)).alias("sequences"),
     )
-    content = 1 - F.col("text_logs") / (F.col("texts") * log(F.col("m")))
+    m = F.col("m")
+    content = F.coalesce(1 - F.col("text_logs") / F.when(m > 1, F.col("texts") * log(m)), F.lit(1.0))  # one page shows no repetition
     # entropy of the child sequences; a node without children shows one way only
     shape = F.coalesce((log(F.col("shown")) - F.col("k_logs") / F.col("shown")) / F.when(F.col("shown") > 1, log(F.col("shown"))), F.lit(0.0))
     share = F.pow(F.lit(GAMMA), F.coalesce(F.col("sequences"), F.lit(1)).cast("double"))
-    return node.where("m IS NOT NULL").select(
-        "host", "path", F.when(F.col("m") < MIN_PAGES, 1.0).otherwise(share * content + (1 - share) * shape).alias("importance")
-    )
+    own = (m * (share * content + (1 - share) * shape) + PRIOR_PAGES) / (m + PRIOR_PAGES)
+    prior = F.element_at(F.array(*(F.lit(x) for x in PRIOR)), F.col("zone").cast("int") + 1)
+    return node.where("m IS NOT NULL").select("host", "path", "zone", (prior * own).alias("importance"))
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     scratch = Scratch(spark, "html")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     parsed = scratch.cut(rows.mapInArrow(_parse, PARSED), "parsed")
     count = scratch.cut(_counts(parsed), "count")
-    poor = scratch.cut(_importance(count).where(F.col("importance") < LEAST).select(F.col("host").alias("low_host"), F.col("path").alias("low_path")), "poor")
-    here = F.col("host").eqNullSafe(F.col("low_host")) & (F.col("path") == F.col("low_path"))
-    texts = count.where("kind = 1 AND k > 1").join(poor, here)
-    shared = texts.groupBy("low_host").agg(F.collect_set(F.struct("path", "h")).alias("shared"))
-    low = poor.groupBy("low_host").agg(F.collect_set("low_path").alias("low"))
-    low = low.withColumnRenamed("low_host", "x").join(shared, F.col("x").eqNullSafe(F.col("low_host")), "left").select(F.col("x").alias("low_host"), "low", "shared")
-    low = scratch.cut(low, "low")
-    judged = parsed.drop("seen", "digest").join(low, F.col("host").eqNullSafe(F.col("low_host")), "left")
-    own = lambda b: F.col("shared").isNull() | ~F.array_contains("shared", F.struct(b["path"].alias("path"), b["h"].alias("h")))
-    keep = F.filter("blocks", lambda b: F.col("low").isNull() | ~F.array_contains("low", b["path"]) | ((b["zone"] != OTHER) & own(b)))
+    poor = _importance(count).where(F.col("importance") < LEAST)
+    poor = scratch.cut(poor.select(F.col("host").alias("poor_host"), F.col("path").alias("poor_path"), "zone"), "poor")
+    at = lambda host, path: F.col("host").eqNullSafe(F.col(host)) & (F.col("path") == F.col(path))
+    shared = count.where("kind = 1 AND k > 1").join(poor.where(F.col("zone") >= MAIN), at("poor_host", "poor_path"))
+    shared = scratch.cut(shared.select("poor_host", "poor_path", F.col("h").alias("poor_h")), "shared")
+    scratch.drop(count)
+
+    # what each page loses: whole nodes, and shared texts of nodes in marked parts
+    seen = parsed.select("row", "host", F.explode("seen").alias("s")).select("row", "host", "s.*")
+    nodes = seen.where("kind = 0").join(poor.where(F.col("zone") < MAIN), at("poor_host", "poor_path"))
+    texts = seen.where("kind = 1").join(shared, at("poor_host", "poor_path") & (F.col("h") == F.col("poor_h")))
+    lost = nodes.select("row", "path", F.lit(None).cast("long").alias("h")).unionByName(texts.select("row", "path", "h"))
+    lost = scratch.cut(lost.groupBy("row").agg(F.collect_list(F.struct("path", "h")).alias("lost")), "lost")
+    gone = lambda b: F.exists("lost", lambda x: (x["path"] == b["path"]) & (x["h"].isNull() | (x["h"] == b["h"])))
+    keep = F.filter("blocks", lambda b: F.col("lost").isNull() | ~gone(b))
     text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n\n")
+    judged = parsed.select("row", "page_id", "url", "blocks").join(lost, "row", "left")
     return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

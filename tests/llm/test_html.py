@@ -15,6 +15,10 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
 
 
+def parsed(spark, rows):
+    return pages(spark, rows).select("page_id", "page_id", "url", "html").mapInArrow(H._parse, H.PARSED)
+
+
 def test_article_only(spark):
     r = H.extract(spark, pages(spark, [(1, "http://a/1", PAGE)])).head()
     assert r["text"] == "A & B\n\nOne two <three> x\n\nFour\n\nfive\n\nsix"
@@ -57,9 +61,9 @@ def test_copies_of_a_page_count_once(spark):
 
 def test_importance(spark):
     rows = [(k, f"http://h/{k}", f"<div class=a>same</div><div class=b>own {k}</div>") for k in range(16)]
-    parsed = pages(spark, rows).select("page_id", "url", "html").mapInArrow(H._parse, H.PARSED)
-    values = sorted(r["importance"] for r in H.node_importance(parsed).collect())
-    assert abs(values[0]) < 1e-9 and abs(values[1] - 0.9) < 1e-9
+    values = sorted(r["importance"] for r in H.node_importance(parsed(spark, rows)).collect())
+    # 0 and 0.9 on 16 pages, 1 on PRIOR_PAGES more
+    assert abs(values[0] - 3 / 19) < 1e-9 and abs(values[1] - (16 * 0.9 + 3) / 19) < 1e-9
 
 
 def test_empty_and_repeats(spark):
@@ -72,9 +76,10 @@ def plain_importance(rows):
     import math
     from collections import Counter, defaultdict
 
-    texts, shapes, holders = defaultdict(Counter), defaultdict(Counter), Counter()
+    texts, shapes, holders, zones = defaultdict(Counter), defaultdict(Counter), Counter(), {}
     for html in sorted(set(rows)):
         found, children = H.blocks(html)
+        zones |= {p: z for p, z, _ in found}
         for path, text in {(p, t) for p, _, t in found}:
             texts[path][text] += 1
         for path in {p for p, *_ in found}:
@@ -83,29 +88,55 @@ def plain_importance(rows):
             shapes[path][tuple(styles)] += 1
     out = {}
     for path, m in holders.items():
-        if m < H.MIN_PAGES:
-            out[path] = 1.0
-            continue
         # a text on k of m pages leaves an uncertainty of log k about its page
-        content = 1 - sum(math.log(k) / math.log(m) for k in texts[path].values()) / len(texts[path])
+        content = 1 - sum(math.log(k) / math.log(m) for k in texts[path].values()) / len(texts[path]) if m > 1 else 1.0
         shown = sum(shapes[path].values())
         shape = sum(-k / shown * math.log(k / shown) for k in shapes[path].values()) / math.log(shown) if shown > 1 else 0.0
         share = H.GAMMA ** max(1, len(shapes[path]))
-        out[path] = share * content + (1 - share) * shape
+        own = share * content + (1 - share) * shape
+        out[path] = H.PRIOR[zones[path]] * (m * own + H.PRIOR_PAGES) / (m + H.PRIOR_PAGES)
     return out
 
 
-def test_importance_against_plain_dictionaries(spark):
+def plain_texts(rows):
+    """Main text of every page of one host, by the plain tree."""
+    from collections import Counter
+
+    importance = plain_importance(rows)
+    on = Counter(x for html in set(rows) for x in {(p, t) for p, _, t in H.blocks(html)[0]})
+    lost = lambda p, z, t: importance[p] < H.LEAST and (z < H.MAIN or on[p, t] > 1)
+    return ["\n\n".join(t for p, z, t in H.blocks(html)[0] if not lost(p, z, t)) for html in rows]
+
+
+def site(n):
     import random
 
     rng = random.Random(3)
     notes, rows = ["Join our club", "Rate us", "Read more"], []
-    for k in range(40):
+    for k in range(n):
         parts = [f"<p>Story {k} part {j}</p>" for j in range(rng.randint(1, 3))] + [f"<div class=note>{rng.choice(notes)}</div>"] * rng.randint(0, 1)
         rng.shuffle(parts)
-        rows.append(f"<div class=top>Welcome</div><article>{''.join(parts)}</article><div class=end>Rights {k % 5}</div>")
-    parsed = pages(spark, [(k, "http://h/x", t) for k, t in enumerate(rows)]).select("page_id", "url", "html").mapInArrow(H._parse, H.PARSED)
-    got = {r["path"]: r["importance"] for r in H.node_importance(parsed).collect()}
+        open_, close = ("<article>", "</article>") if rng.random() < 0.7 else ("<div class=text>", "</div>")
+        rows.append(f"<nav>Menu {k}</nav><div class=top>Welcome</div>{open_}{''.join(parts)}{close}<div class=end>Rights {k % 5}</div>")
+    return rows + rows[:2]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 40])
+def test_whole_extraction_against_plain_dictionaries(spark, n):
+    rows = site(n)
+    table = [(k, "http://h/x", t) for k, t in enumerate(rows)]
+    got = {r["path"]: r["importance"] for r in H.node_importance(parsed(spark, table)).collect()}
     want = plain_importance(rows)
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
-    assert min(want.values()) < H.LEAST < max(want.values())  # the tree tells them apart
+    texts = {r["page_id"]: r["text"] for r in H.extract(spark, pages(spark, table)).collect()}
+    assert [texts[k] for k in range(len(rows))] == plain_texts(rows)
+    if n == 40:
+        assert min(want.values()) < H.LEAST < max(want.values())  # the tree tells them apart
+        assert not any("Welcome" in t or "Menu" in t for t in texts.values())
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    rows = [(k, "http://h/x", t) for k, t in enumerate(site(12))]
+    judged = {r["page_id"]: r["text"] for r in H.extract(spark, pages(spark, rows)).collect()}
+    monkeypatch.setattr(H, "LEAST", 0.0)
+    assert all("Menu" in r["text"] and "Welcome" in r["text"] and len(r["text"]) > len(judged[r["page_id"]]) for r in H.extract(spark, pages(spark, rows)).collect())
