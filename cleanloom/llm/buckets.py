@@ -2,23 +2,26 @@
 
 Every bucket is first a star: all its members are compared with the one of the least id.
 Links give labels, by two steps along them, and what has one label is connected and needs
-no further link. Buckets with one label are done. In the others, those of up to PAIRS
-members compare the pairs of different labels. Larger ones are divided once by further keys
-of their members, and each part begins anew as a star. Texts of one template stay together
-by whatever the template decides, so these keys must come from minima of their own, several
-a key: where one of them falls on what only the nearer ones share, they part from the rest,
-whatever the size of the bucket. In such a bucket a pair of two labels is found if one of
-its shared keys has a part that is small or whose least member it is linked to, or if other
-links connect it.
-
-Where there are no further keys, large buckets are finished around pivots instead. The
-distance (one less the likeness) must be a metric, so a member linked to a pivot can have
-links of its own only to members within twice the distance of a link from it; the rest goes
-through further rounds with twice the pivots until nothing is left. Every link of a bucket
-is found then, or a path for it, at a cost that grows up to the square of a bucket with many
+no further link. Buckets with one label are done. Those of up to PAIRS members compare the
+pairs of different labels. Larger ones are a star once more, around another member;
+a member of a large component is then mostly linked to it, and what
+stays apart is compared by one of two exact ways.
+
+Sets (of shingles) come with ``tokens``. Two sets with a likeness of ``least`` share one of
+their first tokens, rare ones first, so early in both that what follows can still suffice
+(prefix and positional filtering). The first tokens of a set that isn't like its template
+are its own, so members of one template don't meet by what the template gives to all. Of
+those that share a token, all pairs of different labels are made but for those inside the
+token's most frequent label, where there are none.
+
+Without tokens the distance (one less the likeness) must be a metric, and large buckets are
+finished around pivots: a member linked to a pivot can have links of its own only to members
+within twice the distance of a link from it; the rest goes through further rounds with twice
+the pivots until nothing is left. The cost grows up to the square of a bucket with many
 components.
 
-No bucket is gathered in one task: all steps are joins and aggregations.
+Either way every link of a bucket is found, or a path for it. No bucket is gathered in one
+task: all steps are joins and aggregations.
 """
 
 from __future__ import annotations
@@ -26,20 +29,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.llm._common import Scratch
 
 #: Members of a bucket that are compared pair by pair.
-PAIRS = 128
+PAIRS = 16
+#: What turns the order of ids in which the middle of each star is the first: of the first star, and of the second one of large buckets.
+TURNS = [0, 0x2545F4914F6CDD1D]
 #: Pivots of a larger bucket in the first round, about; twice as many in each further one.
 PIVOTS = 8
-#: Times that a large bucket is divided. What stays together holds little but its template's minima, which more times don't divide.
-LEVELS = 1
-#: compare(pairs of (a, b), floor): those with a likeness of at least floor, with it as ``like``.
+#: compare(pairs of (a, b), floor): those with a likeness of at least floor, with it as ``like``. It leaves out at once those whose sizes can't have it.
 Compare = Callable[[DataFrame, float], DataFrame]
-Keys = Callable[[DataFrame], DataFrame]
+Tokens = Callable[[DataFrame], DataFrame]
+#: What a rounding error may take from a bound on counts.
+SLACK = 1e-6
 
 
 def _pairs(members: DataFrame, least: float) -> DataFrame:
@@ -62,61 +67,96 @@ def _labels(found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(one.join(next_, "label", "left").select("lid", F.coalesce("next", "label").alias("label")), "labels")
 
 
-def links(members: DataFrame, compare: Compare, least: float, scratch: Scratch, keys: Keys | None = None) -> DataFrame:
+def links(members: DataFrame, compare: Compare, least: float, scratch: Scratch, tokens: Tokens | None = None) -> DataFrame:
     """(a, b): links with a likeness of ``least`` or more that connect what the links inside the buckets connect.
 
     ``members`` has (band, lid, grams), each lid once a band; grams are positive sizes whose
-    ratio is no less than the likeness. ``keys`` gives (lid, keys), an array of further keys,
-    for members of (lid); it is asked for those of large buckets only.
+    ratio is no less than the likeness. ``tokens`` gives (lid, token), each once, for members
+    of (lid), where the likeness is that of Jaccard between the sets of tokens and grams are
+    their sizes; it is asked for those of large buckets only.
     """
     found: list[DataFrame] = []
     tried: list[DataFrame] = []
     ask: list[DataFrame] = []
-    members, used, level = members.select("band", "lid", "grams"), [], 0
-    while True:
-        first = F.min(F.struct("lid", "grams")).alias("first")
-        stats = scratch.cut(members.groupBy("band").agg(F.count("*").alias("size"), first).where("size > 1"), "stats")
-        if level and stats.isEmpty():
-            break
-        sized = members.join(stats, "band").select("band", "lid", "grams", "size", F.col("first.lid").alias("rep"), F.col("first.grams").alias("gr"), *used)
-        sized = scratch.cut(sized, "sized")
-        star = sized.where((F.col("lid") != F.col("rep")) & (F.least("grams", "gr") >= least * F.greatest("grams", "gr")))
-        star = star.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct()
+    left = members.select("band", "lid", "grams")
+    for round_ in range(len(TURNS)):
+        turned = F.col("lid").bitwiseXOR(F.lit(TURNS[round_]))  # another order of the ids in every round
+        stats = left.groupBy("band").agg(F.count("*").alias("size"), F.min(turned).alias("turned")).where("size > 1")
+        stats = scratch.cut(stats.select("band", "size", F.col("turned").bitwiseXOR(F.lit(TURNS[round_])).alias("rep")), "stats")
+        sized = left.select("band", "lid", "grams").join(stats, "band")
+        star = sized.where(F.col("lid") != F.col("rep")).select(*_ordered("lid", "rep")).distinct()
         star = scratch.cut(star.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti") if tried else star, "star")
         tried.append(star)
         found.append(scratch.cut(compare(star, least).select("a", "b"), "linked"))
         labels = _labels(reduce(DataFrame.union, found), scratch)
-        named = sized.join(labels, "lid", "left").withColumn("label", F.coalesce("label", "lid"))
-        named = scratch.cut(named.select("band", "lid", "grams", "size", "rep", "label", *used), "named")
+        sized = sized.where("size > 2").select("band", "lid", "grams", "size")
+        named = scratch.cut(sized.join(labels, "lid", "left").withColumn("label", F.coalesce("label", "lid")), "named")
         mixed = scratch.cut(named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band"), "mixed")
-        left = scratch.cut(named.join(mixed, "band"), "left")
-        scratch.drop(stats, sized, labels, named, mixed)
-        small = left.where((F.col("size") <= PAIRS) & (F.col("lid") != F.col("rep")))
-        x = small.select("band", F.col("lid").alias("a"), F.col("grams").alias("ga"), F.col("label").alias("la"))
-        y = small.select("band", F.col("lid").alias("b"), F.col("grams").alias("gb"), F.col("label").alias("lb"))
-        fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("ga", "gb") >= least * F.greatest("ga", "gb"))
-        ask.append(scratch.cut(x.join(y, "band").where(fits).select("a", "b").distinct(), "few"))
-        large = left.where(F.col("size") > PAIRS)
-        if large.isEmpty() or level >= LEVELS:
+        left = named.join(mixed, "band")
+        if not round_:
+            ask.append(scratch.cut(_unlike(left.where(F.col("size") <= PAIRS), least), "few"))
+        left = scratch.cut(left.where(F.col("size") > PAIRS), "left")
+        scratch.drop(stats, labels, named, mixed)
+        if left.isEmpty():
             break
-        if keys is None:
-            more = _around_pivots(large.select("band", "lid", "grams"), compare, least, scratch)
+    else:
+        if tokens is None:
+            more = _around_pivots(left.select("band", "lid", "grams"), compare, least, scratch)
             found, ask = found + more[0], ask + more[1]
-            break
-        if not level:
-            further = scratch.cut(keys(large.select("lid").distinct()), "keys")
-        part = large.join(further, "lid").select("band", "lid", "grams", *used, F.posexplode("keys").alias("at", "key"))
-        if used:
-            part = part.where("at > last")
-        members = part.select(F.xxhash64("band", "at", "key").alias("band"), "lid", "grams", F.col("at").alias("last"))
-        used, level = ["last"], level + 1
-        members = scratch.cut(members, "parts")
+        else:
+            ask.append(_by_tokens(left.select("lid", "label", "grams").distinct(), tokens, least, scratch))
     asked = reduce(DataFrame.union, ask).distinct().join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
     out = scratch.cut(reduce(DataFrame.union, found, compare(asked, least).select("a", "b")), "links")
     scratch.drop(*ask, *tried)
     return out
 
 
+def _unlike(members: DataFrame, least: float) -> DataFrame:
+    """(a, b) for members of each bucket with different labels, whose sizes allow ``least``."""
+    x = members.select("band", F.col("lid").alias("a"), F.col("grams").alias("ga"), F.col("label").alias("la"))
+    y = members.select("band", F.col("lid").alias("b"), F.col("grams").alias("gb"), F.col("label").alias("lb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("ga", "gb") >= least * F.greatest("ga", "gb"))
+    return x.join(y, "band").where(fits).select("a", "b").distinct()
+
+
+def _needed(share: float, n: Column) -> Column:
+    return F.ceil(share * n - SLACK)
+
+
+def _by_tokens(members: DataFrame, tokens: Tokens, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of different labels, among them all with a likeness of ``least``, for members of (lid, label, grams).
+
+    The lesser of two sets has a common token among its first ones when as many tokens are
+    needed as a set of its own size would ask for, and the greater among those for the least
+    size that it can meet.
+    """
+    some = scratch.cut(members.withColumnRenamed("grams", "n"), "some")
+    each = scratch.cut(tokens(some.select("lid")), "tokens")
+    often = scratch.cut(each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    # tokens of one set alone come first and meet nothing: only their number matters
+    order = F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order")
+    ordered = each.join(often, "token").groupBy("lid").agg(order).join(some, "lid")
+    alone = F.col("n") - F.size("order")
+    probe = F.col("n") - _needed(least, F.col("n")) + 1
+    first = ordered.where(probe > alone).select("lid", "label", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), probe - alone)).alias("at", "x"))
+    posts = scratch.cut(first.select("lid", "label", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token")), "first")
+    by_label = posts.groupBy("token", "label").agg(F.count("*").alias("m"))
+    main = by_label.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("x")).where("labels > 1")
+    main = scratch.cut(main.select("token", (F.col("x.label")).alias("main")), "main")
+    first = posts.join(main, "token").withColumn("in", F.col("label") == F.col("main"))
+    both = 2 * least / (1 + least)
+    x = first.where(F.col("at") <= F.col("n") - _needed(both, F.col("n")))
+    x = x.select("token", F.col("in").alias("ia"), F.col("lid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = first.select("token", F.col("in").alias("ib"), F.col("lid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    follows = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (F.col("la") != F.col("lb")) & follows & (F.col("na") >= least * F.col("nb")) & (left >= _needed(least / (1 + least), F.col("na") + F.col("nb")))
+    made = x.where(~F.col("ia")).join(y, "token").where(fits).select("a", "b").union(x.where("ia").join(y.where(~F.col("ib")), "token").where(fits).select("a", "b"))
+    out = scratch.cut(made.select(*_ordered("a", "b")).distinct(), "near")
+    scratch.drop(some, each, often, posts, main)
+    return out
+
+
 def _around_pivots(members: DataFrame, compare: Compare, least: float, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links found in buckets of any size, and pairs to compare."""
     ask, found, round_ = [], [], 0

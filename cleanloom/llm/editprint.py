@@ -343,15 +343,13 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys of each fingerprint, and shorter keys, which divide large buckets."""
+    """Band keys of each fingerprint."""
     for batch in batches:
-        keys, more = [], []
+        keys = []
         for bits in map(as_bits, batch.column(1).to_pylist()):
             own = bits[_positions()] if len(bits) else np.empty((0, ROWS), np.uint8)
             keys.append([xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(np.packbits(own, axis=1))])
-            more.append([xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(np.packbits(own[:, : 2 * SHOWN], axis=1))])
-        columns = [pa.array(x, pa.list_(pa.int64())) for x in (keys, more)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["lid", "keys", "more"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["lid", "keys"])
 
 
 def _likened(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -373,20 +371,19 @@ def near_documents(spark: SparkSession, docs: DataFrame, least: float = LEAST, e
     """(doc_id, fp, component_id): documents linked by bit-sampled bands and verified likeness.
 
     Every distinct fingerprint is a node; nodes that share a band are compared by
-    ``buckets.links``, with ``exact`` so that no link inside a bucket of any size is lost.
-    component_id is the smallest doc_id of the component.
+    ``buckets.links`` so that no link inside a bucket of any size is lost, whether ``exact``
+    is given (it once had a cheaper way beside it) or not. component_id is the smallest doc_id of the component.
     """
     scratch = Scratch(spark, "editprint")
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     prints = scratch.cut(use.mapInArrow(_printed, "doc_id long, fp string"), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("lid", F.monotonically_increasing_id())
     nodes = scratch.cut(nodes, "nodes")
-    banded = scratch.cut(nodes.select("lid", "fp").mapInArrow(_banded, "lid long, keys array<long>, more array<long>"), "banded")
+    banded = scratch.cut(nodes.select("lid", "fp").mapInArrow(_banded, "lid long, keys array<long>"), "banded")
     keyed = banded.select("lid", F.lit(1).alias("grams"), F.explode("keys").alias("band"))
     shared = scratch.cut(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
     members = scratch.cut(keyed.join(shared, "band"), "members")
-    keys = None if exact else lambda some: banded.select("lid", F.col("more").alias("keys")).join(some, "lid")
-    links = buckets.links(members, lambda pairs, floor: compared(pairs, nodes, floor), least / (2 - least), scratch, keys)
+    links = buckets.links(members, lambda pairs, floor: compared(pairs, nodes, floor), least / (2 - least), scratch)
     scratch.drop(members, banded, shared)
     roots = scratch.cut(connected_components(spark, links, scratch), "roots")
     of = nodes.join(roots, F.col("lid") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "lid").alias("root"))

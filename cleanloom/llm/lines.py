@@ -3,7 +3,7 @@
 Lines are what stands between newlines, trimmed of blanks. A line's shingles are the
 strings of SHINGLE code points at all its positions, each line laid out in four bytes a
 code point so that a shingle is cut out in one step. Every distinct line is exploded into
-its shingles once, and one aggregation takes the minima of their hashes under MINIMA
+its shingles once, a few to a row, and one aggregation takes the minima of their hashes under MINIMA
 different orders: the MinHash signature. Four minima make a band; the bands are the lines
 of the projective plane of order 3, thirteen of its thirteen points, of which any two
 share one. Lines with a band in common meet in a bucket, and their shingle sets are
@@ -12,7 +12,7 @@ makes a link. By enumeration of the plane, the bands find 97.6 % of pairs at a l
 of 0.8, 99.3 % at 0.85, 99.9 % at 0.9, and 2 % at 0.2.
 
 Buckets are worked off by ``buckets.links``: first as stars around the most frequent line,
-then the pairs not yet connected; large buckets are divided by KEYS keys of further minima. Linked
+then the pairs not yet connected, in large buckets those that share a rare shingle. Linked
 lines form components by distributed union-find, and one line of each component stays: the
 occurrence with the least (doc_id, text hash, position).
 Equal lines are one line from the start, however short, and their number never matters;
@@ -38,11 +38,11 @@ LEAST = 0.8
 MINIMA = 13
 #: The minima of each band: a perfect difference set modulo MINIMA, turned.
 BANDS = [sorted((k + d) % MINIMA for d in (0, 1, 3, 9)) for k in range(MINIMA)]
+#: Shingles of a line that are hashed in one row.
+AT_ONCE = 4
 NO_ID = -(1 << 63)
-#: Further keys that divide large buckets, and the minima of each, which are other ones than the bands'.
-KEYS, DEPTH = 24, 4
-#: Orders of the hashes: each minimum is taken after an exclusive or with another of these; the bands' come first.
-_ORDERS = [(k * 2654435769 & 0xFFFFFFFF) - (1 << 31) for k in range(1, MINIMA + KEYS * DEPTH + 1)]
+#: Orders of the hashes: each minimum is taken after an exclusive or with another of these.
+_ORDERS = [(k * 2654435769 & 0xFFFFFFFF) - (1 << 31) for k in range(1, MINIMA + 1)]
 
 
 def _laid_out(line: Column) -> Column:
@@ -65,12 +65,19 @@ def shingle_hashes(line: Column) -> Column:
     return F.transform(F.array(_laid_out(line)), lambda b: F.transform(_places(line), lambda i: F.xxhash64(_shingle(b, i))))[0]
 
 
-def signatures(lines: DataFrame, orders: list[int] = _ORDERS[:MINIMA]) -> DataFrame:
-    """(lid, m0, m1, ...) for every line of (lid, line) that has a shingle: its MinHash signature, a minimum for each order."""
-    laid = lines.where(F.length("line") >= SHINGLE).select("lid", _places(F.col("line")).alias("places"), _laid_out(F.col("line")).alias("b"))
-    each = laid.select("lid", "b", F.explode("places").alias("at"))
-    hashed = each.select("lid", F.hash(_shingle(F.col("b"), F.col("at"))).alias("h"))
-    return hashed.groupBy("lid").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(orders)))
+def signatures(lines: DataFrame, orders: list[int] = _ORDERS) -> DataFrame:
+    """(lid, m0, m1, ...) for every line of (lid, line) that has a shingle: its MinHash signature, a minimum for each order.
+
+    A row holds AT_ONCE shingles, so that the aggregation has fewer rows; the last one of a line is repeated in what is left of its last row.
+    """
+    last = 4 * (F.length("line") - SHINGLE) + 1
+    places = F.sequence(F.lit(1), last, F.lit(4 * AT_ONCE)).alias("places")
+    laid = lines.where(F.length("line") >= SHINGLE).select("lid", places, last.alias("last"), _laid_out(F.col("line")).alias("b"))
+    each = laid.select("lid", "b", "last", F.explode("places").alias("at"))
+    at = [F.least(F.col("at") + 4 * k, F.col("last")) for k in range(AT_ONCE)]
+    hashed = each.select("lid", *(F.hash(_shingle(F.col("b"), x)).alias(f"h{k}") for k, x in enumerate(at)))
+    least = [F.least(*(F.col(f"h{k}").bitwiseXOR(F.lit(x)) for k in range(AT_ONCE))) for x in orders]
+    return hashed.groupBy("lid").agg(*(F.min(x).alias(f"m{k}") for k, x in enumerate(least)))
 
 
 def with_bands(signed: DataFrame) -> DataFrame:
@@ -79,10 +86,9 @@ def with_bands(signed: DataFrame) -> DataFrame:
     return signed.select("lid", F.explode(F.array(*keys)).alias("band"))
 
 
-def further_keys(lines: DataFrame) -> DataFrame:
-    """(lid, keys): KEYS hashes of DEPTH minima each."""
-    keys = [F.xxhash64(*(F.col(f"m{k * DEPTH + j}") for j in range(DEPTH))) for k in range(KEYS)]
-    return signatures(lines, _ORDERS[MINIMA:]).select("lid", F.array(*keys).alias("keys"))
+def tokens_of(lines: DataFrame) -> DataFrame:
+    """(lid, token): the distinct shingle hashes of lines of SHINGLE code points or more."""
+    return lines.select("lid", F.explode(F.array_distinct(shingle_hashes(F.col("line")))).alias("token"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of lines with a Jaccard likeness of at least ``least`` of their shingle sets, with it as ``like``."""
     x = texts.select(F.col("lid").alias("a"), F.col("line").alias("x"), F.col("grams").alias("gx"))
     y = texts.select(F.col("lid").alias("b"), F.col("line").alias("y"), F.col("grams").alias("gy"))
-    both = pairs.join(x, "a").join(y, "b")
+    both = pairs.join(x, "a").join(y, "b").where(F.least("gx", "gy") >= least * F.greatest("gx", "gy"))
     shared = F.size(F.array_intersect(shingle_hashes(F.col("x")), shingle_hashes(F.col("y"))))
     common = both.select("a", "b", (F.col("gx") + F.col("gy")).alias("g"), shared.cast("double").alias("c"))
     return common.select("a", "b", (F.col("c") / (F.col("g") - F.col("c"))).alias("like")).where(F.col("like") >= least)
@@ -109,9 +115,9 @@ def compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def linked_lines(lines: DataFrame, least: float, scratch: Scratch, exact: bool = False) -> DataFrame:
     """Links (a, b) of lines, of (lid, line), that are alike.
 
-    Large buckets of several components are divided by further minima; with ``exact`` they
-    are finished around pivots at once, so that every link of a bucket is found or a path
-    for it, at a cost up to the square of such a bucket.
+    Every link of a bucket is found or a path for it: large buckets of several components are
+    finished by their rarest shingles, with ``exact`` around pivots instead, which
+    asks for nothing but a metric, at a cost up to the square of such a bucket.
     """
     signed = scratch.cut(signatures(lines.select("lid", "line")), "signed")
     banded = with_bands(signed)
@@ -121,8 +127,8 @@ def linked_lines(lines: DataFrame, least: float, scratch: Scratch, exact: bool =
     texts = scratch.cut(wanted.withColumn("grams", F.size(F.array_distinct(shingle_hashes(F.col("line"))))), "texts")
     members = scratch.cut(met.join(texts.select("lid", "grams"), "lid"), "members")
     scratch.drop(sizes, met)
-    keys = lambda some: further_keys(texts.join(some, "lid"))
-    out = buckets.links(members, lambda pairs, floor: compared(pairs, texts, floor), least, scratch, None if exact else keys)
+    tokens = lambda some: tokens_of(texts.join(some, "lid"))
+    out = buckets.links(members, lambda pairs, floor: compared(pairs, texts, floor), least, scratch, None if exact else tokens)
     scratch.drop(signed, members, texts)
     return out
 

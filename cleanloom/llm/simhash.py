@@ -224,7 +224,7 @@ def similar_documents(
     sets = scratch.cut(own.mapInArrow(lambda it: _sets(it, shingle), "lid long, set array<long>, grams int, keys array<long>"), "sets")
     members = scratch.cut(met.join(sets.select("lid", "grams"), "lid"), "members")
     scratch.drop(shared, met, wanted)
-    links = buckets.links(members, lambda pairs, floor: compared(pairs, sets, floor), least, scratch, lambda some: sets.select("lid", "keys").join(some, "lid"))
+    links = buckets.links(members, lambda pairs, floor: compared(pairs, sets, floor), least, scratch, lambda some: sets.join(some, "lid").select("lid", F.explode("set").alias("token")))
     scratch.drop(members, sets)
     roots = scratch.cut(connected_components(spark, links, scratch), "roots")
     linked = scratch.cut(nodes.join(roots, F.col("lid") == F.col("node")).select("w1", "w2", "root", "first"), "linked")

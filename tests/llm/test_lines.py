@@ -202,3 +202,64 @@ def test_exact_finds_every_family_of_a_large_bucket(spark, docs):
     rows = list(families(80))
     made = L.without_duplicates(spark, docs(rows), exact=True).where("n_removed > 0").select("row.doc_id").collect()
     assert sorted(r.doc_id for r in made) == sorted(a for a, _ in slow(rows)) == list(range(1, 160, 2))
+
+
+def test_large_buckets_are_finished_by_default(spark, docs, monkeypatch):
+    """A bucket whose families neither its least members nor a few shared keys connect: every link is found, and few pairs are made for it."""
+    rows = list(families(300, seed=5))
+    members = spark.createDataFrame([(7, i, len(grams(x))) for i, x in rows], "band long, lid long, grams int")
+    texts = spark.createDataFrame([(i, x, len(grams(x))) for i, x in rows], "lid long, line string, grams int")
+    asked = []
+
+    def compare(pairs, floor):
+        asked.append(pairs.count())
+        return L.compared(pairs, texts, floor)
+
+    found = buckets.links(members, compare, L.LEAST, Scratch(spark, "t"), lambda some: L.tokens_of(texts.join(some, "lid")))
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(2 * k, 2 * k + 1) for k in range(300)}
+    assert sum(asked) <= 5 * len(rows)  # two stars and the families
+
+
+def test_tokens_find_what_brute_force_finds(spark, monkeypatch):
+    """Lines at likenesses about the bound and of many lengths in one bucket; the components are those of all pairs."""
+    monkeypatch.setattr(buckets, "PAIRS", 2)
+    rng, texts = random.Random(11), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6):06d}" for _ in range(rng.randint(6, 30))]
+        for _ in range(rng.randint(2, 9)):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 9))):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6):06d}"
+            texts.append(" ".join(own[: len(own) - rng.randint(0, 3)]))
+    texts = sorted(set(texts))
+    members = spark.createDataFrame([(7, k, len(grams(x))) for k, x in enumerate(texts)], "band long, lid long, grams int")
+    lines = spark.createDataFrame([(k, x, len(grams(x))) for k, x in enumerate(texts)], "lid long, line string, grams int")
+    made = buckets.links(members, lambda pairs, floor: L.compared(pairs, lines, floor), L.LEAST, Scratch(spark, "t"), lambda some: L.tokens_of(lines.join(some, "lid")))
+    made = [(r["a"], r["b"]) for r in made.collect()]
+    every = [(a, b) for b in range(len(texts)) for a in range(b) if alike(texts[a], texts[b])]
+
+    def parts(edges):
+        root = list(range(len(texts)))
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return [find(k) for k in range(len(texts))], find
+
+    (_, one), (_, two) = parts(every), parts(made)
+    assert set(made) <= set(every) and len(every) > 20
+    assert all(two(a) == two(b) for a, b in every) and all(one(a) == one(b) for a, b in made)
+
+
+def test_signatures_are_minima_of_all_shingles(spark):
+    """Lines of 1 to 3 rows of shingles and the numbers between; each minimum is that over the shingles one by one."""
+    text = "abcdefghijklmnopqrstuv\u00e9\U0001f600xyz"
+    lines = spark.createDataFrame([(n, text[:n]) for n in range(9, len(text) + 1)], "lid long, line string")
+    one = lines.select("lid", F.explode(F.sequence(F.lit(1), F.length("line") - 8)).alias("at"), "line")
+    one = one.select("lid", F.hash(F.encode(F.col("line").substr(F.col("at"), F.lit(9)), "UTF-32")).alias("h"))
+    want = one.groupBy("lid").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(L._ORDERS)))
+    assert sorted(map(tuple, L.signatures(lines).collect())) == sorted(map(tuple, want.collect()))
