@@ -115,7 +115,7 @@ def _unlike(members: DataFrame, least: float) -> DataFrame:
     """(a, b) for members of each bucket with different labels, whose sizes allow ``least``."""
     x = members.select("band", F.col("lid").alias("a"), F.col("grams").alias("ga"), F.col("label").alias("la"))
     y = members.select("band", F.col("lid").alias("b"), F.col("grams").alias("gb"), F.col("label").alias("lb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("ga", "gb") >= least * F.greatest("ga", "gb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("ga", "gb") >= least * F.greatest("ga", "gb") - SLACK)
     return x.join(y, "band").where(fits).select("a", "b").distinct()
 
 
@@ -150,7 +150,7 @@ def _by_tokens(members: DataFrame, tokens: Tokens, least: float, scratch: Scratc
     y = first.select("token", F.col("in").alias("ib"), F.col("lid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     follows = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    fits = (F.col("la") != F.col("lb")) & follows & (F.col("na") >= least * F.col("nb")) & (left >= _needed(least / (1 + least), F.col("na") + F.col("nb")))
+    fits = (F.col("la") != F.col("lb")) & follows & (F.col("na") >= least * F.col("nb") - SLACK) & (left >= _needed(least / (1 + least), F.col("na") + F.col("nb")))
     made = x.where(~F.col("ia")).join(y, "token").where(fits).select("a", "b").union(x.where("ia").join(y.where(~F.col("ib")), "token").where(fits).select("a", "b"))
     out = scratch.cut(made.select(*_ordered("a", "b")).distinct(), "near")
     scratch.drop(some, each, often, posts, main)

@@ -106,7 +106,7 @@ def compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of lines with a Jaccard likeness of at least ``least`` of their shingle sets, with it as ``like``."""
     x = texts.select(F.col("lid").alias("a"), F.col("line").alias("x"), F.col("grams").alias("gx"))
     y = texts.select(F.col("lid").alias("b"), F.col("line").alias("y"), F.col("grams").alias("gy"))
-    both = pairs.join(x, "a").join(y, "b").where(F.least("gx", "gy") >= least * F.greatest("gx", "gy"))
+    both = pairs.join(x, "a").join(y, "b").where(F.least("gx", "gy") >= least * F.greatest("gx", "gy") - buckets.SLACK)
     shared = F.size(F.array_intersect(shingle_hashes(F.col("x")), shingle_hashes(F.col("y"))))
     common = both.select("a", "b", (F.col("gx") + F.col("gy")).alias("g"), shared.cast("double").alias("c"))
     return common.select("a", "b", (F.col("c") / (F.col("g") - F.col("c"))).alias("like")).where(F.col("like") >= least)

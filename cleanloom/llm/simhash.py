@@ -14,10 +14,15 @@ table ignores, and those that meet at a midpoint are hung under its least. That
 and grows with the bucket, not with its square.
 
 ``similar_documents`` links documents whose sets of word shingles have a Jaccard likeness
-of LEAST or more. The tables of a wider radius (WIDE) give the candidates: all pairs within
-it, and many beyond, as differing bits whose vectors happen to be dependent still collide.
-Every candidate pair is compared exactly, by 64-bit hashes of its shingles, bucket by
-bucket (``buckets.links``). Texts with equal words are one node from the start.
+of LEAST or more. The tables of a wider radius (WIDE) give candidates: all pairs within it,
+and some beyond, as differing bits whose vectors happen to be dependent still collide. Its
+vectors are those of the Reed-Muller code, so that every table keeps half the bits or all.
+As alike documents can be further apart, KEYS hashes of DEPTH MinHash minima of the shingles
+are tables too. Buckets are worked off by ``buckets.links``. A candidate pair first has its
+likeness bounded from above by counts of the shingles in CELLS classes, a sketch that each
+document carries from the start; the pairs that are left are compared exactly, by 64-bit
+hashes of their shingles, which are made for the documents of such pairs only. Texts with
+equal words are one node from the start.
 
 Null texts count as empty. A document without words has fingerprint zero and is linked
 like any other; its likeness to another without words is 1. Rows that repeat, ids
@@ -28,7 +33,7 @@ ignored, and passed on by ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +54,10 @@ BITS = 64
 WORDS = 5
 LEAST = 0.8
 WIDE = 6
+#: Tables of MinHash, and the minima of each: 0.999997 of pairs at a likeness of 0.8 share one, 0.78 at 0.5.
 KEYS, DEPTH = 24, 4
+#: Classes of a sketch, by the low bits of a hash.
+CELLS = 256
 NO_ID = -(1 << 63)
 #: Hashes whose bits are counted at once, so that a long text needs no more memory.
 CHUNK = 4096
@@ -75,11 +83,16 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         return 0
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
+    return _majority(_hashes(words, shingle, seed), len(words) - shingle + 1)
+
+
+def _majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are in over half of n hashes."""
     ones = np.zeros(BITS, np.int64)
-    for h in _hashes(words, shingle, seed):
+    for h in hashes:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits((2 * ones > len(words) - shingle + 1).astype(np.uint8), bitorder="little")
+    packed = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
     return int(packed.view(np.uint64)[0])
 
 
@@ -101,11 +114,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) ->
 
 
 def masks(radius: int = RADIUS) -> list[int]:
-    """The 2^(r+1) - 1 masks: bit i is in mask v if <m(i), v> = 1, with m(i) = 1 + i mod (2^(r+1) - 1)."""
-    every = (1 << (radius + 1)) - 1
-    return [
-        sum(1 << i for i in range(BITS) if bin((1 + i % every) & v).count("1") % 2) for v in range(1, every + 1)
-    ]
+    """The 2^(r+1) - 1 masks: bit i is in mask v if <m(i), v> = 1, with m(i) = 1 + i mod (2^(r+1) - 1), or 2^r + i where that gives each bit its own."""
+    every, half = (1 << (radius + 1)) - 1, 1 << radius
+    vectors = [half + i if half >= BITS else 1 + i % every for i in range(BITS)]
+    return [sum(1 << i for i, m in enumerate(vectors) if bin(m & v).count("1") % 2) for v in range(1, every + 1)]
 
 
 def _signed(x: int) -> int:
@@ -164,31 +176,59 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-NODES = "id long, h long, fp long, w1 long, w2 long"
+NODES = "id long, h long, fp long, w1 long, w2 long, grams int, keys array<long>, sketch binary"
+SETS = "lid long, set array<long>"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The fingerprint of each text and a 128-bit hash of its words."""
+    """Of each text the fingerprint, a 128-bit hash of its words, the size of its shingle set, KEYS hashes of DEPTH minima each and the sketch."""
+    orders = np.random.default_rng(SEED).integers(0, 1 << 63, DEPTH * KEYS, dtype=np.uint64)
     for batch in slices(batches):
-        prints, words = [], []
+        prints, halves, sizes, keys, sketches = [], [], [], [], []
         for t in batch.column(2).cast(pa.large_binary()):
-            text = t.as_py() or b""
-            prints.append(simhash(text, shingle))
-            words.append(xxhash.xxh3_128_digest(b" ".join(words_of(text))))
-        halves = np.frombuffer(b"".join(words), ">i8").reshape(-1, 2).astype(np.int64)
-        columns = [np.array(prints, np.uint64).view(np.int64), halves[:, 0], halves[:, 1]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], [x.split()[0] for x in NODES.split(", ")])
+            words = words_of(t.as_py() or b"")
+            joined = b" ".join(words)
+            halves.append(xxhash.xxh3_128_digest(joined))
+            if len(words) <= shingle:
+                hashes = [np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)]
+                prints.append(int(hashes[0][0]) if words else 0)
+            else:
+                hashes = list(_hashes(words, shingle, SEED))
+                prints.append(_majority(hashes, len(words) - shingle + 1))
+            own = np.unique(np.concatenate(hashes))
+            sizes.append(len(own))
+            minima = [int((own ^ order).min()) for order in orders]
+            keys.append([hash((k, *minima[DEPTH * k : DEPTH * (k + 1)])) for k in range(KEYS)])  # of numbers: the same in every process
+            sketches.append(sketch_of(own))
+        both = np.frombuffer(b"".join(halves), ">i8").reshape(-1, 2).astype(np.int64)
+        columns = [pa.array(np.array(prints, np.uint64).view(np.int64)), *(pa.array(both[:, k]) for k in (0, 1)), pa.array(sizes, pa.int32())]
+        columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [x.split()[0] for x in NODES.split(", ")])
+
+
+def sketch_of(own: np.ndarray) -> bytes:
+    """How many hashes of a set are in each of CELLS classes, one byte each, at most 255."""
+    cells = np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches leave a likeness of ``least`` possible."""
+    for batch in slices(batches, 4096):
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS) for k in (2, 3))
+        gx, gy = (batch.column(k).to_numpy().astype(np.int64) for k in (4, 5))
+        # no more is common than the lesser count of each class, and of what the bytes don't hold
+        more = np.minimum(gx - x.sum(axis=1, dtype=np.int64), gy - y.sum(axis=1, dtype=np.int64))
+        common = np.minimum(x, y).sum(axis=1, dtype=np.int64) + more
+        keep = pa.array(common >= least * (gx + gy - common) - buckets.SLACK)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The shingle set of each text, its size, and KEYS hashes of DEPTH MinHash minima each, which divide large buckets."""
-    orders = np.random.default_rng(SEED).integers(0, 1 << 63, DEPTH * KEYS, dtype=np.uint64)
+    """The shingle set of each text."""
     for batch in slices(batches):
         sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.large_binary())]
-        minima = [[int((x ^ order).min()) for order in orders] for x in sets]
-        keys = [[hash(tuple(m[DEPTH * k : DEPTH * (k + 1)])) for k in range(KEYS)] for m in minima]  # of numbers: the same in every process
-        columns = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["lid", "set", "grams", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["lid", "set"])
 
 
 def _document(docs: DataFrame) -> list[Column]:
@@ -196,11 +236,18 @@ def _document(docs: DataFrame) -> list[Column]:
     return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs["text"]).alias("h")]
 
 
+def bounded(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that can have a likeness of ``least``: a few bytes a document show that most others can't."""
+    x = nodes.select(F.col("lid").alias("a"), F.col("sketch").alias("x"), F.col("grams").alias("gx"))
+    y = nodes.select(F.col("lid").alias("b"), F.col("sketch").alias("y"), F.col("grams").alias("gy"))
+    both = pairs.join(x, "a").join(y, "b").where(F.least("gx", "gy") >= least * F.greatest("gx", "gy") - buckets.SLACK)
+    return both.select("a", "b", "x", "y", "gx", "gy").mapInArrow(lambda it: _bounded(it, least), "a long, b long")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) with a Jaccard likeness of at least ``least`` of their sets, with it as ``like``."""
-    x = sets.select(F.col("lid").alias("a"), F.col("set").alias("x"), F.col("grams").alias("gx"))
-    y = sets.select(F.col("lid").alias("b"), F.col("set").alias("y"), F.col("grams").alias("gy"))
-    common = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("gx") + F.col("gy")).alias("g"), F.size(F.array_intersect("x", "y")).cast("double").alias("c"))
+    x, y = sets.select(F.col("lid").alias("a"), F.col("set").alias("x")), sets.select(F.col("lid").alias("b"), F.col("set").alias("y"))
+    common = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("g"), F.size(F.array_intersect("x", "y")).cast("double").alias("c"))
     return common.select("a", "b", (F.col("c") / (F.col("g") - F.col("c"))).alias("like")).where(F.col("like") >= least)
 
 
@@ -209,23 +256,39 @@ def similar_documents(
 ) -> DataFrame:
     """(id, h, keep): every distinct document, and whether it is the least (id, h) of its component."""
     texts = docs.select(*_document(docs), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    prints = scratch.cut(texts.mapInArrow(lambda it: _nodes(it, shingle), NODES), "prints")
+    prints = scratch.cut(texts.mapInArrow(lambda it: _nodes(it, shingle), NODES), "prints")  # a few hundred bytes a document
     least_of = F.min(F.struct("id", "h")).alias("first")
     # frequent texts have the least ids
     lid = (4095 - F.least("n", F.lit(4095))) * F.lit(1 << 51) + F.monotonically_increasing_id()
-    nodes = prints.groupBy("w1", "w2").agg(least_of, F.first("fp").alias("fp"), F.count("*").alias("n")).withColumn("lid", lid)
-    nodes = scratch.cut(nodes, "nodes")
+    of_words = F.first(F.struct("fp", "grams", "keys", "sketch")).alias("x")
+    nodes = prints.groupBy("w1", "w2").agg(least_of, of_words, F.count("*").alias("n")).withColumn("lid", lid)
+    nodes = scratch.cut(nodes.select("w1", "w2", "first", "n", "lid", "x.*"), "nodes")
 
     keyed = _tables(nodes.select("fp", "lid"), radius, "lid").select("lid", F.xxhash64("t", "key").alias("band"))
-    shared = scratch.cut(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
-    met = scratch.cut(keyed.join(shared, "band"), "met")
-    wanted = scratch.cut(nodes.join(met.select("lid").distinct(), "lid").select("lid", "first.id", "first.h"), "wanted")
-    own = texts.join(wanted, ["id", "h"]).groupBy("lid").agg(F.first("text").alias("text"))
-    sets = scratch.cut(own.mapInArrow(lambda it: _sets(it, shingle), "lid long, set array<long>, grams int, keys array<long>"), "sets")
-    members = scratch.cut(met.join(sets.select("lid", "grams"), "lid"), "members")
-    scratch.drop(shared, met, wanted)
-    links = buckets.links(members, lambda pairs, floor: compared(pairs, sets, floor), least, scratch, lambda some: sets.join(some, "lid").select("lid", F.explode("set").alias("token")))
-    scratch.drop(members, sets)
+    shared = []
+    # one kind of tables after the other, so that fewer keys are counted at a time
+    for bands in (keyed, nodes.select("lid", F.explode("keys").alias("band"))):
+        often = scratch.cut(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+        shared.append(scratch.cut(bands.join(often, "band").select("band", "lid"), "met"))
+        scratch.drop(often)
+    members = scratch.cut(shared[0].union(shared[1]).join(nodes.select("lid", "grams"), "lid").select("band", "lid", "grams"), "members")
+    scratch.drop(*shared)
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        named = nodes.join(some.distinct(), "lid").select("lid", "first.id", "first.h")
+        own = texts.join(named, ["id", "h"]).groupBy("lid").agg(F.first("text").alias("text"))
+        return own.mapInArrow(lambda it: _sets(it, shingle), SETS)
+
+    def compare(pairs: DataFrame, floor: float) -> DataFrame:
+        near = scratch.cut(bounded(pairs, nodes, floor), "near")
+        sets = scratch.cut(sets_of(near.select(F.explode(F.array("a", "b")).alias("lid"))), "sets")
+        alike = scratch.cut(compared(near, sets, floor), "alike")
+        scratch.drop(near, sets)
+        return alike
+
+    tokens = lambda some: sets_of(some).select("lid", F.explode("set").alias("token"))
+    links = buckets.links(members, compare, least, scratch, tokens)
+    scratch.drop(members)
     roots = scratch.cut(connected_components(spark, links, scratch), "roots")
     linked = scratch.cut(nodes.join(roots, F.col("lid") == F.col("node")).select("w1", "w2", "root", "first"), "linked")
     firsts = scratch.cut(linked.groupBy("root").agg(F.min("first").alias("first")), "firsts")

@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 
 from cleanloom.llm import buckets
@@ -185,3 +187,42 @@ def test_rows_are_judged_and_not_ids(spark):
     out = S.keep_one(spark, df)
     assert out.columns == df.columns
     assert sorted(map(str, out.collect())) == sorted(str(r) for r in df.limit(5).collect() if r["doc_id"] != 2)
+
+
+def test_tables_keep_half_the_bits_or_all():
+    """A table that keeps few bits would be a bucket of half the documents."""
+    assert min(bin(m).count("1") for m in S.masks(6)) == 32
+
+
+def test_sketches_bound_the_likeness_from_above():
+    """No alike pair goes, classes of over 255 hashes included; most others do."""
+    rng = np.random.default_rng(3)
+    sets, gone = [], 0
+    for n in (1, 4, 30, 500, 3000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets += [base, base[: -(-len(base) * 4 // 5)], np.unique(np.concatenate([base, rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))]
+    low = np.arange(400, dtype=np.uint64) * np.uint64(S.CELLS)  # one class for all
+    sets += [low, low[:330], low[:100]]
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    sketch = [S.sketch_of(x) for x in sets]
+    columns = [pa.array([p[k] for p in pairs]) for k in (0, 1)] + [pa.array([sketch[p[k]] for p in pairs]) for k in (0, 1)] + [pa.array([len(sets[p[k]]) for p in pairs]) for k in (0, 1)]
+    batch = pa.RecordBatch.from_arrays(columns, ["a", "b", "x", "y", "gx", "gy"])
+    left = {(r["a"], r["b"]) for out in S._bounded(iter([batch]), 0.8) for r in out.to_pylist()}
+    for a, b in pairs:
+        c = len(np.intersect1d(sets[a], sets[b]))
+        like = c / (len(sets[a]) + len(sets[b]) - c)
+        assert (a, b) in left or like < 0.8
+        gone += (a, b) not in left
+    assert gone > len(pairs) / 2
+
+
+def test_alike_documents_beyond_the_radius_meet(spark, docs):
+    """Pairs of few words that are alike differ in many bits; MinHash tables find them all the same."""
+    rng, rows = random.Random(4), []
+    for k in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        at = rng.randrange(6, 54)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:at], f"x{k}", *words[at + 1 :]]))]
+    far = sum(bin(S.simhash(rows[2 * k][1].encode(), S.WORDS) ^ S.simhash(rows[2 * k + 1][1].encode(), S.WORDS)).count("1") > S.WIDE for k in range(120))
+    assert far > 20
+    assert sorted(r["doc_id"] for r in S.keep_one(spark, docs(rows)).collect()) == list(range(0, 240, 2))
