@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanloom.llm._common import Scratch
@@ -134,16 +134,16 @@ def _by_tokens(members: DataFrame, tokens: Tokens, least: float, scratch: Scratc
     each = scratch.cut(tokens(some.select("lid")), "tokens")
     often = scratch.cut(each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "often")
     # tokens of one set alone come first and meet nothing: only their number matters
-    order = F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order")
-    ordered = each.join(often, "token").groupBy("lid").agg(order).join(some, "lid")
-    alone = F.col("n") - F.size("order")
+    shared = each.join(often, "token").join(some, "lid")
+    own = Window.partitionBy("lid")
+    ranked = shared.select("*", (F.col("n") - F.count("*").over(own)).alias("alone"), F.row_number().over(own.orderBy("often", "token")).alias("k"))
     probe = F.col("n") - _needed(least, F.col("n")) + 1
-    first = ordered.where(probe > alone).select("lid", "label", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), probe - alone)).alias("at", "x"))
-    posts = scratch.cut(first.select("lid", "label", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token")), "first")
+    first = ranked.where(F.col("k") <= probe - F.col("alone")).select("lid", "label", "n", (F.col("alone") + F.col("k") - 1).alias("at"), "token")
+    posts = scratch.cut(first, "first")
     by_label = posts.groupBy("token", "label").agg(F.count("*").alias("m"))
     main = by_label.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("x")).where("labels > 1")
     main = scratch.cut(main.select("token", (F.col("x.label")).alias("main")), "main")
-    first = posts.join(main, "token").withColumn("in", F.col("label") == F.col("main"))
+    first = scratch.cut(posts.join(main, "token").withColumn("in", F.col("label") == F.col("main")), "mixed")
     both = 2 * least / (1 + least)
     x = first.where(F.col("at") <= F.col("n") - _needed(both, F.col("n")))
     x = x.select("token", F.col("in").alias("ia"), F.col("lid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
@@ -153,7 +153,7 @@ def _by_tokens(members: DataFrame, tokens: Tokens, least: float, scratch: Scratc
     fits = (F.col("la") != F.col("lb")) & follows & (F.col("na") >= least * F.col("nb") - SLACK) & (left >= _needed(least / (1 + least), F.col("na") + F.col("nb")))
     made = x.where(~F.col("ia")).join(y, "token").where(fits).select("a", "b").union(x.where("ia").join(y.where(~F.col("ib")), "token").where(fits).select("a", "b"))
     out = scratch.cut(made.select(*_ordered("a", "b")).distinct(), "near")
-    scratch.drop(some, each, often, posts, main)
+    scratch.drop(some, each, often, posts, main, first)
     return out
 
 

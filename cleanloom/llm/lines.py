@@ -26,7 +26,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cleanloom.llm import buckets
@@ -40,6 +40,9 @@ MINIMA = 13
 BANDS = [sorted((k + d) % MINIMA for d in (0, 1, 3, 9)) for k in range(MINIMA)]
 #: Shingles of a line that are hashed in one row.
 AT_ONCE = 4
+#: One line in LOOK is looked at to find large buckets, those with HOT of them or more; all lines go on.
+LOOK = 64
+HOT = 64
 NO_ID = -(1 << 63)
 #: Orders of the hashes: each minimum is taken after an exclusive or with another of these.
 _ORDERS = [(k * 2654435769 & 0xFFFFFFFF) - (1 << 31) for k in range(1, MINIMA + 1)]
@@ -86,6 +89,28 @@ def with_bands(signed: DataFrame) -> DataFrame:
     return signed.select("lid", F.explode(F.array(*keys)).alias("band"))
 
 
+def dealt(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lid, hot, by): the bands by which lines are dealt out; for those of large buckets ``hot``, dealt out by line.
+
+    A large bucket has HOT members or more among one line in LOOK.
+    """
+    looked = with_bands(signed.where(F.pmod(F.xxhash64("lid"), F.lit(LOOK)) == 0))
+    large = looked.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") >= HOT)
+    large = scratch.cut(large.select("band", F.col("band").alias("hot")), "hot")
+    by = F.when(F.col("hot").isNull(), F.col("band")).otherwise(F.xxhash64("lid", "hot"))
+    return with_bands(signed).join(F.broadcast(large), "band", "left").select("lid", "hot", by.alias("by"))
+
+
+def meeting(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lid, band) for the bands that two lines or more share.
+
+    One shuffle: every band counts its members where it is dealt out to. Those of large
+    buckets are shared for certain and aren't counted, so no task gets a large bucket.
+    """
+    counted = dealt(signed, scratch).withColumn("size", F.count("*").over(Window.partitionBy("by")))
+    return counted.where("size > 1 OR hot IS NOT NULL").select("lid", F.coalesce("hot", "by").alias("band"))
+
+
 def tokens_of(lines: DataFrame) -> DataFrame:
     """(lid, token): the distinct shingle hashes of lines of SHINGLE code points or more."""
     return lines.select("lid", F.explode(F.array_distinct(shingle_hashes(F.col("line")))).alias("token"))
@@ -120,13 +145,11 @@ def linked_lines(lines: DataFrame, least: float, scratch: Scratch, exact: bool =
     asks for nothing but a metric, at a cost up to the square of such a bucket.
     """
     signed = scratch.cut(signatures(lines.select("lid", "line")), "signed")
-    banded = with_bands(signed)
-    sizes = scratch.cut(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"), "sizes")
-    met = scratch.cut(banded.join(sizes, "band"), "met")
+    met = scratch.cut(meeting(signed, scratch), "met")
     wanted = lines.select("lid", "line").join(met.select("lid").distinct(), "lid")
     texts = scratch.cut(wanted.withColumn("grams", F.size(F.array_distinct(shingle_hashes(F.col("line"))))), "texts")
     members = scratch.cut(met.join(texts.select("lid", "grams"), "lid"), "members")
-    scratch.drop(sizes, met)
+    scratch.drop(met)
     tokens = lambda some: tokens_of(texts.join(some, "lid"))
     out = buckets.links(members, lambda pairs, floor: compared(pairs, texts, floor), least, scratch, None if exact else tokens)
     scratch.drop(signed, members, texts)

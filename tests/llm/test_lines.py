@@ -263,3 +263,35 @@ def test_signatures_are_minima_of_all_shingles(spark):
     one = one.select("lid", F.hash(F.encode(F.col("line").substr(F.col("at"), F.lit(9)), "UTF-32")).alias("h"))
     want = one.groupBy("lid").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(L._ORDERS)))
     assert sorted(map(tuple, L.signatures(lines).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shared_bands_are_dealt_out_once(spark, monkeypatch):
+    """Bands of one, two and many lines: the shared ones stay, whether counted or found to be large, and one shuffle finds them."""
+    monkeypatch.setattr(L, "LOOK", 1)
+    monkeypatch.setattr(L, "HOT", 5)
+    rng = random.Random(13)
+    minima = [f"m{k}" for k in range(L.MINIMA)]
+    rows = [(k, *(rng.randrange(2 + 3 * (k % 4)) if k % 5 else rng.randrange(10**9) for _ in minima)) for k in range(400)]
+    signed = spark.createDataFrame(rows, "lid long, " + ", ".join(f"{m} int" for m in minima))
+    got = L.meeting(signed, Scratch(spark, "t"))
+    by = {}
+    for r in L.with_bands(signed).collect():
+        by.setdefault(r["band"], set()).add(r["lid"])
+    want = sorted((lid, band) for band, lids in by.items() if len(lids) > 1 for lid in lids)
+    assert sorted(map(tuple, got.select("lid", "band").collect())) == want
+    sizes = {len(x) for x in by.values()}
+    assert {1, 2} <= sizes and max(sizes) >= 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_large_bands_meet_in_no_task(spark, monkeypatch):
+    """The rows of a large band are dealt out by line: the window that counts has no group of more than one for it."""
+    monkeypatch.setattr(L, "LOOK", 1)
+    monkeypatch.setattr(L, "HOT", 50)
+    minima = [f"m{k}" for k in range(L.MINIMA)]
+    signed = spark.createDataFrame([(k, *([7] * L.MINIMA)) for k in range(300)], "lid long, " + ", ".join(f"{m} int" for m in minima))
+    got = L.meeting(signed, Scratch(spark, "t"))
+    keys = got.select("band").distinct().count()
+    assert (keys, got.count()) == (L.MINIMA, 300 * L.MINIMA)
+    assert L.dealt(signed, Scratch(spark, "t")).groupBy("by").count().agg(F.max("count")).head()[0] == 1
