@@ -131,12 +131,14 @@ def _by_tokens(members: DataFrame, tokens: Tokens, least: float, scratch: Scratc
     size that it can meet.
     """
     some = scratch.cut(members.withColumnRenamed("grams", "n"), "some")
-    each = scratch.cut(tokens(some.select("lid")), "tokens")
-    often = scratch.cut(each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    # tokens of one set alone come first and meet nothing: only their number matters
-    shared = each.join(often, "token").join(some, "lid")
-    own = Window.partitionBy("lid")
-    ranked = shared.select("*", (F.col("n") - F.count("*").over(own)).alias("alone"), F.row_number().over(own.orderBy("often", "token")).alias("k"))
+    each = scratch.cut(tokens(some.select("lid")).join(some, "lid"), "tokens")
+    # tokens of one label alone come first and meet no other label: only their number matters
+    often = each.groupBy("token").agg(F.count("*").alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    often = scratch.cut(often.select("token", "often"), "often")
+    shared = each.join(often, "token")
+    own = Window.partitionBy("lid").orderBy("often", "token")
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the same order, so that rows are sorted once
+    ranked = shared.select("*", (F.col("n") - F.count("*").over(every)).alias("alone"), F.row_number().over(own).alias("k"))
     probe = F.col("n") - _needed(least, F.col("n")) + 1
     first = ranked.where(F.col("k") <= probe - F.col("alone")).select("lid", "label", "n", (F.col("alone") + F.col("k") - 1).alias("at"), "token")
     posts = scratch.cut(first, "first")

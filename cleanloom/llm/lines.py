@@ -186,14 +186,14 @@ def without_duplicates(spark: SparkSession, docs: DataFrame, least: float = LEAS
     gone = duplicate_lines(spark, docs, scratch, least, exact)
     both = docs.select(row_of(docs).alias("row"), *_document(docs)).join(gone, ["id", "h"], "left")
     before = F.col("row").getField("text")
-    parts = F.split(before, "\n")
-    stay = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("gone", i)), "\n")
+    breaks = F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit("")))
+    stay = F.array_join(F.filter(F.split(before, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
     both = both.withColumn("kept", F.when(F.col("gone").isNull(), before).otherwise(stay))
     new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
     return both.select(
-        row_of(docs, "row", new).alias("row"), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")
+        row_of(docs, "row", new).alias("row"), F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")
     )
 
 

@@ -295,3 +295,38 @@ def test_large_bands_meet_in_no_task(spark, monkeypatch):
     keys = got.select("band").distinct().count()
     assert (keys, got.count()) == (L.MINIMA, 300 * L.MINIMA)
     assert L.dealt(signed, Scratch(spark, "t")).groupBy("by").count().agg(F.max("count")).head()[0] == 1
+
+
+def test_tokens_of_one_label_are_not_ranked(spark):
+    """Two large components with templates of their own and a few lines of both: only tokens that two labels have are ranked and meet."""
+    draw = random.Random(17)
+    sign = lambda k: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    one, two = sign(200), sign(200)
+    texts = [x + sign(12) for x in [one] * 40 + [two] * 40] + [one[:170] + sign(40), one[:170] + sign(40), one[:180] + two[:100], two[:100] + one[:180]]
+    labels = [0] * 40 + [40] * 40 + [80, 81, 82, 83]
+    rows = [(k, label, len(grams(x))) for k, (x, label) in enumerate(zip(texts, labels, strict=True))]
+    members = spark.createDataFrame(rows, "lid long, label long, grams int")
+    lines = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "lid long, line string")
+    seen = {}
+
+    class Seen(Scratch):
+        def cut(self, frame, label="t"):
+            out = super().cut(frame, label)
+            seen[label] = out.count()
+            return out
+
+    made = buckets._by_tokens(members, lambda some: L.tokens_of(lines.join(some, "lid")), L.LEAST, Seen(spark, "t"))
+    made = {(r["a"], r["b"]) for r in made.collect()}
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if labels[a] != labels[b] and alike(texts[a], texts[b])]
+    assert pairs and set(pairs) <= made
+    of = {}
+    for x, label in zip(texts, labels, strict=True):
+        for g in grams(x):
+            of.setdefault(g, set()).add(label)
+    assert seen["often"] == sum(len(x) > 1 for x in of.values())
+
+
+def test_numbers_of_lines(spark, docs):
+    texts = [None, "", "\n", "a\n\n", "a\nb\r\nc", "\u00e9\n\U0001f600", "x"]
+    out = L.without_duplicates(spark, docs(list(enumerate(texts)))).select("row.doc_id", "n_lines")
+    assert dict(map(tuple, out.collect())) == {k: 0 if t is None else len(t.split("\n")) for k, t in enumerate(texts)}
