@@ -11,8 +11,11 @@ score is above all that was left out is certain. The others, and there are hardl
 through further rounds that pass on STEP times as many, until none is left. Ties go to the
 smaller vec_id.
 
-Segments are dealt into groups, and the packed queries are sent to every group, so that
-the plan is the same for any number of queries. Of equal vectors only those with the least
+Packed queries and segments are dealt over tiles, each some packs by some segments, and a
+task reads its tile's packs first, then its segments one by one. Nothing is joined or
+broadcast for that, so memory is bounded by HELD and rows of at most ROW bytes, whatever
+Spark expects of sizes: tables of vectors are far larger in memory than as files, so joins
+with them are merge joins by hint. Of equal vectors only those with the least
 ids take part, as many as can be among the best of any query.
 
 Vectors that are null or hold null or non-finite components, and rows without a vec_id,
@@ -39,14 +42,16 @@ K = 5
 SCALE = 256
 CELLS = 256
 SEGMENT = 4096
-#: Queries in a row that is sent out.
+#: Queries in a row that is sent out, at most.
 BLOCK = 1024
+#: Bytes of a pack of queries with what is kept of it, of a segment's cells, and of all packs of a tile.
+ROW, HELD = 1 << 22, 1 << 27
+#: Segments of a tile, at least, where there are as many.
+RUN = 4
 #: Queries whose bounds are in memory at once.
 SLICE = 256
 #: Vectors that a task passes on for each query, in multiples of k, and how these grow each round.
 FIRST, STEP = 8, 16
-#: Blocks of queries that a task holds the best of at a time.
-OPEN = 32
 #: Integers below this are exact as doubles.
 EXACT = float(1 << 52)
 TAKES_PART = "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))"
@@ -93,27 +98,55 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield int(d), batch.filter(pa.array(dims == d))
 
 
-def _segments(batches: Iterator[pa.RecordBatch], grid: dict, groups: int) -> Iterator[pa.RecordBatch]:
-    """Rows of at most SEGMENT vectors: their row ids and vec_ids, and cells, as bytes; dealt to groups."""
+def _segments(batches: Iterator[pa.RecordBatch], grid: dict, segment: int) -> Iterator[pa.RecordBatch]:
+    """Rows of at most so many vectors: their row ids and vec_ids, and cells, as bytes."""
     for batch in batches:
         for d, part in _by_length(batch):
             lo, width = grid[d]
-            for at in range(0, part.num_rows, SEGMENT):
-                own = part.slice(at, SEGMENT)
+            size = max(1, min(segment, ROW // max(1, d)))
+            for at in range(0, part.num_rows, size):
+                own = part.slice(at, size)
                 cells = np.clip((_stacked(own.column(2), d) - lo) // width, 0, CELLS - 1).astype(np.uint8)
                 rid, ids = (np.asarray(own.column(k)).astype(np.int64) for k in (0, 3))
                 columns = [pa.array([x.tobytes()], pa.binary()) for x in (rid, ids, cells)]
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([int(rid[0]) % groups], pa.int32()), *columns], ["dims", "g", "rids", "ids", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *columns], ["dims", "rids", "ids", "x"])
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of at most BLOCK queries."""
+def _held(d: int, most: int) -> int:
+    """Bytes that a task holds for a query: its components, and the best twice, before and after they are put in order."""
+    return 8 * d + 48 * most
+
+
+def _packs(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows of at most so many queries, without row ids."""
     for batch in batches:
         for d, part in _by_length(batch):
-            for at in range(0, part.num_rows, BLOCK):
-                own = part.slice(at, BLOCK)
+            size = max(1, min(block, ROW // _held(d, most)))
+            for at in range(0, part.num_rows, size):
+                own = part.slice(at, size)
                 columns = [pa.array([np.asarray(own.column(0)).astype(np.int64).tobytes()], pa.binary()), pa.array([b"".join(own.column(2).to_pylist())], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *columns], ["dims", "q_ids", "q_x"])
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.nulls(1, pa.binary()), *columns], ["dims", "rids", "ids", "x"])
+
+
+def tiles(queries: int, d: int, most: int, segments: int, tasks: int) -> tuple[int, int]:
+    """Into how many parts packs and segments are dealt, for about as many tiles as tasks."""
+    packs = -(-queries // max(1, min(BLOCK, ROW // _held(d, most))))
+    least = max(1, -(-queries * _held(d, most) // HELD))
+    across = max(1, min(-(-tasks // least), -(-segments // RUN)))
+    return max(least, min(packs, -(-tasks // across))), across
+
+
+def _dealt(df: DataFrame, parts: int, name: str) -> DataFrame:
+    """Numbers rows from 0 to parts - 1, in turn within each partition."""
+    at = F.col("_at")
+    turn = F.shiftright(at, 33) * 7919 + at.bitwiseAND((1 << 33) - 1)
+    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn(name, (turn % parts).cast("int")).drop("_at")
+
+
+def _margins(q: np.ndarray, lo: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each query adds to its products with cells for a lower and an upper bound."""
+    fixed, slack = q @ lo, 2e-9 * (1 + np.abs(q) @ (np.abs(lo) + CELLS * width))  # above rounding
+    return fixed + np.minimum(q, 0) @ (width - 1) - slack, fixed + np.maximum(q, 0) @ (width - 1) + slack
 
 
 def bounds(q: np.ndarray, cells: np.ndarray, lo: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,63 +154,88 @@ def bounds(q: np.ndarray, cells: np.ndarray, lo: np.ndarray, width: np.ndarray)
 
     A component in cell c is at least lo + c width, and less than lo + (c + 1) width.
     """
-    base = (q * width) @ cells.astype(np.float64).T + (q @ lo)[:, None]
-    low = base + (np.minimum(q, 0) @ (width - 1))[:, None]
-    high = base + (np.maximum(q, 0) @ (width - 1))[:, None]
-    slack = 1e-9 * (1 + np.abs(base)) + 1e-9 * (np.abs(q) @ (np.abs(lo) + CELLS * width))[:, None]  # above rounding
-    return low - slack, high + slack
+    base, (down, up) = (q * width) @ cells.astype(np.float64).T, _margins(q, lo, width)
+    return base + down[:, None], base + up[:, None]
 
 
 class Best:
-    """Of one block of queries, the vectors with the greatest upper bounds so far, and the greatest bound left out."""
+    """Of one block of queries, the vectors with the greatest bounds so far, and the greatest bound left out.
+
+    Both bounds of a query's scores are its products with cells, and a margin that is the
+    same for all vectors, so products are compared: below ``cut``, the kth greatest less the
+    distance of the margins, nothing is among the best.
+    """
 
     def __init__(self, qids: np.ndarray, k: int, most: int):
         self.qids, self.k, self.most, n = qids, k, most, len(qids)
-        self.high, self.low = np.full((n, 0), -np.inf), np.full((n, 0), -np.inf)
-        self.rid = np.zeros((n, 0), np.int64)
-        self.left = np.full(n, -np.inf)
+        self.order = np.argsort(qids, kind="stable")
+        self.at, self.rid, self.base, self.kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        self.cut, self.left = np.full(n, -np.inf), np.full(n, -np.inf)
+        self.down, self.up = np.zeros(n), np.zeros(n)
 
     def add(self, q: np.ndarray, rids: np.ndarray, ids: np.ndarray, cells: np.ndarray, lo: np.ndarray, width: np.ndarray) -> None:
-        parts = []
+        self.down, self.up = _margins(q, lo, width)
+        scaled = q * width
+        kind = np.float32 if (np.abs(scaled).sum(1) * (CELLS - 1)).max(initial=0) < 1 << 24 else np.float64  # integers, so exact
+        scaled, columns = scaled.astype(kind), cells.T.astype(kind)
+        place = self.order[np.minimum(np.searchsorted(self.qids, ids, sorter=self.order), len(q) - 1)]
+        own = np.flatnonzero(self.qids[place] == ids)
         for at in range(0, len(q), SLICE):
             rows = slice(at, at + SLICE)
-            low, high = bounds(q[rows], cells, lo, width)
-            own = self.qids[rows, None] == ids
-            low[own], high[own] = -np.inf, -np.inf
-            low, high = np.hstack([self.low[rows], low]), np.hstack([self.high[rows], high])
-            rid = np.hstack([self.rid[rows], np.broadcast_to(rids, (len(high), len(rids)))])
-            if high.shape[1] > self.k:  # below the kth lower bound nothing is among the best
-                high[high < -np.partition(-low, self.k - 1, axis=1)[:, self.k - 1, None]] = -np.inf
-            if high.shape[1] > self.most:
-                order = np.argpartition(-high, self.most, axis=1)
-                self.left[rows] = np.maximum(self.left[rows], np.take_along_axis(high, order[:, self.most :], 1).max(1))
-                low, high, rid = (np.take_along_axis(x, order[:, : self.most], 1) for x in (low, high, rid))
-            parts.append((low, high, rid))
-        self.low, self.high, self.rid = (np.vstack(x) for x in zip(*parts, strict=True))
+            base = scaled[rows] @ columns
+            mine = own[(place[own] >= at) & (place[own] < at + SLICE)]
+            base[place[mine] - at, mine] = -np.inf
+            cut = self.cut[rows]
+            if len(rids) >= self.k and np.isneginf(cut).any():
+                kth = np.partition(base, len(rids) - self.k, axis=1)[:, len(rids) - self.k].astype(np.float64)
+                cut = np.maximum(cut, kth - (self.up - self.down)[rows])
+            floor = np.nextafter(cut.astype(kind), kind(-np.inf))
+            r, c = np.nonzero(base >= floor[:, None])
+            value = base[r, c].astype(np.float64)
+            there = np.flatnonzero(np.isfinite(value))
+            self.at, self.rid, self.base = (np.concatenate(x) for x in ((self.at, r[there] + at), (self.rid, rids[c[there]]), (self.base, value[there])))
+            if len(self.at) > 2 * self.kept + 4 * len(q):
+                self._order()
+
+    def _order(self) -> None:
+        """Keeps the greatest of each query alone."""
+        order = np.lexsort((-self.base, self.at))
+        at, base, rid = self.at[order], self.base[order], self.rid[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kth = rank == self.k - 1
+        self.cut[at[kth]] = np.maximum(self.cut[at[kth]], base[kth] - (self.up - self.down)[at[kth]])
+        near = base >= self.cut[at]
+        out = near & (rank == self.most)
+        self.left[at[out]] = np.maximum(self.left[at[out]], base[out])
+        near &= rank < self.most
+        self.at, self.base, self.rid, self.kept = at[near], base[near], rid[near], int(near.sum())
 
     def rows(self) -> pa.RecordBatch:
-        """(query_id, rid, high) of what is kept, and (query_id, null, bound) of what was left out."""
-        at, column = np.nonzero(np.isfinite(self.high))
+        """(query_id, rid, low, high) of what is kept, and (query_id, null, null, bound) of what was left out."""
+        self._order()
         out = np.flatnonzero(np.isfinite(self.left))
-        rid = pa.concat_arrays([pa.array(self.rid[at, column]), pa.nulls(len(out), pa.int64())])
-        high = np.concatenate([self.high[at, column], self.left[out]])
-        return pa.RecordBatch.from_arrays([pa.array(self.qids[np.concatenate([at, out])]), rid, pa.array(high)], ["query_id", "rid", "high"])
+        rid = pa.concat_arrays([pa.array(self.rid), pa.nulls(len(out), pa.int64())])
+        low = pa.concat_arrays([pa.array(self.base + self.down[self.at]), pa.nulls(len(out), pa.float64())])
+        high = np.concatenate([self.base + self.up[self.at], self.left[out] + self.up[out]])
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[np.concatenate([self.at, out])]), rid, low, pa.array(high)], ["query_id", "rid", "low", "high"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], k: int, most: int, grid: dict) -> Iterator[pa.RecordBatch]:
-    """The best of each block of queries over the segments it meets in this task."""
-    best: dict[bytes, Best] = {}
+    """The best of each pack of queries over the segments that follow the packs of its length."""
+    dims, packs = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            d, qids, key = row["dims"], np.frombuffer(row["q_ids"], np.int64), row["q_ids"] + bytes([row["dims"] & 255])
-            if key not in best and len(best) >= OPEN:
-                yield best.pop(next(iter(best))).rows()
-            mine = best.setdefault(key, Best(qids, k, most))
-            rids, ids = (np.frombuffer(row[c], np.int64) for c in ("rids", "ids"))
-            lo, width = grid[d]
-            mine.add(np.frombuffer(row["q_x"], np.float64).reshape(len(qids), d), rids, ids, np.frombuffer(row["cells"], np.uint8).reshape(len(rids), d), lo, width)
-    for mine in best.values():
-        yield mine.rows()
+        for n in range(batch.num_rows):
+            d, rids, ids, x = (column[n].as_py() for column in batch.columns)
+            ids = np.frombuffer(ids, np.int64)
+            if d != dims:
+                yield from (best.rows() for best, _ in packs)
+                dims, packs = d, []
+            if rids is None:
+                packs.append((Best(ids, k, most), np.frombuffer(x, np.float64).reshape(len(ids), d)))
+                continue
+            for best, q in packs:
+                best.add(q, np.frombuffer(rids, np.int64), ids, np.frombuffer(x, np.uint8).reshape(len(ids), d), *grid[d])
+    yield from (best.rows() for best, _ in packs)
 
 
 def _exact(rows: np.ndarray, q: np.ndarray) -> list[int]:
@@ -191,7 +249,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for d, part in _by_length(batch):
             scores = _exact(_stacked(part.column(3), d), _stacked(part.column(4), d))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.int64())], ["query_id", "rid", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -213,21 +271,25 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     for row in sorted(measured.collect()):  # a row for each dimension
         grid.setdefault(row["dims"], []).append((row["lo"], max(1.0, np.ceil((row["hi"] - row["lo"] + 1) / CELLS))))
     grid = {d: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) if d else v for d, v in grid.items()}
-    groups = partitions(spark)
-    cells = scratch.cut(rows.mapInArrow(lambda it: _segments(it, grid, groups), "dims int, g int, rids binary, ids binary, cells binary"), "cells")
+    scratch.drop(given)
+    cells = scratch.cut(rows.mapInArrow(lambda it, segment=SEGMENT: _segments(it, grid, segment), "dims int, rids binary, ids binary, x binary"), "cells")
     done, most = [], FIRST * k
     while True:
-        packs = asked.mapInArrow(_packs, "dims int, q_ids binary, q_x binary")
-        sent = packs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        hits = sent.join(cells, ["dims", "g"]).select("dims", "q_ids", "q_x", "rids", "ids", "cells")
-        hits = hits.mapInArrow(lambda it, most=most: _scan(it, k, most, grid), "query_id long, rid long, high double")
-        ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rid").isNull(), F.desc("high"))))
+        down, across = tiles(asked.count(), max(grid), most, cells.count(), partitions(spark))
+        packs = asked.mapInArrow(lambda it, most=most, block=BLOCK: _packs(it, most, block), "dims int, rids binary, ids binary, x binary")
+        packs = _dealt(packs, down, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        there = _dealt(cells, across, "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+        tiled = packs.unionByName(there).repartitionById(down * across, F.col("i") * across + F.col("j"))
+        tiled = tiled.sortWithinPartitions("dims", F.col("rids").isNotNull()).select("dims", "rids", "ids", "x")
+        hits = tiled.mapInArrow(lambda it, most=most: _scan(it, k, most, grid), "query_id long, rid long, low double, high double")
+        order = Window.partitionBy("query_id").orderBy(F.col("rid").isNull(), F.desc("high"))
+        ranked = hits.withColumn("n", F.row_number().over(order)).withColumn("kth", F.nth_value("low", k).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        ranked = ranked.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth")))
         hits = scratch.cut(ranked.select("query_id", "rid", "high", "n"), "hits")
         left = scratch.cut(hits.where((F.col("n") > most) | F.col("rid").isNull()).groupBy("query_id").agg(F.max("high").alias("left")), "left")
-        near = hits.where((F.col("n") <= most) & F.col("rid").isNotNull()).join(rows, "rid")
-        both = near.join(asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
-        scored = both.select("query_id", "rid", "dims", "x", "q").mapInArrow(_score, "query_id long, rid long, score long")
-        named = scored.join(rows.select("rid", "vec_id"), "rid")
+        near = hits.where((F.col("n") <= most) & F.col("rid").isNotNull()).join(rows.hint("merge"), "rid")
+        both = near.join(asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")).hint("merge"), "query_id")
+        named = both.select("query_id", "vec_id", "dims", "x", "q").mapInArrow(_score, "query_id long, vec_id long, score long")
         best = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
         best = scratch.cut(best.select("query_id", "rank", "vec_id", "score"), "best")
         kth = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
