@@ -46,8 +46,8 @@ SEGMENT = 4096
 BLOCK = 1024
 #: Bytes of a pack of queries with what is kept of it, of a segment's cells, and of all packs of a tile.
 ROW, HELD = 1 << 22, 1 << 27
-#: Segments of a tile, at least, where there are as many.
-RUN = 4
+#: Segments of a tile, at least, where there are as many; bytes of what a tile passes on of a query, roughly.
+RUN, PASSED = 4, 240
 #: Queries whose bounds are in memory at once.
 SLICE = 256
 #: Vectors that a task passes on for each query, in multiples of k, and how these grow each round.
@@ -129,11 +129,17 @@ def _packs(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterator
 
 
 def tiles(queries: int, d: int, most: int, segments: int, tasks: int) -> tuple[int, int]:
-    """Into how many parts packs and segments are dealt, for about as many tiles as tasks."""
+    """Into how many parts packs and segments are dealt, for about as many tiles as tasks.
+
+    Packs, and what is passed on, are multiplied by the parts of segments, and segments by
+    those of packs, so both sides get about the same bytes.
+    """
     packs = -(-queries // max(1, min(BLOCK, ROW // _held(d, most))))
     least = max(1, -(-queries * _held(d, most) // HELD))
-    across = max(1, min(-(-tasks // least), -(-segments // RUN)))
-    return max(least, min(packs, -(-tasks // across))), across
+    even = round((tasks * queries * (8 * d + PASSED) / max(1, segments * SEGMENT * (d + 16))) ** 0.5)
+    down = max(least, min(packs, even))
+    across = max(1, min(-(-tasks // down), -(-segments // RUN)))
+    return max(down, min(packs, -(-tasks // across))), across
 
 
 def _dealt(df: DataFrame, parts: int, name: str) -> DataFrame:
@@ -190,7 +196,7 @@ class Best:
                 kth = np.partition(base, len(rids) - self.k, axis=1)[:, len(rids) - self.k].astype(np.float64)
                 cut = np.maximum(cut, kth - (self.up - self.down)[rows])
             floor = np.nextafter(cut.astype(kind), kind(-np.inf))
-            r, c = np.nonzero(base >= floor[:, None])
+            r, c = np.divmod(np.flatnonzero(base >= floor[:, None]), len(rids))
             value = base[r, c].astype(np.float64)
             there = np.flatnonzero(np.isfinite(value))
             self.at, self.rid, self.base = (np.concatenate(x) for x in ((self.at, r[there] + at), (self.rid, rids[c[there]]), (self.base, value[there])))
